@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
 from .passages import repeated_passages
+from .sstable import token_ids
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; another folder can be given as spark.folioloom.tokenizers."""
+    import public_tokenizers
+
+    spark = SparkSession.getActiveSession()
+    folder = spark and spark.conf.get("spark.folioloom.tokenizers", None)
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +32,16 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op9_token_id_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
         op2_substring_dedup,
+        op9_token_id_sstable,
     )
 }
 
