@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .minhash import near_duplicates
 from .passages import repeated_passages
 from .sstable import token_ids
+from .toxicity import toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -32,6 +33,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_id_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_near_dedup,
         op2_substring_dedup,
+        op7_toxicity,
         op9_token_id_sstable,
     )
 }
