@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .learn import fit_logistic, held_out, logistic, sample
 
@@ -148,6 +149,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1)
             scores = np.concatenate([model.scores([t.as_py()], windows) for t in texts]) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
 
-    schema = rest.schema.add("score", "double")
-    scored = rest.mapInArrow(run, schema)
+    scored = rest.mapInArrow(run, StructType([*rest.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("held_out", held_out(folds, fold)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
