@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
 from .passages import repeated_passages
+from .quality_crf import quality
 from .sstable import token_ids
 from .toxicity import toxicity
 
@@ -33,6 +34,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_near_dedup,
         op2_substring_dedup,
+        op3_quality_classifier,
         op7_toxicity,
         op9_token_id_sstable,
     )
