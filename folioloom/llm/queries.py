@@ -11,6 +11,7 @@ from .passages import repeated_passages
 from .quality_crf import quality
 from .sstable import token_ids
 from .toxicity import toxicity
+from .winnowing import edited_likeness
 
 
 def tokenizer(name: str) -> str:
@@ -48,6 +49,10 @@ def op9_token_id_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_classifier,
         op7_toxicity,
         op9_token_id_sstable,
+        op10_fingerprints,
     )
 }
 
