@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
 from .passages import repeated_passages
+from . import rules
 from .quality_crf import quality
 from .sstable import token_ids
 from .toxicity import toxicity
@@ -45,6 +46,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_id_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -60,9 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_substring_dedup,
         op3_quality_classifier,
         op7_toxicity,
+        op8_quality_rules,
         op9_token_id_sstable,
         op10_fingerprints,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_quality_rules": rules.SQL}
