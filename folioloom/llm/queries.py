@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import preferences, rules
 from .minhash import near_duplicates
 from .mixing import taken_words
 from .passages import repeated_passages
-from . import rules
+from .pieces import encoded
 from .quality_crf import quality
 from .sstable import token_ids
 from .toxicity import toxicity
@@ -46,6 +47,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.preferences(preferences.paired(table(spark, sf_dir, "conversations")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -71,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_substring_dedup,
         op3_quality_classifier,
         op4_mixing,
+        op5_sentencepiece,
+        op6_chat_formatting,
         op7_toxicity,
         op8_quality_rules,
         op9_token_id_sstable,
@@ -78,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op8_quality_rules": rules.SQL}
+SQL: dict[str, str] = {"op6_chat_formatting": preferences.SQL, "op8_quality_rules": rules.SQL}
