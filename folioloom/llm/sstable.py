@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ FOOTER = struct.Struct("<QQQQQQ8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Words whose ids a task remembers; then it forgets them all.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -163,28 +164,67 @@ class Reader:
         return found
 
 
-def encoder(tokenizer_file: str):
-    """A function from a text to its ids as little-endian u32 bytes, as the tokenizers library encodes the whole text.
+class Encoder:
+    """Ids of texts, as the tokenizers library encodes each whole text, as little-endian u32 bytes.
 
-    The tokenizer drops white space and never joins what it parts, so words are encoded once and remembered.
+    The tokenizer drops white space and never joins what it parts, so the words between white space are encoded by
+    themselves and remembered. Its pattern also parts letters from other signs: a word of letters with signs behind is two
+    pieces, of which each goes to the library's model as the normalizer and the byte table would hand it over; any other
+    word goes through the whole tokenizer.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        words = text.encode().split()
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(words))
-        if new:
-            coded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded))
-        return b"".join(map(known.__getitem__, words))
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        # a byte's sign in the tokenizer's table: itself where it prints, else the next free code point from 256
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self.table = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(rest)}
+
+    def piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            signs = text if text.isascii() else text.encode().decode("latin-1").translate(self.table)
+            found = self.pieces[text] = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+        return found
 
-    return encode
+    def word(self, word: str) -> bytes:
+        core = word.rstrip(SIGNS)
+        low = core.lower()
+        if low.isalpha() and core.isalpha() and (core.isascii() or ("\u03a3" not in core and unicodedata.is_normalized("NFC", word))):
+            return self.piece(low) + (self.piece(word[len(core) :]) if len(core) < len(word) else b"")
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        for gap in GAPS:
+            if gap in text:
+                text = text.replace(gap, " ")
+        words = text.split(" ")
+        new = {w for w in words if w not in self.words}
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = set(words)
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        self.words.update((w, self.word(w) if w else b"") for w in new)
+        return b"".join(map(self.words.__getitem__, words))
+
+
+#: ASCII signs that end a word as a piece of their own; an apostrophe may begin one with letters.
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+GAPS = "\t\n\v\f\r"
+#: A Python worker keeps its encoder from task to task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -202,7 +242,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str
         at = TaskContext.get()
         writer, encode, end, first = None, encoder(tokenizer_file), struct.pack("<I", end_id), None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = value.as_py()
                 if writer is None:
                     files, base = pafs.FileSystem.from_uri(folder)
                     files.create_dir(base, recursive=True)
