@@ -1,8 +1,8 @@
 """Near-duplicate documents by bottom-k sketches of their shingle sets.
 
 One hash function orders all shingles, and a document keeps the ``k`` smallest of its set. Documents with equal sets are
-one class, held by its smallest doc_id. Inverted lists over the retained values generate overlaps between classes: each
-class is listed only under the rarest of its values, as many as two sketches that overlap enough must share one. The
+one class, held by its smallest doc_id. Inverted lists over the retained values, two neighbours at a time, generate
+overlaps between classes: each class is listed only under the rarest of them, as many as must hold a common one. The
 ``k`` smallest of the union of two sketches estimate the similarity and filter pairs; the rest are confirmed on the
 full sets, made again from the texts.
 
@@ -27,8 +27,10 @@ from .wordhash import Words, chunks, shingles
 
 #: Values that a sketch retains. Two sets at a similarity of 0.8 share under OVERLAP of the 64 smallest of their union with a chance of 1e-8.
 K, OVERLAP = 64, 32
+#: Values next to each other in both of two such sketches: under this many with a chance of 1e-8 (about 40 of 63 are expected).
+PAIRS = 10
 #: Lists up to this length give all their pairs at once; rounds of centres for the longer ones.
-SHORT_LIST, STAR_ROUNDS = 6, 3
+SHORT_LIST, STAR_ROUNDS, STAR_PART = 6, 3, 4
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
@@ -55,22 +57,25 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def listed(sets: DataFrame, k: int = K, overlap: int = OVERLAP) -> DataFrame:
-    """Inverted lists ``(value, doc, n, listed)`` of the classes ``(doc, n, sketch)``; listed: the list's length before prefixes.
+def listed(sets: DataFrame, k: int = K, pairs: int = PAIRS) -> DataFrame:
+    """Inverted lists ``(value, doc, n)`` of the classes ``(doc, n, sketch)``, by two values that follow each other in a sketch.
 
-    A set of n values that is surely retained whole by both sides of a link needs n - ceil(0.8 n) + 1 of them, any other
-    K - OVERLAP + 1 of the sketch; values that one class alone has count among these but make no list.
+    Of two linked sets' union of u values at most 0.2 u are not common, so at least 0.6 u - 1 of its neighbours are common
+    and stand together in both sketches; of n - 1 neighbours the rarest floor(0.4 n) + 1 therefore hold a common one, where
+    both sets are surely retained whole. Of larger sets' sketches, over PAIRS neighbours are common. Neighbours that one
+    class alone has count among the rarest but make no list.
     """
-    values = sets.where("n >= 4").select("doc", "n", F.explode("sketch").alias("value"))
+    follow = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.get("sketch", i - 1), F.get("sketch", i)))
+    values = sets.where("n >= 4").select("doc", "n", F.explode(follow).alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("listed")).where("listed > 1")
-    need = F.when(F.col("n") <= int(0.8 * k), F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).otherwise(F.least("n", F.lit(k)) - overlap + 1)
+    need = F.when(F.col("n") <= int(0.8 * k), F.floor(2 * F.col("n") / 5) + 1).otherwise(F.least("n", F.lit(k)) - pairs)
     own = values.join(shared, "value").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("listed", "value"))).alias("own"))
-    alone = F.least("n", F.lit(k)) - F.size("own")
+    alone = F.least("n", F.lit(k)) - 1 - F.size("own")
     return (
         own.withColumn("take", need - alone)
         .where("take > 0")
         .select("doc", "n", F.explode(F.slice("own", F.lit(1), F.col("take").cast("int"))).alias("v"))
-        .select("v.value", "doc", "n", "v.listed")
+        .select("v.value", "doc", "n")
     )
 
 
@@ -86,10 +91,10 @@ def pairs_of(lists: DataFrame, seed: int, last: bool) -> DataFrame:
     whole = left if last else left.where(F.col("size") <= SHORT_LIST)
     pairs = whole.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & differ).select("a", "b")
     if not last:
-        long = lists.where(F.col("size") > SHORT_LIST)
-        mark = F.xxhash64("doc", F.lit(seed))
-        pick = long.groupBy("value").agg(F.min("doc").alias("c0"), F.min_by("doc", mark).alias("c1"), F.max_by("doc", mark).alias("c2"))
-        centre = pick.select("value", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("doc")).join(long, ["value", "doc"])
+        # a member stands in many lists; for the stars a part of them will do
+        long = lists.where((F.col("size") > SHORT_LIST) & (F.pmod(F.xxhash64("value"), F.lit(STAR_PART)) == seed % STAR_PART))
+        pick = long.groupBy("value").agg(F.min("doc").alias("c0"), F.min_by("doc", F.xxhash64("doc", F.lit(seed))).alias("c1"))
+        centre = pick.select("value", F.explode(F.array_distinct(F.array("c0", "c1"))).alias("doc")).join(long, ["value", "doc"])
         centre = centre.select("value", F.col("doc").alias("c"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         star = long.select("value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(centre, "value").where((F.col("a") != F.col("c")) & differ)
         pairs = pairs.union(star.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")))

@@ -85,13 +85,13 @@ d AS (
   WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY a.pair_id),
 p AS (SELECT n.*, CASE WHEN n0 = 0 OR n1 = 0 THEN 0 ELSE coalesce(d.k - 1, least(n0, n1)) END AS n_prompt FROM n LEFT JOIN d USING (pair_id)),
 c AS (
-  SELECT t.*, p.n_prompt, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY t.pair_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS at
+  SELECT t.*, p.n_prompt, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY t.pair_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
   FROM t JOIN p USING (pair_id) WHERE t.k > p.n_prompt)
 SELECT p.pair_id, CAST(n_prompt AS BIGINT) AS n_prompt_turns,
   coalesce((SELECT string_agg(head || body || chr(10), '' ORDER BY k) FROM t WHERE t.pair_id = p.pair_id AND side = 0 AND k <= n_prompt), '') AS prompt,
   CASE WHEN n0 > 0 THEN coalesce((SELECT string_agg(head || body || chr(10), '' ORDER BY k) FROM c WHERE c.pair_id = p.pair_id AND side = 0), '') END AS chosen,
   CASE WHEN n1 > 0 THEN coalesce((SELECT string_agg(head || body || chr(10), '' ORDER BY k) FROM c WHERE c.pair_id = p.pair_id AND side = 1), '') END AS rejected,
-  CASE WHEN n0 > 0 THEN coalesce((SELECT string_agg(CAST(at AS BIGINT) || ':' || CAST(at + length(body) AS BIGINT), ',' ORDER BY k) FROM c WHERE c.pair_id = p.pair_id AND side = 0 AND role = 'assistant'), '') END AS chosen_mask,
-  CASE WHEN n1 > 0 THEN coalesce((SELECT string_agg(CAST(at AS BIGINT) || ':' || CAST(at + length(body) AS BIGINT), ',' ORDER BY k) FROM c WHERE c.pair_id = p.pair_id AND side = 1 AND role = 'assistant'), '') END AS rejected_mask
+  CASE WHEN n0 > 0 THEN coalesce((SELECT string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(body) AS BIGINT), ',' ORDER BY k) FROM c WHERE c.pair_id = p.pair_id AND side = 0 AND role = 'assistant'), '') END AS chosen_mask,
+  CASE WHEN n1 > 0 THEN coalesce((SELECT string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(body) AS BIGINT), ',' ORDER BY k) FROM c WHERE c.pair_id = p.pair_id AND side = 1 AND role = 'assistant'), '') END AS rejected_mask
 FROM p
 """
