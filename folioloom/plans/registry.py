@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compare_queries
+from . import compare_queries, page_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (compare_queries,):
+for part in (compare_queries, page_queries, text_queries):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
