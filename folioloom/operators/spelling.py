@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioloom.functions.text import stems
+from folioloom.sources.tables import staged
 
 #: Letters of a word that is checked, of one that may be several run together, of such a piece; suggestions; share of unknown words of a foreign text.
 SHORTEST, LONGEST, RUN_TOGETHER, PIECE, SUGGESTIONS, FOREIGN = 3, 20, 11, (2, 14), 5, 0.25
@@ -54,36 +55,37 @@ def run_together(unknown: DataFrame, known: DataFrame) -> DataFrame:
         ends = start.withColumn("end", F.explode(F.sequence(F.col("at") + PIECE[0], F.col("at") + PIECE[1]))).where(F.col("end") <= F.length("word"))
         pieces = ends.withColumn("piece", F.substring("word", F.col("at") + 1, F.col("end") - F.col("at")))
         strange = unknown_words(pieces.select(F.col("piece").alias("word")), known)
-        start = pieces.join(strange.withColumnRenamed("word", "piece"), "piece", "left_anti").select("word", F.col("end").alias("at")).distinct()
+        start = staged(pieces.join(strange.withColumnRenamed("word", "piece"), "piece", "left_anti").select("word", F.col("end").alias("at")).distinct(), "run-together")
         if depth >= 2:
             whole = start.where(F.col("at") == F.length("word")).select("word")
             done = whole if done is None else done.union(whole)
     return done.distinct()
 
 
-def one_edit(a: Column, b: Column) -> Column:
-    """Whether two different words are a letter more, less or other, or two neighbours swapped, apart."""
-    n, m = F.length(a), F.length(b)
-    cut = lambda w, i, size: F.substring(w, i, size)
-    places = F.sequence(F.lit(1), F.greatest(n, m))
-    other = F.exists(places, lambda i: (F.concat(cut(a, F.lit(1), i - 1), cut(a, i + 1, n)) == F.concat(cut(b, F.lit(1), i - 1), cut(b, i + 1, m))))
-    less = F.exists(places, lambda i: F.when(n > m, F.concat(cut(a, F.lit(1), i - 1), cut(a, i + 1, n)) == b).otherwise(F.concat(cut(b, F.lit(1), i - 1), cut(b, i + 1, m)) == a))
-    swap = F.exists(places, lambda i: (i < n) & (F.concat(cut(a, F.lit(1), i - 1), cut(a, i + 1, F.lit(1)), cut(a, i, F.lit(1)), cut(a, i + 2, n)) == b))
-    return F.when(n == m, other | swap).otherwise((F.abs(n - m) == 1) & less)
-
-
 def suggestions(unknown: DataFrame, known: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
     """``(word, suggestion, place)``: list words one edit away with the same first or second letter, best first.
 
-    Words one edit apart share themselves or what is left of them without one letter, so both sides meet under these keys.
-    Words of the same letters come first, then those of the same length, then by the alphabet.
+    Each kind of edit is an equal key on both sides, so words meet that are one edit apart and no others: a word without a
+    letter is the other (either way), a word with two neighbours swapped is the other, or both are alike without the letter
+    at one place. Words of the same letters come first, then those of the same length, then by the alphabet.
     """
-    short = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    keys = lambda w: F.explode(F.array_distinct(F.concat(F.array(w), short(F.col(w)))))
-    left = unknown.select("word", keys("word").alias("key"))
-    right = known.select(F.col("word").alias("suggestion"), keys("word").alias("key"))
+    places = lambda w, less: F.filter(F.sequence(F.lit(1), F.greatest(F.length(w) - less, F.lit(1))), lambda i: i <= F.length(w) - less)
+    without = lambda w, i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
+    swapped = lambda w, i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(1)), F.substring(w, i, F.lit(1)), F.substring(w, i + 2, F.length(w)))
+    named = lambda kind, value: F.concat(F.lit(kind), value)
+    at_place = lambda w: F.transform(places(w, 0), lambda i: F.concat(i.cast("string"), F.lit(":"), without(w, i)))
+    mine, other = F.col("word"), F.col("word")
+    left = F.concat(
+        F.array(named("less:", mine)),
+        F.transform(places(mine, 0), lambda i: named("whole:", without(mine, i))),
+        F.transform(places(mine, 1), lambda i: named("whole:", swapped(mine, i))),
+        at_place(mine),
+    )
+    right = F.concat(F.array(named("whole:", other)), F.transform(places(other, 0), lambda i: named("less:", without(other, i))), at_place(other))
+    one = unknown.select("word", F.explode(F.array_distinct(left)).alias("key"))
+    two = known.select(other.alias("suggestion"), F.explode(F.array_distinct(right)).alias("key"))
     letter = lambda k: F.substring("word", k, 1) == F.substring("suggestion", k, 1)
-    near = left.join(right, "key").where(letter(1) | letter(2)).select("word", "suggestion").distinct().where(one_edit(F.col("word"), F.col("suggestion")))
+    near = one.join(two, "key").where(letter(1) | letter(2)).select("word", "suggestion").distinct()
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     order = W.partitionBy("word").orderBy((letters("suggestion") != letters("word")).cast("int"), F.abs(F.length("suggestion") - F.length("word")), "suggestion")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
@@ -92,8 +94,9 @@ def suggestions(unknown: DataFrame, known: DataFrame, limit: int = SUGGESTIONS)
 def misspellings(lines: DataFrame, known: DataFrame) -> DataFrame:
     """``(doc_id, line_no, token)`` of words that are neither known nor run together; a capitalised one needs a suggestion."""
     found = tokens(lines)
-    strange = unknown_words(found, known)
-    strange = strange.join(run_together(strange, known), "word", "left_anti")
+    known = staged(known.select("word"), "words")
+    strange = staged(unknown_words(found, known), "unknown")
+    strange = staged(strange.join(run_together(strange, known), "word", "left_anti"), "misspelt")
     capital = F.col("token").rlike("^[A-Z]")
     named = found.where(capital).select("word").distinct().join(strange, "word")
     near = suggestions(named, known, 1).select("word").withColumn("_near", F.lit(True))

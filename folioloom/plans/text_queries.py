@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import text
 from folioloom.operators import comments, compare, search, spelling
-from folioloom.sources.tables import table
+from folioloom.sources.tables import staged, table
 
 QUERY, NEW = "the", "THE"
 
@@ -38,14 +38,14 @@ def foreign_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def osa_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions for the unknown words of at most seven letters."""
-    words = _words(spark, sf_dir)
+    words = staged(_words(spark, sf_dir), "words")
     short = unknown_words(spark, sf_dir).where(F.length("word") <= 7)
     return spelling.suggestions(short, words)
 
 
 def run_together(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir).where("n_docs >= 20")
-    return spelling.run_together(unknown_words(spark, sf_dir), words)
+    words = staged(_words(spark, sf_dir).where("n_docs >= 20"), "words")
+    return spelling.run_together(staged(unknown_words(spark, sf_dir), "unknown"), words)
 
 
 def misspelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the cluster's shared folder, so that rounds of joins do not repeat the plans before them."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.folioloom.staged", None)
+    if not folder:  # unset only outside clusters, as in tests
+        folder = "file://" + tempfile.mkdtemp(prefix="folioloom-")
+        spark.conf.set("spark.folioloom.staged", folder)
+    path = f"{folder.rstrip('/')}/folioloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(path, name, length, content)`` of binary files; the name is the path's last part."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
