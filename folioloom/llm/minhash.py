@@ -1,8 +1,8 @@
 """Near-duplicate documents by bottom-k sketches of their shingle sets.
 
 One hash function orders all shingles, and a document keeps the ``k`` smallest of its set. Documents with equal sets are
-one class, held by its smallest doc_id. Inverted lists over the retained values, two neighbours at a time, generate
-overlaps between classes: each class is listed only under the rarest of them, as many as must hold a common one. The
+one class, held by its smallest doc_id. Inverted lists over the retained values generate overlaps between classes: each
+class is listed only under the rarest of its values, as many as two sketches that overlap enough must share one. The
 ``k`` smallest of the union of two sketches estimate the similarity and filter pairs; the rest are confirmed on the
 full sets, made again from the texts.
 
@@ -27,8 +27,6 @@ from .wordhash import Words, chunks, shingles
 
 #: Values that a sketch retains. Two sets at a similarity of 0.8 share under OVERLAP of the 64 smallest of their union with a chance of 1e-8.
 K, OVERLAP = 64, 32
-#: Values next to each other in both of two such sketches: under this many with a chance of 1e-8 (about 40 of 63 are expected).
-PAIRS = 10
 #: Lists up to this length give all their pairs at once; rounds of centres for the longer ones.
 SHORT_LIST, STAR_ROUNDS, STAR_PART = 6, 3, 4
 
@@ -57,26 +55,31 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def listed(sets: DataFrame, k: int = K, pairs: int = PAIRS) -> DataFrame:
-    """Inverted lists ``(value, doc, n)`` of the classes ``(doc, n, sketch)``, by two values that follow each other in a sketch.
+def listed(sets: DataFrame, k: int = K, overlap: int = OVERLAP) -> DataFrame:
+    """Inverted lists ``(value, doc, n)`` of the classes ``(doc, n, sketch)`` under the rarest of their values.
 
-    Of two linked sets' union of u values at most 0.2 u are not common, so at least 0.6 u - 1 of its neighbours are common
-    and stand together in both sketches; of n - 1 neighbours the rarest floor(0.4 n) + 1 therefore hold a common one, where
-    both sets are surely retained whole. Of larger sets' sketches, over PAIRS neighbours are common. Neighbours that one
-    class alone has count among the rarest but make no list.
+    A link needs 0.8 n common values of a set of n, so where both sets are surely retained whole, the floor(0.2 n) + 1 rarest
+    of each hold a common one. Two larger sets' sketches have ``overlap`` common values, and more than that by far most
+    often, so of the rarest k - overlap + 1 many are common; these are listed with the value that follows in the sketch,
+    which two documents of common phrases seldom share too. Sets between (0.8 k to k) are listed both ways, so linked sets
+    meet in one. What a third of all documents share is never among the rarest but where it is half a document.
     """
-    follow = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.get("sketch", i - 1), F.get("sketch", i)))
-    values = sets.where("n >= 4").select("doc", "n", F.explode(follow).alias("value"))
+    after = F.arrays_zip(F.col("sketch").alias("value"), F.slice("sketch", F.lit(2), F.size("sketch")).alias("after"))
+    values = sets.where("n >= 4").select("doc", "n", F.inline(after))
     shared = values.groupBy("value").agg(F.count("*").alias("listed")).where("listed > 1")
-    need = F.when(F.col("n") <= int(0.8 * k), F.floor(2 * F.col("n") / 5) + 1).otherwise(F.least("n", F.lit(k)) - pairs)
-    own = values.join(shared, "value").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("listed", "value"))).alias("own"))
-    alone = F.least("n", F.lit(k)) - 1 - F.size("own")
-    return (
-        own.withColumn("take", need - alone)
-        .where("take > 0")
-        .select("doc", "n", F.explode(F.slice("own", F.lit(1), F.col("take").cast("int"))).alias("v"))
-        .select("v.value", "doc", "n")
-    )
+    own = values.join(shared, "value").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("listed", "value", "after"))).alias("own"))
+    alone = F.least("n", F.lit(k)) - F.size("own")
+    parts = []
+    for need, some, key in (
+        (F.floor(F.col("n") / 5) + 1, F.col("n") <= k, F.xxhash64("v.value")),
+        (F.least("n", F.lit(k)) - overlap + 1, (F.col("n") > int(0.8 * k)) & F.col("v.after").isNotNull(), F.xxhash64("v.value", "v.after")),
+    ):
+        # values that one class alone has count among the rarest but make no list
+        rarest = F.slice("own", F.lit(1), F.greatest(need - alone, F.lit(0)).cast("int"))
+        parts.append(own.select("doc", "n", F.explode(rarest).alias("v")).where(some).select(key.alias("value"), "doc", "n"))
+    lists = parts[0].union(parts[1])
+    several = lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
+    return lists.join(several, "value")
 
 
 def similar(a: str = "na", b: str = "nb") -> F.Column:
@@ -173,7 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         if turn:  # all pairs of different components, if they are few enough
             per = now.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
             row = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-            last = row[1] is None or row[0] <= 16 * row[1] or turn == STAR_ROUNDS
+            last = row[1] is None or row[0] <= 4 * row[1] or turn == STAR_ROUNDS
         else:
             last = False
         pairs = written(estimated(pairs_of(now, turn, last), sets), "pairs")
