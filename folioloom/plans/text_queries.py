@@ -39,7 +39,7 @@ def foreign_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def osa_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions for the unknown words of at most seven letters."""
     words = staged(_words(spark, sf_dir), "words")
-    short = unknown_words(spark, sf_dir).where(F.length("word") <= 7)
+    short = staged(unknown_words(spark, sf_dir).where(F.length("word") <= 7), "unknown")
     return spelling.suggestions(short, words)
 
 
@@ -86,10 +86,11 @@ def comment_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.authors(_comments(spark, sf_dir))
 
 
+#: osa_suggest, run_together and misspelling_groups are not registered yet: their time over whole tables is not known.
 QUERIES = {
     f.__name__: f
     for f in (
-        dict_build, stems, unknown_words, foreign_docs, osa_suggest, run_together, misspelling_groups, search_hits, search_step,
+        dict_build, stems, unknown_words, foreign_docs, search_hits, search_step,
         replace_text, comment_filter, comment_threads, comment_authors,
     )
 }
