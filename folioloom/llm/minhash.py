@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BROADCAST_ROWS, checked, dropped, written
+from .shared import BROADCAST_ROWS, checked, dropped, small_batches, written
 from .wordhash import Words, chunks, shingles
 
 #: Values that a sketch retains. Two sets at a similarity of 0.8 share under OVERLAP of the 64 smallest of their union with a chance of 1e-8.
@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     A null doc_id links with nothing and is kept, with a null component. An empty table gives an empty result.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = written(sketches(plain, words), "sketches")
+    with small_batches(docs.sparkSession):
+        made = written(sketches(plain, words), "sketches")
     full = made.where("set_key is not null and doc_id is not null")
     reps = full.groupBy("set_key").agg(F.min("doc_id").alias("doc"))
     member = written(full.select("doc_id", "set_key").join(reps, "set_key").select("doc_id", F.col("doc").alias("class")).distinct(), "classes")
@@ -182,7 +183,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         pairs = written(estimated(pairs_of(now, turn, last), sets), "pairs")
         dropped(now)
         sure = pairs.where("sure").select("a", "b")
-        found = written(sure.union(confirmed(pairs.where("not sure"), plain, words)), "found")
+        with small_batches(docs.sparkSession):
+            found = written(sure.union(confirmed(pairs.where("not sure"), plain, words)), "found")
         dropped(pairs)
         links = found if links is None else links.union(found)
         roots = components(links)

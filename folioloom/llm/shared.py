@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a table that is broadcast; more rows are joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: Rows and bytes of an Arrow batch of whole texts, which stands in the JVM's and in Python's memory at once.
+BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most for what runs inside; the session's settings come back after it."""
+    arrow = "spark.sql.execution.arrow."
+    wanted = {arrow + "maxRecordsPerBatch": BATCH_ROWS, arrow + "maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``written`` made, once nothing reads it any more."""
     path = getattr(df, "_folioloom_path", None)
