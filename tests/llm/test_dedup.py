@@ -137,3 +137,15 @@ def test_passages_are_cut_but_where_they_stand_first(spark):
     kept = {r.doc_id: r for r in passages.without_repeats(frame).collect()}
     assert kept[1].text == rows[1] and kept[2].text == " ".join(rows[2].split()[60:]) and kept[2].n_chars == len(kept[2].text)
     assert kept[6].text == "End." and 90 not in kept and kept[91].text is None and kept[4].text == rows[4]
+
+
+def test_a_passage_after_its_cut_off_copy(spark):
+    fresh = iter(range(10**6))
+    new = lambda n: [f"v{next(fresh)}" for _ in range(n)]
+    docs = []
+    for _ in range(12):
+        full = new(60)
+        docs += [full[:40] + new(30) + full[:5] + new(20) + full + new(10), new(15) + full + new(15)]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc_id, r.start_word, r.n_words, r.first_start_word) for r in passages.repeated_passages(frame).collect()}
+    assert got == {(2 * k + 1, 2 * k, 15, 60, 95) for k in range(12)}
