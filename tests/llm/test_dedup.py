@@ -149,3 +149,41 @@ def test_a_passage_after_its_cut_off_copy(spark):
     frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     got = {(r.doc_id, r.first_doc_id, r.start_word, r.n_words, r.first_start_word) for r in passages.repeated_passages(frame).collect()}
     assert got == {(2 * k + 1, 2 * k, 15, 60, 95) for k in range(12)}
+
+
+def best_span(a, b, width):
+    """Tokens of the longest span of a that has a similarity of 0.8 with a span of b, by trying all, both with equal edges."""
+    best = 0
+    for x in range(len(a)):
+        for y in range(x + max(width, best + 1), len(a) + 1):
+            mine = set(a[x:y])
+            for p in (k for k, t in enumerate(b) if t == a[x]):
+                for q in (k + 1 for k, t in enumerate(b) if t == a[y - 1] and k >= p):
+                    common = len(mine & set(b[p:q]))
+                    if 5 * common >= 4 * (len(mine) + q - p - common):
+                        best = max(best, y - x)
+    return best
+
+
+def test_passages_of_similarities_from_four_fifths():
+    rng = random.Random(8)
+    fresh = iter(range(1, 10**9))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    grams = lambda w: [hash(tuple(w[i : i + 5])) % 2**64 for i in range(len(w) - 4)]
+    cases = [(51, [(25, 1, 1)]), (52, [(25, 1, 1)]), (53, [(26, 1, 1)]), (60, [(30, 0, 2)])]
+    cases += [(n, [(rng.randrange(6, n - 6), rng.randint(0, 2), rng.randint(0, 2)) for _ in range(rng.randint(1, 2))]) for n in (51, 55, 60, 70, 90, 100) for _ in range(8)]
+    found = 0
+    for n, edits in cases:
+        full = new(n)
+        copy = list(full)
+        for at, less, more in edits:
+            copy[at : at + less] = new(more)
+        a, b = (grams(new(20) + w + new(20)) for w in (copy, full))
+        want = best_span(a, b, 47)
+        got = passages.common_passages(np.array(a, np.uint64), np.array(b, np.uint64), 47)
+        assert max((p[1] for p in got), default=0) == want, (n, edits)
+        for start, size, other, m, like in got:
+            one, two = set(a[start : start + size]), set(b[other : other + m])
+            assert like == len(one & two) / len(one | two) >= 0.8
+        found += bool(want)
+    assert found > 30
