@@ -187,3 +187,18 @@ def test_passages_of_similarities_from_four_fifths():
             assert like == len(one & two) / len(one | two) >= 0.8
         found += bool(want)
     assert found > 30
+
+
+def test_members_meet_beside_a_centre_that_holds_a_part(spark, monkeypatch):
+    fresh = iter(range(10**6))
+    new = lambda n: [f"z{next(fresh)}" for _ in range(n)]
+    docs, want = [], set()
+    for n, part in [(51, 50)] * 6 + [(60, 50)] * 6:
+        full, k = new(n), len(docs)
+        docs += [new(30) + full[:part], new(8) + full + new(30), new(60) + full + new(9), new(5) + full]
+        want |= {(k + 2, k + 1, 60, n), (k + 3, k + 1, 5, n)}
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    for rounds in (4, 0):
+        monkeypatch.setattr(passages, "ROUNDS", rounds, raising=False)
+        got = {(r.doc_id, r.first_doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(frame).collect()}
+        assert want <= got <= want | {(k + 3, k + 2, 5, n) for k, n in [(d - 2, n) for d, f, _, n in want if d == f + 1]}
