@@ -44,7 +44,7 @@ def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
     if now.count() <= few:
-        return now.coalesce(1).mapInArrow(joined, "node long, root long")
+        return written(now.coalesce(1).mapInArrow(joined, "node long, root long"), "roots")
     before = None
     for _ in range(MAX_ROUNDS):
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

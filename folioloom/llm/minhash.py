@@ -6,9 +6,12 @@ class is listed only under the rarest of its values, as many as two sketches tha
 ``k`` smallest of the union of two sketches estimate the similarity and filter pairs; the rest are confirmed on the
 full sets, made again from the texts.
 
-Long lists are not expanded into all pairs. In a round, the members of a list are compared with a few centres of it; links
-found join components; then only lists that still hold several components go on, and when what is left is small (or
-after ``STAR_ROUNDS``), all pairs of different components are compared. So no link between components is missed.
+Long lists are not expanded into all pairs. The members of a list are compared with its centre, the member with the
+fewest values of its own. What does not link to the centre may still link to another member; the two then share most of
+what sets them apart from the centre, so such members meet in lists of a second kind, of a centre and a value that only
+one of centre and member holds. What all members share stands in none of these lists, and a value that one member alone
+has makes none, so a large group of copies that do not link costs no pairs. Members far from the centre go on to another
+centre of the list. So no link between components is missed.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BROADCAST_ROWS, checked, dropped, small_batches, written
+from .shared import beside_centres, dropped, small_batches, written
 from .wordhash import Words, chunks, shingles
 
 #: Values that a sketch retains. Two sets at a similarity of 0.8 share under OVERLAP of the 64 smallest of their union with a chance of 1e-8.
 K, OVERLAP = 64, 32
-#: Lists up to this length give all their pairs at once; rounds of centres for the longer ones.
-SHORT_LIST, STAR_ROUNDS, STAR_PART = 6, 3, 4
+#: Lists up to this length give all their pairs; the longer ones have centres, in so many rounds before what is left is paired.
+SHORT_LIST, ROUNDS = 6, 4
+#: Common values of two sketches below which a similarity of 0.52 has a chance of 1e-4: the pair is far.
+NEAR = 18
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
@@ -56,12 +61,12 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
 
 
 def listed(sets: DataFrame, k: int = K, overlap: int = OVERLAP) -> DataFrame:
-    """Inverted lists ``(value, doc, n)`` of the classes ``(doc, n, sketch)`` under the rarest of their values.
+    """Inverted lists ``(value, doc, n, alone)`` of the classes ``(doc, n, sketch)`` under the rarest of their values.
 
     A link needs 0.8 n common values of a set of n, so where both sets are surely retained whole, the floor(0.2 n) + 1 rarest
     of each hold a common one. Two larger sets' sketches have ``overlap`` common values, and more than that by far most
     often, so of the rarest k - overlap + 1 many are common; these are listed with the value that follows in the sketch,
-    which two documents of common phrases seldom share too. Sets between (0.8 k to k) are listed both ways, so linked sets
+    which two documents of common phrases seldom share too. alone: values of the sketch that no other class has. Sets between (0.8 k to k) are listed both ways, so linked sets
     meet in one. What a third of all documents share is never among the rarest but where it is half a document.
     """
     after = F.arrays_zip(F.col("sketch").alias("value"), F.slice("sketch", F.lit(2), F.size("sketch")).alias("after"))
@@ -76,7 +81,7 @@ def listed(sets: DataFrame, k: int = K, overlap: int = OVERLAP) -> DataFrame:
     ):
         # values that one class alone has count among the rarest but make no list
         rarest = F.slice("own", F.lit(1), F.greatest(need - alone, F.lit(0)).cast("int"))
-        parts.append(own.select("doc", "n", F.explode(rarest).alias("v")).where(some).select(key.alias("value"), "doc", "n"))
+        parts.append(own.select("doc", "n", alone.alias("alone"), F.explode(rarest).alias("v")).where(some).select(key.alias("value"), "doc", "n", "alone"))
     lists = parts[0].union(parts[1])
     several = lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
     return lists.join(several, "value")
@@ -86,63 +91,142 @@ def similar(a: str = "na", b: str = "nb") -> F.Column:
     return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
 
 
-def pairs_of(lists: DataFrame, seed: int, last: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)``, each once, of members whose components differ. last: all of them."""
-    left = lists.select("value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "size")
-    right = lists.select("value", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    differ = (F.col("ra") != F.col("rb")) & similar()
-    whole = left if last else left.where(F.col("size") <= SHORT_LIST)
-    pairs = whole.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & differ).select("a", "b")
-    if not last:
-        # a member stands in many lists; for the stars a part of them will do
-        long = lists.where((F.col("size") > SHORT_LIST) & (F.pmod(F.xxhash64("value"), F.lit(STAR_PART)) == seed % STAR_PART))
-        pick = long.groupBy("value").agg(F.min("doc").alias("c0"), F.min_by("doc", F.xxhash64("doc", F.lit(seed))).alias("c1"))
-        centre = pick.select("value", F.explode(F.array_distinct(F.array("c0", "c1"))).alias("doc")).join(long, ["value", "doc"])
-        centre = centre.select("value", F.col("doc").alias("c"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        star = long.select("value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(centre, "value").where((F.col("a") != F.col("c")) & differ)
-        pairs = pairs.union(star.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")))
-    return pairs.distinct()
-
-
-def estimated(pairs: DataFrame, sets: DataFrame, k: int = K, overlap: int = OVERLAP) -> DataFrame:
-    """Pairs ``(a, b, sure)`` that the smallest values of the sketches' union let pass; sure: the sketches are the full sets and link."""
+def estimated(pairs: DataFrame, sets: DataFrame, least: int, k: int = K) -> DataFrame:
+    """``pairs (a, b, ..)`` with na, nb, d and diff where the sketches are the full sets; of the others those that the estimate lets pass.
+
+    The k smallest values of the sketches' union hold at least ``least`` common ones. d: size of the symmetric difference,
+    null where only the texts tell; diff: its values.
+    """
     sa = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     sb = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("common", F.array_intersect("sa", "sb"))
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    exact = 100 * F.size("common") >= 80 * (F.col("na") + F.col("nb") - F.size("common"))
-    least = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    guess = F.size(F.array_intersect(least, "common")) >= overlap
-    return both.where(F.when(whole, exact).otherwise(guess)).select("a", "b", whole.alias("sure"))
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
+    guess = F.size(F.array_intersect(union, "common")) >= least
+    rows = both.where(whole | guess).withColumn("d", F.when(whole, F.col("na") + F.col("nb") - 2 * F.size("common")))
+    return rows.withColumn("diff", F.when(whole & F.col("long"), F.array_except(F.concat("sa", "sb"), "common"))).drop("sa", "sb", "common")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Links ``(a, b)``: the pairs whose full sets have 100 * intersection >= 80 * union."""
+def compared(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``(a, b, long, na, nb, d, diff)`` on full sets, of ``pairs (a, b, long)``; diff only where ``long``. b is the centre whose text waits for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = None
         for batch in batches:
-            rows, ok = pa.Table.from_batches([batch]), []
-            sides = []
-            for name in ("ta", "tb"):
-                one = []
-                for _, data, offsets in chunks(batch, name):
-                    found = Words(data, offsets)
-                    grams, bounds = shingles(found.hashes(), found.first, words, short=True)
-                    one += [np.unique(grams[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
-                sides.append(one)
-            for x, y in zip(*sides):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= 80 * (len(x) + len(y) - common))
-            yield from rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).to_batches()
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    small = checked(ids, BROADCAST_ROWS)
-    if small is not ids:  # few: the others' texts need not move
-        texts = texts.join(small, "doc_id", "left_semi")
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+            for part, data, offsets in chunks(batch):
+                found = Words(data, offsets)
+                grams, bounds = shingles(found.hashes(), found.first, words, short=True)
+                rows = []
+                for i, (centre, salt, a, long) in enumerate(zip(*(part.column(k).to_pylist() for k in range(4)))):
+                    own = np.unique(grams[bounds[i] : bounds[i + 1]])
+                    if a is None:
+                        held = [*held, own] if last == (centre, salt) else [own]
+                        last = (centre, salt)
+                        continue
+                    # of several texts of one doc_id the nearest counts
+                    d, c = min(((len(own) + len(c) - 2 * len(np.intersect1d(own, c, assume_unique=True)), k) for k, c in enumerate(held)), default=(None, None))
+                    if d is not None:
+                        near = long and 3 * d <= len(own) + len(held[c])
+                        rows.append((a, centre, long, len(own), len(held[c]), d, np.setxor1d(own, held[c], assume_unique=True).view(np.int64) if near else None))
+                columns = list(zip(*rows)) if rows else [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["a", "b", "long", "na", "nb", "d", "diff"])
+
+    return beside_centres(pairs.select("a", "b", "long"), docs, "long").mapInArrow(run, "a long, b long, long boolean, na long, nb long, d long, diff array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: int) -> DataFrame:
+    """``(a, b, long, na, nb, d, diff)`` of ``pairs (a, b, long)`` whose similarity is 0.5 or more, written; a link has 9 d <= na + nb."""
+    guessed = written(estimated(pairs, sets, least), "estimates")
+    with small_batches(docs.sparkSession):
+        told = compared(guessed.where("d is null"), docs, words)
+        sure = guessed.where("d is not null").select(*told.columns)
+        # equal doc_ids with several texts give several rows
+        out = written(sure.union(told).where("3 * d <= na + nb"), "compared")
+    dropped(guessed)
+    return out
+
+
+def with_roots(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    named = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    return rows.join(named, node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def differing(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that may link, from rows ``(a, b, na, nb, d, diff)`` of members a beside their centre b.
+
+    Two members x and y of a centre have d(x, y) = d(x) + d(y) - 2 c, c being what their differences from the centre have in
+    common, and they link if 9 d(x, y) <= n(x) + n(y). So c must reach a bound, and the rarest values of a difference, as many
+    as may be missed and one more, hold a common one. Values that one member alone has are counted but never listed.
+    """
+    named = with_roots(near.where("long").select("a", F.col("b").alias("c"), "na", F.col("nb").alias("nc"), "d", "diff"), roots, "a", "ra")
+    open_ = named.groupBy("c").agg(F.min("ra").alias("r0"), F.max("ra").alias("r1")).where("r0 <> r1").select("c")
+    each = written(named.join(open_, "c").select("c", "a", "na", "nc", "d", "ra", F.explode("diff").alias("v")), "differences")
+    shared = each.groupBy("c", "v").agg(F.count("*").alias("held")).where("held > 1")
+    own = each.join(shared, ["c", "v"]).groupBy("c", "a").agg(*(F.first(x).alias(x) for x in ("na", "nc", "d", "ra")), F.sort_array(F.collect_list(F.struct("held", "v"))).alias("own"))
+    own = own.withColumn("m", F.size("own"))
+    # what two linked members have in common at the least: one of them does not link to the centre, and sizes differ by a quarter
+    unlinked = 9 * F.col("d") > F.col("na") + F.col("nc")
+    least = F.when(unlinked, F.col("d") - F.floor(F.col("na") / 4)).otherwise(F.ceil((F.col("d") + (F.col("nc") - F.col("na")) / 9) / 2 - 1e-9))
+    own = own.withColumn("least", F.greatest(least.cast("int"), F.lit(1))).where("m >= least")
+    rows = own.select("c", "a", "na", "d", "ra", "m", F.posexplode(F.slice("own", F.lit(1), F.col("m") - F.col("least") + 1)).alias("at", "o")).withColumn("v", F.col("o.v")).drop("o")
+    left = rows.select("c", "v", "a", "na", "ra", F.col("d").alias("da"), F.col("m").alias("ma"), F.col("at").alias("pa"))
+    right = rows.select("c", "v", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"), F.col("d").alias("db"), F.col("m").alias("mb"), F.col("at").alias("pb"))
+    need = F.greatest(F.ceil((F.col("da") + F.col("db") - F.floor((F.col("na") + F.col("nb")) / 9)) / 2), F.lit(1))
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & similar() & (F.col("pa") + need <= F.col("ma")) & (F.col("pb") + need <= F.col("mb"))
+    on = (left["c"] == right["c"]) & (left["v"] == right["v"])
+    return left.join(right, on & fits).select("a", "b").distinct()
+
+
+def within(lists: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of different components of lists (value, doc, n, fresh, root), one of the two fresh."""
+    left = lists.select("value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("fresh").alias("fa"))
+    right = lists.select("value", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("fresh").alias("fb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("fa") | F.col("fb")) & similar()
+    return left.join(right, (left["value"] == right["value"]) & fits).select("a", "b").distinct()
+
+
+def linked(lists: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """``links (a, b)`` that span all components of the classes, and their ``roots (node, root)``."""
+    links, roots = None, None
+    now = lists.withColumn("fresh", F.lit(True))
+    for turn in range(ROUNDS):
+        mark = F.struct("alone", F.xxhash64("doc", F.lit(turn)))
+        size = now.groupBy("value").agg(F.count("*").alias("size"), F.min_by(F.when(F.col("fresh"), F.struct(F.col("doc").alias("c"), F.col("n").alias("nc"))), F.when(F.col("fresh"), mark)).alias("best"))
+        rows = written(now.join(size.select("value", "size", "best.c", "best.nc"), "value"), "rows")
+        # sizes further apart than this are below a similarity of 0.5
+        star = rows.where((F.col("doc") != F.col("c")) & (2 * F.col("n") >= F.col("nc")) & (2 * F.col("nc") >= F.col("n")))
+        stars = star.groupBy(F.col("doc").alias("a"), F.col("c").alias("b")).agg(F.max(F.col("size") > SHORT_LIST).alias("long"))
+        near = verified(stars, sets, docs, words, NEAR)
+        found = near.where("9 * d <= na + nb").select("a", "b")
+        links = found if links is None else links.union(found)
+        roots = components(links)
+        short = with_roots(rows.where((F.col("size") > 2) & (F.col("size") <= SHORT_LIST)), roots, "doc", "root")
+        more = within(short).union(differing(near, roots)).distinct()
+        seen = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = verified(more.join(seen, ["a", "b"], "left_anti").withColumn("long", F.lit(False)), sets, docs, words, OVERLAP)
+        links = links.union(more.where("9 * d <= na + nb").select("a", "b"))
+        roots = components(links)
+        # members near the centre are done; those of 0.72 or less may also link to one that is far from it
+        met = near.select(F.col("a").alias("doc"), F.col("b").alias("c"), (F.col("d") <= 0.16 * (F.col("na") + F.col("nb"))).alias("close")).groupBy("doc", "c").agg(F.max("close").alias("close"))
+        rest = rows.where((F.col("size") > SHORT_LIST) & (F.col("doc") != F.col("c"))).join(met, ["doc", "c"], "left")
+        rest = rest.where("close is null or not close").withColumn("fresh", F.col("fresh") & F.col("close").isNull())
+        rest = with_roots(rest.select("value", "doc", "n", "alone", "fresh"), roots, "doc", "root")
+        open_ = rest.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("fresh").alias("some")).where("some and r0 <> r1")
+        now = written(rest.join(open_.select("value"), "value"), "open")
+        dropped(rows)
+        per = now.groupBy("value").agg(F.count("*").alias("s"))
+        row = per.agg(F.sum("s").alias("rows"), F.sum(F.col("s") * (F.col("s") - 1) / 2).alias("pairs")).first()
+        if row["rows"] is None:
+            break
+        if turn == ROUNDS - 1 or row["pairs"] <= 4 * row["rows"]:
+            last = verified(within(now).withColumn("long", F.lit(False)), sets, docs, words, OVERLAP)
+            links = links.union(last.where("9 * d <= na + nb").select("a", "b"))
+            roots = components(links)
+            break
+        now = now.drop("root")
+    return links, roots
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -151,7 +235,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     Two documents link if 100 * intersection >= 80 * union of their shingle sets; component_id is the smallest doc_id that
     links reach, the document's own included; kept marks that one. n_links: links that joined the document's class to
     others (a spanning part of all links). Null or empty texts have no shingles and link with nothing. Equal texts, ties and
-    repeated rows share a class; rows that repeat a doc_id with another text count as further texts of that document.
+    repeated rows share a class; rows that repeat a doc_id with other texts share one component: one of the texts is listed, and all are compared.
     A null doc_id links with nothing and is kept, with a null component. An empty table gives an empty result.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -165,31 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         full.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch").join(heads, "doc").dropDuplicates(["doc"]), "sets"
     )
     lists = written(listed(sets), "lists")
-    links = None
-    roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        if roots is None:
-            now = lists.withColumn("root", F.col("doc"))
-        else:
-            now = lists.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        open_ = now.groupBy("value").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        now = written(now.join(open_.select("value", "size"), "value"), "open")
-        if turn:  # all pairs of different components, if they are few enough
-            per = now.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            row = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-            last = row[1] is None or row[0] <= 4 * row[1] or turn == STAR_ROUNDS
-        else:
-            last = False
-        pairs = written(estimated(pairs_of(now, turn, last), sets), "pairs")
-        dropped(now)
-        sure = pairs.where("sure").select("a", "b")
-        with small_batches(docs.sparkSession):
-            found = written(sure.union(confirmed(pairs.where("not sure"), plain, words)), "found")
-        dropped(pairs)
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        if last:
-            break
+    links, roots = linked(lists, sets, plain, words)
     count = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     named = member.join(roots.withColumnRenamed("node", "class"), "class", "left").join(count, "class", "left")
     named = named.groupBy("doc_id").agg(F.min(F.coalesce("root", "class")).alias("root"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a table that is broadcast; more rows are joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: Most pairs of numbers (32 bytes each) that are broadcast, and members that share one copy of their centre's text.
+BROADCAST_PAIRS, PART_ROWS = 200_000, 256
 #: Rows and bytes of an Arrow batch of whole texts, which stands in the JVM's and in Python's memory at once.
 BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
@@ -63,6 +65,25 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def beside_centres(pairs: DataFrame, texts: DataFrame, *carried: str, part: int = PART_ROWS) -> DataFrame:
+    """``(centre, salt, member, <carried>, text)`` of ``pairs (a, b, ..)``: in each task a row of the centre b (member null), then its members a.
+
+    So a centre's text is sent once for each ``part`` members, not once a pair, and no task holds a centre's members: they pass by.
+    texts: ``(doc_id, text)``.
+    """
+    per = pairs.groupBy("b").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    own = pairs.join(per, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    small = F.broadcast if few else (lambda df: df)
+    members = texts.join(small(own.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "salt", *carried)), "doc_id")
+    members = members.select("centre", "salt", F.col("doc_id").alias("member"), *carried, "text")
+    heads = per.select(F.col("b").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    heads = texts.join(small(heads), "doc_id").select(F.col("doc_id").alias("centre"), "salt", F.lit(None).cast("long").alias("member"), *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in carried), "text")
+    # unlike a join, this sort by centre needs no row of a group beside another
+    return heads.unionByName(members).repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
+
+
 def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``rows`` rows (counted without reading past that), else as it is."""
     few = small.limit(rows + 1).count() <= rows

@@ -64,6 +64,35 @@ def test_long_lists_join_by_centres(spark, monkeypatch):
     assert [got[i] for i in range(len(rows))] == brute(rows, 2)
 
 
+def dense_group(seed, length, copies, most):
+    """Copies of one text with edits from a small stock: some link to it, some to each other, most of the far ones to nothing."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(length)]
+    out = [" ".join(base[: length // 2]), " ".join(base)]
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(rng.randint(1, most)):
+            copy[rng.randrange(length)] = f"x{rng.randrange(12)}"
+        out.append(" ".join(copy))
+        if rng.random() < 0.3:
+            copy[rng.randrange(length)] = "y"
+            out.append(" ".join(copy))
+    rng.shuffle(out)
+    return out
+
+
+def test_groups_of_copies_that_hardly_link_are_those_of_all_pairs(spark, monkeypatch):
+    made = []
+    real = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *rest: (made.append(pairs.count()), real(pairs, *rest))[1])
+    for length, most in ((40, 5), (120, 12)):
+        rows = dense_group(length, length, 150, most)
+        frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, 2).collect()}
+        assert [got[i] for i in range(len(rows))] == brute(rows, 2)
+    assert sum(made) < 40 * len(rows)
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     rows = [(None, "a b c"), (3, "a b c"), (3, "a b c"), (2, "a b c"), (7, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
