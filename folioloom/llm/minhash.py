@@ -6,12 +6,12 @@ class is listed only under the rarest of its values, as many as two sketches tha
 ``k`` smallest of the union of two sketches estimate the similarity and filter pairs; the rest are confirmed on the
 full sets, made again from the texts.
 
-Long lists are not expanded into all pairs. The members of a list are compared with its centre, the member with the
-fewest values of its own. What does not link to the centre may still link to another member; the two then share most of
+Long lists are not expanded into all pairs. The members of a list are compared with its centre, the member whose
+values most others have. What does not link to the centre may still link to another member; the two then share most of
 what sets them apart from the centre, so such members meet in lists of a second kind, of a centre and a value that only
 one of centre and member holds. What all members share stands in none of these lists, and a value that one member alone
-has makes none, so a large group of copies that do not link costs no pairs. Members far from the centre go on to another
-centre of the list. So no link between components is missed.
+has makes none, so a large group of copies that do not link costs no pairs. Lists with members far from the centre have
+another centre, with which all of them are compared. So no link between components is missed.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import beside_centres, dropped, small_batches, written
+from .shared import BROADCAST_PAIRS, beside_centres, dropped, small_batches, written
 from .wordhash import Words, chunks, shingles
 
 #: Values that a sketch retains. Two sets at a similarity of 0.8 share under OVERLAP of the 64 smallest of their union with a chance of 1e-8.
 K, OVERLAP = 64, 32
-#: Lists up to this length give all their pairs; the longer ones have centres, in so many rounds before what is left is paired.
-SHORT_LIST, ROUNDS = 6, 4
+#: Lists up to this length give all their pairs; the longer ones meet by differences from a centre.
+SHORT_LIST = 6
 #: Common values of two sketches below which a similarity of 0.52 has a chance of 1e-4: the pair is far.
 NEAR = 18
 
@@ -61,12 +61,13 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
 
 
 def listed(sets: DataFrame, k: int = K, overlap: int = OVERLAP) -> DataFrame:
-    """Inverted lists ``(value, doc, n, alone)`` of the classes ``(doc, n, sketch)`` under the rarest of their values.
+    """Inverted lists ``(value, doc, n, apart)`` of the classes ``(doc, n, sketch)`` under the rarest of their values.
 
     A link needs 0.8 n common values of a set of n, so where both sets are surely retained whole, the floor(0.2 n) + 1 rarest
     of each hold a common one. Two larger sets' sketches have ``overlap`` common values, and more than that by far most
     often, so of the rarest k - overlap + 1 many are common; these are listed with the value that follows in the sketch,
-    which two documents of common phrases seldom share too. alone: values of the sketch that no other class has. Sets between (0.8 k to k) are listed both ways, so linked sets
+    which two documents of common phrases seldom share too. apart: how far from others, by the
+    classes that have its values: the least is in the middle of a group. Sets between (0.8 k to k) are listed both ways, so linked sets
     meet in one. What a third of all documents share is never among the rarest but where it is half a document.
     """
     after = F.arrays_zip(F.col("sketch").alias("value"), F.slice("sketch", F.lit(2), F.size("sketch")).alias("after"))
@@ -74,6 +75,7 @@ def listed(sets: DataFrame, k: int = K, overlap: int = OVERLAP) -> DataFrame:
     shared = values.groupBy("value").agg(F.count("*").alias("listed")).where("listed > 1")
     own = values.join(shared, "value").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("listed", "value", "after"))).alias("own"))
     alone = F.least("n", F.lit(k)) - F.size("own")
+    apart = -F.aggregate("own", F.lit(0.0), lambda total, v: total + F.log2(v["listed"])) / F.least("n", F.lit(k))
     parts = []
     for need, some, key in (
         (F.floor(F.col("n") / 5) + 1, F.col("n") <= k, F.xxhash64("v.value")),
@@ -81,7 +83,7 @@ def listed(sets: DataFrame, k: int = K, overlap: int = OVERLAP) -> DataFrame:
     ):
         # values that one class alone has count among the rarest but make no list
         rarest = F.slice("own", F.lit(1), F.greatest(need - alone, F.lit(0)).cast("int"))
-        parts.append(own.select("doc", "n", alone.alias("alone"), F.explode(rarest).alias("v")).where(some).select(key.alias("value"), "doc", "n", "alone"))
+        parts.append(own.select("doc", "n", apart.alias("apart"), F.explode(rarest).alias("v")).where(some).select(key.alias("value"), "doc", "n", "apart"))
     lists = parts[0].union(parts[1])
     several = lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
     return lists.join(several, "value")
@@ -92,23 +94,27 @@ def similar(a: str = "na", b: str = "nb") -> F.Column:
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, least: int, k: int = K) -> DataFrame:
-    """``pairs (a, b, ..)`` with na, nb, d and diff where the sketches are the full sets; of the others those that the estimate lets pass.
+    """``pairs (a, b, long)`` with na, nb, d and diff where the sketches are the full sets; of the others those that the estimate lets pass.
 
     The k smallest values of the sketches' union hold at least ``least`` common ones. d: size of the symmetric difference,
-    null where only the texts tell; diff: its values.
+    null where only the texts tell; diff: its values, where ``long``.
     """
     sa = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     sb = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(sa, "a").join(sb, "b").withColumn("common", F.array_intersect("sa", "sb"))
+    few = pairs.count() <= BROADCAST_PAIRS  # then the sketches of all others need not move
+    ids = F.broadcast(pairs) if few else pairs
+    both = sa.join(ids, "a").join(sb.join(F.broadcast(pairs.select("a", "b")) if few else pairs.select("a", "b"), "b"), ["a", "b"])
+    both = both.withColumn("common", F.array_intersect("sa", "sb"))
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
+    d = F.col("na") + F.col("nb") - 2 * F.size("common")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    guess = F.size(F.array_intersect(union, "common")) >= least
-    rows = both.where(whole | guess).withColumn("d", F.when(whole, F.col("na") + F.col("nb") - 2 * F.size("common")))
-    return rows.withColumn("diff", F.when(whole & F.col("long"), F.array_except(F.concat("sa", "sb"), "common"))).drop("sa", "sb", "common")
+    passes = F.when(whole, (3 * d <= F.col("na") + F.col("nb")) | F.lit(not least)).otherwise(F.size(F.array_intersect(union, "common")) >= least)
+    diff = F.when(whole & F.col("long"), F.array_except(F.concat("sa", "sb"), "common"))
+    return both.where(passes).select("a", "b", "long", "na", "nb", F.when(whole, d).alias("d"), diff.alias("diff"))
 
 
-def compared(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``(a, b, long, na, nb, d, diff)`` on full sets, of ``pairs (a, b, long)``; diff only where ``long``. b is the centre whose text waits for the others."""
+def compared(pairs: DataFrame, docs: DataFrame, words: int, far: bool) -> DataFrame:
+    """``(a, b, long, na, nb, d, diff)`` on full sets, of ``pairs (a, b, long)``; diff only where ``long``, and near or ``far``. b is the centre whose text waits for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -127,7 +133,7 @@ def compared(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                     # of several texts of one doc_id the nearest counts
                     d, c = min(((len(own) + len(c) - 2 * len(np.intersect1d(own, c, assume_unique=True)), k) for k, c in enumerate(held)), default=(None, None))
                     if d is not None:
-                        near = long and 3 * d <= len(own) + len(held[c])
+                        near = long and (far or 3 * d <= len(own) + len(held[c]))
                         rows.append((a, centre, long, len(own), len(held[c]), d, np.setxor1d(own, held[c], assume_unique=True).view(np.int64) if near else None))
                 columns = list(zip(*rows)) if rows else [[]] * 7
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
@@ -137,13 +143,18 @@ def compared(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: int) -> DataFrame:
-    """``(a, b, long, na, nb, d, diff)`` of ``pairs (a, b, long)`` whose similarity is 0.5 or more, written; a link has 9 d <= na + nb."""
+    """``(a, b, long, na, nb, d, diff)`` of ``pairs (a, b, long)``, written; a link has 9 d <= na + nb.
+
+    Pairs under a similarity of 0.5 are left out, unless ``least`` is 0: no estimate then.
+    """
+    pairs = written(pairs, "pairs")
     guessed = written(estimated(pairs, sets, least), "estimates")
+    dropped(pairs)
     with small_batches(docs.sparkSession):
-        told = compared(guessed.where("d is null"), docs, words)
+        told = compared(guessed.where("d is null"), docs, words, not least)
         sure = guessed.where("d is not null").select(*told.columns)
         # equal doc_ids with several texts give several rows
-        out = written(sure.union(told).where("3 * d <= na + nb"), "compared")
+        out = written(sure.union(told).where(F.lit(not least) | (3 * F.col("d") <= F.col("na") + F.col("nb"))), "compared")
     dropped(guessed)
     return out
 
@@ -180,52 +191,50 @@ def differing(near: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def within(lists: DataFrame) -> DataFrame:
-    """All pairs ``(a, b)`` of different components of lists (value, doc, n, fresh, root), one of the two fresh."""
-    left = lists.select("value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("fresh").alias("fa"))
-    right = lists.select("value", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("fresh").alias("fb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("fa") | F.col("fb")) & similar()
+    """All pairs ``(a, b)`` of different components of short lists (value, doc, n, root)."""
+    left = lists.select("value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = lists.select("value", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & similar()
     return left.join(right, (left["value"] == right["value"]) & fits).select("a", "b").distinct()
 
 
 def linked(lists: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """``links (a, b)`` that span all components of the classes, and their ``roots (node, root)``."""
+    """``links (a, b)`` that span all components of the classes, and their ``roots (node, root)``.
+
+    In the first round members that the estimate puts far from their list's centre are left out; in the second one all
+    members of the lists that have such ones are compared with a centre.
+    """
     links, roots = None, None
     now = lists.withColumn("fresh", F.lit(True))
-    for turn in range(ROUNDS):
-        mark = F.struct("alone", F.xxhash64("doc", F.lit(turn)))
-        size = now.groupBy("value").agg(F.count("*").alias("size"), F.min_by(F.when(F.col("fresh"), F.struct(F.col("doc").alias("c"), F.col("n").alias("nc"))), F.when(F.col("fresh"), mark)).alias("best"))
+    for least in (NEAR, 0):
+        centre = F.min_by(F.when(F.col("fresh"), F.struct(F.col("doc").alias("c"), F.col("n").alias("nc"))), F.when(F.col("fresh"), F.struct("apart", "doc")))
+        size = now.groupBy("value").agg(F.count("*").alias("size"), centre.alias("best"))
         rows = written(now.join(size.select("value", "size", "best.c", "best.nc"), "value"), "rows")
         # sizes further apart than this are below a similarity of 0.5
-        star = rows.where((F.col("doc") != F.col("c")) & (2 * F.col("n") >= F.col("nc")) & (2 * F.col("nc") >= F.col("n")))
-        stars = star.groupBy(F.col("doc").alias("a"), F.col("c").alias("b")).agg(F.max(F.col("size") > SHORT_LIST).alias("long"))
-        near = verified(stars, sets, docs, words, NEAR)
+        apart = (2 * F.col("n") < F.col("nc")) | (2 * F.col("nc") < F.col("n"))
+        star = rows.where((F.col("doc") != F.col("c")) & (~apart | F.lit(not least)))
+        long = (F.col("size") > SHORT_LIST) | F.lit(not least)
+        stars = star.groupBy(F.col("doc").alias("a"), F.col("c").alias("b")).agg(F.max(long).alias("long"))
+        near = verified(stars, sets, docs, words, least)
         found = near.where("9 * d <= na + nb").select("a", "b")
         links = found if links is None else links.union(found)
         roots = components(links)
-        short = with_roots(rows.where((F.col("size") > 2) & (F.col("size") <= SHORT_LIST)), roots, "doc", "root")
-        more = within(short).union(differing(near, roots)).distinct()
+        more = differing(near, roots)
+        if least:
+            more = more.union(within(with_roots(rows.where((F.col("size") > 2) & (F.col("size") <= SHORT_LIST)), roots, "doc", "root"))).distinct()
         seen = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = verified(more.join(seen, ["a", "b"], "left_anti").withColumn("long", F.lit(False)), sets, docs, words, OVERLAP)
         links = links.union(more.where("9 * d <= na + nb").select("a", "b"))
         roots = components(links)
-        # members near the centre are done; those of 0.72 or less may also link to one that is far from it
-        met = near.select(F.col("a").alias("doc"), F.col("b").alias("c"), (F.col("d") <= 0.16 * (F.col("na") + F.col("nb"))).alias("close")).groupBy("doc", "c").agg(F.max("close").alias("close"))
-        rest = rows.where((F.col("size") > SHORT_LIST) & (F.col("doc") != F.col("c"))).join(met, ["doc", "c"], "left")
-        rest = rest.where("close is null or not close").withColumn("fresh", F.col("fresh") & F.col("close").isNull())
-        rest = with_roots(rest.select("value", "doc", "n", "alone", "fresh"), roots, "doc", "root")
-        open_ = rest.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("fresh").alias("some")).where("some and r0 <> r1")
-        now = written(rest.join(open_.select("value"), "value"), "open")
+        if least:
+            # members near the centre are done; those of 0.72 or less may also link to one that is far from it
+            met = near.select(F.col("a").alias("doc"), F.col("b").alias("c"), (F.col("d") <= 0.16 * (F.col("na") + F.col("nb"))).alias("close")).groupBy("doc", "c").agg(F.max("close").alias("close"))
+            rest = rows.where((F.col("size") > SHORT_LIST) & (F.col("doc") != F.col("c"))).join(met, ["doc", "c"], "left")
+            rest = rest.where("close is null or not close").withColumn("fresh", F.col("close").isNull())
+            rest = with_roots(rest.select("value", "doc", "n", "apart", "fresh"), roots, "doc", "root")
+            open_ = rest.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("fresh").alias("some")).where("some and r0 <> r1")
+            now = written(rest.join(open_.select("value"), "value").drop("root"), "open")
         dropped(rows)
-        per = now.groupBy("value").agg(F.count("*").alias("s"))
-        row = per.agg(F.sum("s").alias("rows"), F.sum(F.col("s") * (F.col("s") - 1) / 2).alias("pairs")).first()
-        if row["rows"] is None:
-            break
-        if turn == ROUNDS - 1 or row["pairs"] <= 4 * row["rows"]:
-            last = verified(within(now).withColumn("long", F.lit(False)), sets, docs, words, OVERLAP)
-            links = links.union(last.where("9 * d <= na + nb").select("a", "b"))
-            roots = components(links)
-            break
-        now = now.drop("root")
     return links, roots
 
 
@@ -250,6 +259,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     )
     lists = written(listed(sets), "lists")
     links, roots = linked(lists, sets, plain, words)
+    for done in (lists, sets):
+        dropped(done)
     count = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     named = member.join(roots.withColumnRenamed("node", "class"), "class", "left").join(count, "class", "left")
     named = named.groupBy("doc_id").agg(F.min(F.coalesce("root", "class")).alias("root"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from .shared import checked, written
 
-#: Words a block, shards (a power of two), documents that a prefix sum takes together.
-BLOCK_WORDS, SHARDS, BUCKET_DOCS = 256, 16, 1024
+#: Words a block, the fewest shards (a power of two), words a shard at about which there are twice as many, documents that a prefix sum takes together.
+BLOCK_WORDS, SHARDS, SHARD_WORDS, BUCKET_DOCS = 256, 16, 4_000_000, 1024
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: A prime beyond any number of blocks of a source; multiplying by it permutes them.
-PRIME = 2147483647
+#: Rounds of a block's permutation, and the most steps until a number lies among the blocks: each step misses with a chance of one in their root.
+ROUNDS, STEPS = 3, 40
 #: Standard deviations around the mean within which a draw is made: beyond, doubles hold no probability.
 REACH = 12
 WORD = r"[^\x20\x09-\x0D]+"
@@ -160,9 +160,34 @@ def goals(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float,
 
 
 def drawn(block: F.Column) -> F.Column:
-    """Place of a block in its source's permutation: a block is drawn if this is under the quota."""
-    shift = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(7)), F.col("blocks"))
-    return F.pmod(block * F.lit(PRIME) + shift, F.col("blocks"))
+    """Place of a block in its source's permutation: a block is drawn if this is under the quota.
+
+    Two coordinates of a rectangle that hardly exceeds the blocks are shifted in turn by hashes of each other, and numbers
+    beyond the blocks are shifted again, so the places are a permutation with no rows beside each other.
+    """
+    a = F.greatest(F.ceil(F.sqrt(F.col("blocks").cast("double"))), F.lit(1)).cast("long")
+    b = F.ceil(F.col("blocks") / F.greatest(a, F.lit(1))).cast("long")
+    hashed = lambda x, k: F.xxhash64(x, F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(k))
+
+    def shuffled(x: F.Column) -> F.Column:
+        start = F.struct(F.floor(x / b).cast("long").alias("u"), F.pmod(x, b).alias("v"))
+
+        def turn(at: F.Column, k: F.Column) -> F.Column:
+            u = F.pmod(at["u"] + hashed(at["v"], 0) + k * 7919, a)
+            return F.struct(u.cast("long").alias("u"), at["v"].alias("v"))
+
+        def other(at: F.Column, k: F.Column) -> F.Column:
+            return F.struct(at["u"].alias("u"), F.pmod(at["v"] + hashed(at["u"], 1) + k * 104729, b).cast("long").alias("v"))
+
+        end = start
+        for k in range(ROUNDS):
+            end = F.get(F.transform(F.transform(F.array(end), lambda at, k=k: turn(at, F.lit(k))), lambda at, k=k: other(at, F.lit(k))), 0)
+        return F.get(F.transform(F.array(end), lambda at: at["u"] * b + at["v"]), 0)
+
+    steps = F.sequence(F.lit(1), F.least(a + 1, F.lit(STEPS)).cast("int"))
+    first = F.struct(block.cast("long").alias("x"), F.lit(False).alias("done"))
+    walk = lambda s, i: F.when(s["done"], s).otherwise(F.get(F.transform(F.array(shuffled(s["x"])), lambda y: F.struct(y.alias("x"), (y < F.col("blocks")).alias("done"))), 0))
+    return F.aggregate(steps, first, walk)["x"]
 
 
 def pieces(block: int) -> F.Column:
@@ -178,52 +203,81 @@ def pieces(block: int) -> F.Column:
     return F.when(F.col("size") > 0, F.transform(numbers, piece))
 
 
-def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK_WORDS) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``: words of each document that the mix takes, repeats counted.
+def draws(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...], share: float, most: float, block: int, shards: int | None) -> DataFrame:
+    """``rows`` (with doc_id, source, size and _mark) as ``plan`` gives them, with taken: structs (shard, word, n, copy) of what the mix takes.
+
+    A document's whole passes go to shards by a hash; its drawn blocks go to the shards in whose runs of its source's blocks
+    their places lie, as the splitting tree dealt these; neighbouring blocks of one shard are one piece. A document of no
+    words is taken once. shards: a power of two; None: as many as SHARD_WORDS asks for.
+    """
+    if shards is None:
+        words = share * (sizes.agg(F.sum("size")).first()[0] or 0)
+        shards = SHARDS
+        while shards * SHARD_WORDS < words:
+            shards *= 2
+    rows = plan(rows, sizes, weights, share, most, block)
+    quotas = shard_quotas(goals(sizes, weights, share, most, block).select("source", "quota"), shards)
+    ends = quotas.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", (F.col("first") + F.col("quota")).alias("end")))).alias("ends"))
+    ends = ends.withColumnRenamed("source", "_source")
+    rows = rows.join(checked(ends), rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    copies = F.greatest(F.col("full"), (F.col("size") == 0).cast("long")).cast("int")
+    whole = F.transform(F.sequence(F.lit(1), copies), lambda k: F.struct(
+        F.pmod(F.xxhash64("doc_id", "start", k, F.lit(11)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).cast("long").alias("word"), F.col("size").alias("n"), k.cast("long").alias("copy")))
+    none = F.array().cast("array<struct<shard:int,word:bigint,n:bigint,copy:bigint>>")
+    whole = F.when(copies > 0, whole).otherwise(none)
+    shard_of = lambda place: F.size(F.filter("ends", lambda e: e["end"] <= place))
+    mine = F.transform(F.filter(pieces(block), lambda p: p["place"] < F.col("quota")), lambda p: F.struct(shard_of(p["place"]).alias("shard"), p["word"].alias("word"), (p["word"] + p["n"]).alias("end")))
+
+    def joined(all_: F.Column) -> F.Column:
+        """Pieces that go on where the one before ends, in the same shard, as one."""
+        goes_on = lambda i: F.coalesce((F.get(all_, i - 1)["shard"] == F.get(all_, i)["shard"]) & (F.get(all_, i - 1)["end"] == F.get(all_, i)["word"]), F.lit(False))
+        heads = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: ~goes_on(i))
+        piece = lambda h, last: F.struct(F.get(all_, h)["shard"].alias("shard"), F.get(all_, h)["word"].alias("word"), (F.get(all_, last)["end"] - F.get(all_, h)["word"]).alias("n"), F.lit(0).cast("long").alias("copy"))
+        return F.get(F.transform(F.array(heads), lambda hs: F.transform(hs, lambda h, j: piece(h, F.coalesce(F.get(hs, j + 1), F.size(all_)) - 1))), 0)
+
+    part = F.when((F.col("size") > 0) & (F.col("quota") > 0), F.get(F.transform(F.array(mine), lambda m: F.when(F.size(m) > 0, joined(m)).otherwise(none)), 0)).otherwise(none)
+    return rows.withColumn("taken", F.concat(whole, part))
+
+
+def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK_WORDS, shards: int | None = None) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)``: words of each document that the mix takes, repeats counted, summed over its shards' draws.
 
     A null text has no words; a null source is one of its own; equal rows are drawn apart only by where they stand; an empty
     table gives an empty result. Reruns agree, as every draw hangs on hashes.
     """
     sizes = slim(docs)
-    rows = plan(sizes, sizes, weights, share, most, block)
-    extra = F.aggregate(F.filter(pieces(block), lambda p: p["place"] < F.col("quota")), F.lit(0).cast("long"), lambda total, p: total + p["n"])
-    taken = F.col("full") * F.col("size") + F.when((F.col("size") > 0) & (F.col("quota") > 0), extra).otherwise(0)
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = draws(sizes, sizes, weights, share, most, block, shards)
+    taken = F.aggregate("taken", F.lit(0).cast("long"), lambda total, p: total + p["n"])
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK_WORDS, shards: int | None = None) -> DataFrame:
     """The mix itself: ``docs`` with shard and place, one row for each document or piece of one that the mix takes.
 
-    text holds the piece's words with what parts them, and n_chars (if there) follows it. A source's whole passes go to shards
-    by a hash; its drawn blocks go where the splitting tree sends them, neighbouring blocks of one document and shard as one
-    piece. place orders a shard's rows by a hash. A document of no words is in the mix once.
+    text holds the piece's words with what parts them, and n_chars (if there) follows it. Each shard's rows stand in the
+    order of place, a hash. Columns of docs may have any names; only shard and place are replaced if docs has them.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in ("shard", "place")]
     sizes = slim(docs)
-    rows = plan(marked(sized(docs.drop("size"))), sizes, weights, share, most, block)
-    quotas = shard_quotas(goals(sizes, weights, share, most, block).select("source", "quota"), shards)
-    ends = quotas.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", (F.col("first") + F.col("quota")).alias("end")))).alias("ends"))
-    ends = ends.withColumnRenamed("source", "_source")
-    rows = rows.join(checked(ends), rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    mark = lambda *also: F.xxhash64("doc_id", "start", *also)
-    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.col("full"), (F.col("size") == 0).cast("long")).cast("int")), lambda k: F.struct(
-        F.pmod(mark(k, F.lit(11)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).cast("long").alias("word"), F.col("size").alias("n"), k.cast("long").alias("copy")))
-    none = F.array().cast("array<struct<shard:int,word:bigint,n:bigint,copy:bigint>>")
-    whole = F.when((F.col("full") > 0) | (F.col("size") == 0), whole).otherwise(none)
-    shard_of = lambda place: F.size(F.filter("ends", lambda e: e["end"] <= place))
-    part = F.transform(F.filter(pieces(block), lambda p: p["place"] < F.col("quota")), lambda p: F.struct(shard_of(p["place"]).alias("shard"), p["word"].alias("word"), p["n"].alias("n"), F.lit(0).cast("long").alias("copy")))
-
-    def join_up(done: F.Column, p: F.Column) -> F.Column:
-        last = F.get(done, F.size(done) - 1)
-        meets = (last["shard"] == p["shard"]) & (last["word"] + last["n"] == p["word"])
-        longer = F.struct(last["shard"].alias("shard"), last["word"].alias("word"), (last["n"] + p["n"]).alias("n"), p["copy"].alias("copy"))
-        return F.when((F.size(done) > 0) & meets, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(p)))
-
-    part = F.when((F.col("size") > 0) & (F.col("quota") > 0), F.aggregate(part, none, join_up)).otherwise(none)
-    out = rows.withColumn("_p", F.explode(F.concat(whole, part)))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    text = F.when(F.col("_p.n") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("_p.word") + 1).cast("int"), F.col("_p.n").cast("int")), ""))
-    out = out.withColumn("text", text).withColumn("shard", F.col("_p.shard")).withColumn("place", mark("_p.copy", "_p.word", F.lit(13)))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns, "shard", "place")
+    # the rows' own columns are kept in one struct, beside those that the plan needs
+    packed = marked(sized(docs.select(F.struct(*columns).alias("_row"), "doc_id", "source", "text"))).drop("text")
+    rows = draws(packed, sizes, weights, share, most, block, shards)
+    # a text is parted into words once, for all its pieces
+    words = F.regexp_extract_all(F.col("_row")["text"], F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    with_text = lambda p, text: F.struct(p["shard"].alias("shard"), p["word"].alias("word"), p["copy"].alias("copy"), text.alias("text"))
+    cut = F.get(F.transform(F.array(words), lambda w: F.transform("taken", lambda p: with_text(p, F.when(p["n"] == F.col("size"), F.col("_row")["text"]).otherwise(F.array_join(F.slice(w, (p["word"] + 1).cast("int"), p["n"].cast("int")), ""))))), 0)
+    uncut = F.transform("taken", lambda p: with_text(p, F.col("_row")["text"]))
+    parted = F.exists("taken", lambda p: p["n"] != F.col("size"))
+    rest = F.struct(*(F.col("_row")[c].alias(c) for c in columns if c != "text")).alias("_rest")
+    out = rows.select(rest, "doc_id", "start", F.explode(F.when(parted, cut).otherwise(uncut)).alias("_p"))
+    out = out.select("_rest", F.col("_p.text").alias("_text"), F.col("_p.shard").alias("_shard"), F.xxhash64("doc_id", "start", "_p.copy", "_p.word", F.lit(13)).alias("_place"))
+    out = out.repartition("_shard").sortWithinPartitions("_shard", "_place")
+
+    def column(name: str) -> F.Column:
+        if name == "text":
+            return F.col("_text").alias("text")
+        if name == "n_chars":
+            return F.coalesce(F.length("_text"), F.lit(0)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return F.col("_rest")[name].alias(name)
+
+    return out.select(*map(column, columns), F.col("_shard").alias("shard"), F.col("_place").alias("place"))

@@ -236,6 +236,33 @@ def test_shards_add_up_to_the_quotas(spark):
     assert {sum(r.quota for r in rows if r.shard == s) for s in range(8)} <= {136, 137}
 
 
+def test_blocks_are_permuted(spark):
+    counts = spark.createDataFrame([(b, s) for b in (1, 2, 3, 7, 10, 50, 331) for s in ("a", None)], "blocks long, source string")
+    rows = counts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("place", mixing.drawn(F.col("block"))).collect()
+    for blocks, source in {(r.blocks, r.source) for r in rows}:
+        places = [r.place for r in sorted(rows, key=lambda r: r.block) if (r.blocks, r.source) == (blocks, source)]
+        assert sorted(places) == list(range(blocks))
+        if blocks > 40:
+            steps = [(b - a) % blocks for a, b in zip(places, places[1:])]
+            assert max(map(steps.count, steps)) < blocks / 3
+
+
+def test_mix_of_long_texts_and_clashing_columns(spark):
+    rows = [(k, f"t{k} " * (40_000 if k == 3 else 90), "s0" if k % 2 else "s1") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ["size", "start", "place", "shard", "target", "full", "quota", "blocks", "source_size", "ends", "taken", "_mark", "_row", "_p", "_text"]
+    clash = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    out = mixing.mixed(clash)
+    assert out.columns == [c for c in clash.columns if c not in ("shard", "place")] + ["shard", "place"]
+    taken = {r.doc_id: r.taken for r in mixing.taken_words(docs).collect()}
+    per = {}
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names if n not in ("shard", "place"))
+        assert set(r.text.split()) == {f"t{r.doc_id}"}
+        per[r.doc_id] = per.get(r.doc_id, 0) + len(r.text.split())
+    assert {k: v for k, v in taken.items() if v} == per
+
+
 def test_mix_reaches_its_targets(spark):
     rng = random.Random(8)
     rows = []
