@@ -209,7 +209,7 @@ def test_passages_of_similarities_from_four_fifths():
             copy[at : at + less] = new(more)
         a, b = (grams(new(20) + w + new(20)) for w in (copy, full))
         want = best_span(a, b, 47)
-        got = passages.common_passages(np.array(a, np.uint64), np.array(b, np.uint64), 47)
+        got = passages.common_passages(*(passages.Prepared(np.array(x, np.uint64)) for x in (a, b)), 47)
         assert max((p[1] for p in got), default=0) == want, (n, edits)
         for start, size, other, m, like in got:
             one, two = set(a[start : start + size]), set(b[other : other + m])
