@@ -73,13 +73,39 @@ def paired(turns: DataFrame) -> DataFrame:
     return own.groupBy("pair_id").agg(side(0).alias("chosen"), side(1).alias("rejected"))
 
 
+def answered_otherwise(turns: DataFrame) -> DataFrame:
+    """``(pair_id, chosen, rejected)``: conversation 2 i, and the same with another answer, the last one of conversation 2 i + 1.
+
+    The other answer stands for conversation 2 i's last turn of the assistant (without one, after all turns), and nothing
+    follows it. Without such an answer there is no rejected side. Turns without a conv_id belong to no pair.
+    """
+    own = conversations(turns).withColumn("pair_id", F.shiftright("conv_id", 1))
+    side = lambda odd: F.max(F.when(F.pmod("conv_id", F.lit(2)) == odd, F.col("turns")))
+    rows = own.groupBy("pair_id").agg(side(0).alias("chosen"), side(1).alias("other"))
+    last = lambda c: F.array_max(F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda k: F.get(c, k)["role"].eqNullSafe(LEARNED)))
+    rows = rows.withColumn("cut", F.coalesce(last("chosen"), F.size("chosen"))).withColumn("at", last("other"))
+    before = F.when(F.col("chosen").isNull(), F.slice("other", F.lit(1), F.lit(0))).otherwise(F.slice("chosen", F.lit(1), F.col("cut")))
+    rejected = F.when(F.col("at").isNotNull(), F.concat(before, F.slice("other", F.col("at") + 1, F.lit(1))))
+    return rows.select("pair_id", "chosen", rejected.alias("rejected"))
+
+
 SQL = """
-WITH t AS (
+WITH s AS (
   SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
-    CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id - 2 * CAST(floor(conv_id / 2.0) AS BIGINT) AS side,
-    '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' AS body
+    CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id - 2 * CAST(floor(conv_id / 2.0) AS BIGINT) AS odd
   FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT pair_id, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM t GROUP BY pair_id),
+cut AS (SELECT pair_id, coalesce(max(k) FILTER (role = 'assistant'), max(k) + 1) AS cut FROM s WHERE odd = 0 GROUP BY pair_id),
+other AS (
+  SELECT pair_id, role, text FROM s WHERE odd = 1 AND role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY k DESC) = 1),
+u AS (
+  SELECT pair_id, 0 AS side, k, role, text FROM s WHERE odd = 0
+  UNION ALL SELECT s.pair_id, 1, s.k, s.role, s.text FROM s JOIN cut USING (pair_id) JOIN other USING (pair_id) WHERE odd = 0 AND k < cut
+  UNION ALL SELECT pair_id, 1, coalesce(cut, 1), role, text FROM other LEFT JOIN cut USING (pair_id)),
+t AS (SELECT *, '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' AS body FROM u),
+n AS (
+  SELECT s.pair_id, coalesce(any_value(m.n0), 0) AS n0, coalesce(any_value(m.n1), 0) AS n1 FROM s
+  LEFT JOIN (SELECT pair_id, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM t GROUP BY pair_id) m USING (pair_id) GROUP BY s.pair_id),
 d AS (
   SELECT a.pair_id, min(a.k) AS k FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.k = b.k AND a.side = 0 AND b.side = 1
   WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY a.pair_id),

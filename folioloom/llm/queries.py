@@ -52,7 +52,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.preferences(preferences.paired(table(spark, sf_dir, "conversations")))
+    return preferences.preferences(preferences.answered_otherwise(table(spark, sf_dir, "conversations")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    judged = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import checked
+from .shared import checked, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -102,23 +102,26 @@ def thresholds(counted: DataFrame) -> DataFrame:
     return own.groupBy("lang", "source").agg(*(pick(m, "high").alias(f"{m}_high") for m in MEASURES), *(pick(m, "low").alias(f"{m}_low") for m, v in MEASURES.items() if v[4]))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base counts, base_failed and kept.
+def judged(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """``docs`` (or only its columns ``carried``) with the base counts, base_failed and kept.
 
     base_failed: fewer than 10 words, or over 20 % of words repeated in runs. kept: not so, and each measure inside its group's
     thresholds. Null or empty texts fail; a null lang or source is a group of its own; repeated rows are judged alike; an
-    empty table gives an empty result. Columns of these names in ``docs`` are replaced.
+    empty table gives an empty result. Columns of these names in ``docs`` are replaced; others may have any name.
     """
-    rows = docs.withColumn("lang", F.col("lang").cast("string")).withColumn("source", F.col("source").cast("string"))
-    counted = base_counts(rows)
-    limits = thresholds(counted).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
+    counts = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    columns = [c for c in (docs.columns if carried is None else carried) if c not in (*counts, "base_failed", "kept")]
+    packed = docs.select(F.struct(*columns).alias("_row"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    # texts are counted once; thresholds and verdicts read the table
+    counted = written(base_counts(packed).drop("text"), "counts")
+    limits = thresholds(counted.drop("_row")).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     joined = counted.join(checked(limits), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = F.lit(True)
     for m, v in MEASURES.items():
         fine = fine & F.coalesce(bin_of(m) <= F.col(f"{m}_high"), F.lit(True))
         fine = fine & F.coalesce(bin_of(m) >= F.col(f"{m}_low"), F.lit(True)) if v[4] else fine
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & fine).drop("_lang", "_source", *(f"{m}_high" for m in MEASURES), *(f"{m}_low" for m, v in MEASURES.items() if v[4]))
+    return joined.select(*(F.col("_row")[c].alias(c) for c in columns), *counts, failed.alias("base_failed"), (~failed & fine).alias("kept"))
 
 
 def _sql() -> str:

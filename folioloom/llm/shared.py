@@ -19,9 +19,11 @@ BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares; a temporary one only on a single machine where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.folioloom.shared", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="folioloom-")
         spark.conf.set("spark.folioloom.shared", folder)
     return folder.rstrip("/")

@@ -1,9 +1,9 @@
 """Toxicity by compression distance: windows of words against two zstandard dictionaries.
 
 The ordinary dictionary is trained on windows of ordinary texts. The toxic one holds the same bytes at the same distance
-and, before them, toxic text: the words or beginnings of words of toxic texts that ordinary texts hold far less often. So
-an ordinary window compresses to the same length with either, and a window that the toxic one shortens holds something of
-what it alone has. Windows are single words (after a passage that both know) and runs of six; a document's counts of
+and, before them, toxic text, which is chosen here and not by the library's trainer (that one finds far fewer toxic texts): the words or beginnings of words of toxic texts that ordinary texts hold far less often. So
+an ordinary window compresses to much the same length with either, and a window that the toxic one shortens holds something
+of what it alone has. Every window is compressed with both. Windows are single words (after a passage that both know) and runs of six; a document's counts of
 windows by bytes saved give its score through thresholds calibrated by logistic regression.
 """
 
@@ -27,7 +27,6 @@ from .learn import fit_logistic, held_out, logistic, sample
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 #: The least probability that predicts 1.
 THRESHOLD = 0.7
-PART = 5
 RUN, LEVEL, CORE_BYTES, TOXIC_BYTES, MOST_SAVED = 6, 6, 8000, 2000, 8
 #: Single words whose saving a task remembers; then it forgets them all.
 CACHE_WORDS = 200_000
@@ -71,12 +70,6 @@ class Windows:
         self.one = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(ordinary, dict_type=raw), **how)
         self.two = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(toxic + ordinary, dict_type=raw), **how)
         self.lead, self.known = ordinary[-120:-80], {}
-        self.parts = {toxic[i : i + PART] for i in range(len(toxic) - PART + 1)}
-
-    def touches(self, window: bytes) -> bool:
-        """Whether a window shares PART bytes with the toxic text; others compress alike with both dictionaries."""
-        return any(window[i : i + PART] in self.parts for i in range(len(window) - PART + 1))
-
     def saved(self, windows: list[bytes]) -> list[int]:
         if not windows:
             return []
@@ -90,13 +83,10 @@ class Windows:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = list(set(words))
-        touched = [w for w in new if self.touches(b" " + w + b" ")]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(touched, self.saved([self.lead + b" " + w + b" " for w in touched])))
+        self.known.update(zip(new, self.saved([self.lead + b" " + w + b" " for w in new])))
         singles = list(map(self.known.__getitem__, words))
-        at = dict.fromkeys(i // RUN for i, d in enumerate(singles) if d is not None)
-        runs = self.saved([b" " + b" ".join(words[RUN * k : RUN * k + RUN]) + b" " for k in at])
-        for saved, n in (([d for d in singles if d], len(words)), (runs, len(words) / RUN)):
+        runs = self.saved([b" " + b" ".join(words[k : k + RUN]) + b" " for k in range(0, len(words), RUN)])
+        for saved, n in ((singles, len(words)), (runs, len(words) / RUN)):
             d = np.clip(np.array(saved or [0]), 0, MOST_SAVED)
             counts = np.bincount(d, minlength=MOST_SAVED + 1)[1:]
             out += [np.log1p(counts), counts / math.sqrt(max(n, 1)), [d.max(), np.sort(d)[-3:].sum()]]

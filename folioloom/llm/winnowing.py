@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-The units of a text are its words, or its code points where it has at most ``SHORT`` of them. All runs of ``K`` units are
+The units of a text are its words, those of over ``UNIT`` code points in parts of that many, so that texts of any length
+and of any writing, with or without spaces, have units of one kind. All runs of ``K`` units are
 hashed; of each window of ``WINDOW`` hashes the least is kept, the rightmost of equals, with its position. So two texts that
 share ``K + WINDOW - 1`` units in a row share a fingerprint entry. An entry is one number: 40 bits of hash above 24 bits
 that fall with the position (modulo 2**24), which makes the least number the rightmost of equal hashes.
@@ -14,16 +15,14 @@ from pyspark.sql import functions as F
 
 #: Units a hash, and hashes a window (a power of two).
 K, WINDOW = 3, 8
-SHORT = 80
-#: Rows a range of doc_ids, and the most ranges: their bounds are collected, one number each.
-RANGE_ROWS, MAX_RANGES = 4096, 8192
+UNIT = 4
+#: Rows a range of doc_ids, and the most ranges: their bounds are collected, one number each. A row is compared with two times BOUNDS of them.
+RANGE_ROWS, MAX_RANGES, BOUNDS = 4096, 32768, 181
 _POSITIONS = 2**24 - 1
-GAP = r"[\x20\x09-\x0D]+"
 
 
-def units(text: F.Column, n_chars: F.Column) -> F.Column:
-    words = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), GAP)
-    return F.when(n_chars <= SHORT, F.filter(F.split(text, ""), lambda c: c != "")).otherwise(F.filter(words, lambda w: w != ""))
+def units(text: F.Column) -> F.Column:
+    return F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0))
 
 
 def grams(units_: F.Column) -> F.Column:
@@ -46,9 +45,9 @@ def least_of_windows(numbers: F.Column) -> F.Column:
     return least
 
 
-def fingerprinted(df: DataFrame, text: str, n_chars: str, out: str) -> DataFrame:
+def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the column ``out``: the fingerprint's entries in order of position."""
-    df = df.withColumn("_units", units(F.col(text), F.col(n_chars))).withColumn("_grams", grams(F.col("_units"))).drop("_units")
+    df = df.withColumn("_units", units(F.col(text))).withColumn("_grams", grams(F.col("_units"))).drop("_units")
     kept = F.when(F.size("_grams") >= WINDOW, F.array_distinct(least_of_windows(F.col("_grams")))).when(F.size("_grams") > 0, F.array(F.array_min("_grams"))).otherwise(F.col("_grams"))
     return df.withColumn(out, kept).drop("_grams")
 
@@ -73,7 +72,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Equal texts and repeated rows have equal fingerprints. Columns of these names in ``docs`` are replaced.
     """
     plain = docs.drop("n_chars", "fingerprint").withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("n_chars", F.length("_text").cast("long"))
-    return fingerprinted(plain, "_text", "n_chars", "fingerprint").drop("_text")
+    return fingerprinted(plain, "_text", "fingerprint").drop("_text")
+
+
+def below(bounds: list[int], x: F.Column) -> F.Column:
+    """How many of the sorted bounds are less than x: first among every BOUNDS-th one, then among those that follow it."""
+    if not bounds:
+        return F.lit(0)
+    parts = [bounds[k : k + BOUNDS] for k in range(0, len(bounds), BOUNDS)]
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    part = F.greatest(F.size(F.filter(longs([p[0] for p in parts]), lambda b: b < x)) - 1, F.lit(0))
+    inside = lambda k: k * BOUNDS + F.size(F.filter(F.get(F.array(*map(longs, parts)), k), lambda b: b < x))
+    return F.get(F.transform(F.array(part), inside), 0)
 
 
 def with_next(df: DataFrame, carried: list[str]) -> DataFrame:
@@ -86,7 +96,7 @@ def with_next(df: DataFrame, carried: list[str]) -> DataFrame:
     parts = max(1, min(MAX_RANGES, rows // RANGE_ROWS))
     shares = [k / parts for k in range(1, parts)]
     bounds = sorted(set(df.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] or [])) if shares else []
-    number = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0))
+    number = F.when(F.col("doc_id").isNull(), -1).otherwise(below(bounds, F.col("doc_id")))
     placed = df.withColumn("_range", number).withColumn("_extra", F.lit(0))
     heads = sorted((r["_range"], r["m"]) for r in placed.groupBy("_range").agg(F.max("doc_id").alias("m")).collect())  # a row a range
     if not heads:
@@ -117,8 +127,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3)
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next_text", F.lit(1), third.cast("int")))
     rows = rows.withColumn("near_next", likeness("fingerprint", "next_fingerprint")).withColumn("text", edited).drop("next_text", "next_fingerprint")
-    rows = rows.withColumn("edited_sha256", F.sha2("text", 256)).withColumn("_n", F.length("text"))
-    rows = fingerprinted(rows, "text", "_n", "edited")
+    rows = rows.withColumn("edited_sha256", F.sha2("text", 256))
+    rows = fingerprinted(rows, "text", "edited")
     return rows.select(
         "doc_id",
         "n_chars",

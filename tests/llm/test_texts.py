@@ -134,7 +134,7 @@ def test_fingerprints_by_hand(spark):
     texts = ODD + [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (2, 9, 30, 200)] + ["one"]
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "last")], "doc_id long, text string").withColumn("n_chars", F.lit("clash"))
     got = {r.doc_id: r for r in winnowing.fingerprints(frame).collect()}
-    numbers = {r.doc_id: r for r in winnowing.fingerprints(frame).withColumn("u", winnowing.units(F.coalesce("text", F.lit("")), F.col("n_chars"))).withColumn("g", winnowing.grams(F.col("u"))).collect()}
+    numbers = {r.doc_id: r for r in winnowing.fingerprints(frame).withColumn("u", winnowing.units(F.coalesce("text", F.lit("")))).withColumn("g", winnowing.grams(F.col("u"))).collect()}
     for k, r in numbers.items():
         g, size = [x >> 24 for x in r.g], winnowing.WINDOW
         picked = set()
@@ -153,6 +153,18 @@ def test_fingerprints_by_hand(spark):
     assert winnowing.edited_likeness(frame.where("false")).count() == 0
 
 
+def test_fingerprints_hold_at_every_length_and_writing(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    long = [" ".join(word() for _ in range(n)) for n in (13, 20, 27, 200)] + ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300))]
+    rows = [x for k, t in enumerate(long) for x in ((2 * k + 1, t), (2 * k, ""))]
+    got = {r.doc_id: r for r in winnowing.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k + 1].near_edited > 0.3 and got[2 * k + 1].near_next == 0 for k in range(len(long)))
+    bounds = list(range(0, 2000, 3))
+    ids = spark.range(-5, 2010, 7).select(F.col("id").alias("x")).select("x", winnowing.below(bounds, F.col("x")).alias("n")).collect()
+    assert all(r.n == sum(b < r.x for b in bounds) for r in ids)
+
+
 def test_ranges_of_ids_hand_on_their_first_row(spark, monkeypatch):
     monkeypatch.setattr(winnowing, "RANGE_ROWS", 3)
     ids = [5, 1, 9, 9, 30, 31, 32, 100, -4, 77, 78, None]
@@ -211,6 +223,27 @@ def test_preferences(spark):
     assert preferences.preferences(preferences.paired(frame.where("false"))).count() == 0
 
 
+def test_other_answers_to_the_same_prompt(spark):
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a1"), (0, 2, "user", "q2"), (0, 3, "assistant", "a2"), (0, 4, "user", "thanks"), (1, 0, "user", "z"), (1, 1, "assistant", "other")]
+    turns += [(2, 0, "user", "no answer"), (3, 0, "assistant", "late"), (4, 0, "user", "x"), (5, 0, "user", "y"), (7, 0, "assistant", "alone")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in preferences.preferences(preferences.answered_otherwise(frame)).collect()}
+    assert got[0].n_prompt_turns == 3 and got[0].rejected == "<|assistant|>\nother<|end|>\n" and got[0].chosen.startswith("<|assistant|>\na2")
+    assert (got[1].n_prompt_turns, got[1].chosen, got[1].rejected) == (1, "", "<|assistant|>\nlate<|end|>\n")
+    assert got[2].rejected is None and got[3].chosen is None and got[3].rejected.endswith("alone<|end|>\n")
+
+
+def test_op6_is_its_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    mine = preferences.preferences(preferences.answered_otherwise(spark.read.parquet(f"{folder}/conversations.parquet"))).orderBy("pair_id").collect()
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    theirs = duck.sql(f"SELECT {', '.join(mine[0].__fields__)} FROM ({preferences.SQL}) ORDER BY pair_id").fetchall()
+    assert [tuple(r) for r in mine] == theirs and max(r.n_prompt_turns for r in mine) > 2
+
+
 def exact(n, k, d):
     return [math.comb(k, x) * math.comb(n - k, d - x) / math.comb(n, d) for x in range(min(k, d) + 1)]
 
