@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Replies to replies are followed so far; a thread that is longer ends there.
-MOST_DEPTH = 200
-
+from folioloom.sources.tables import staged
 
 def filtered(comments: DataFrame, author: str | None = None, text: str | None = None) -> DataFrame:
     out = comments if author is None else comments.where(F.col("author") == author)
@@ -19,17 +17,21 @@ def authors(comments: DataFrame) -> DataFrame:
 
 
 def threads(comments: DataFrame, thread: str, id_: str, parent: str) -> DataFrame:
-    """``comments`` with depth (0 for a root) and root; a comment whose parent is missing in its thread is a root.
+    """``comments`` with root and depth (0 for a root); a comment whose parent is missing in its thread is a root.
 
-    Parents are doubled: after k rounds each comment knows its ancestor 2 ** k up, so a chain of 200 takes 8 joins.
+    Parents are doubled: after k rounds each comment knows its ancestor 2 ** k up, so n replies in a row take log2(n) joins,
+    each from a staged table. Replies that go round in a circle have a null root and depth.
     """
-    ids = comments.select(thread, F.col(id_).alias("_p"))
+    ids = comments.select(thread, F.col(id_).alias("_p")).distinct()
     own = comments.withColumn("_p", F.col(parent)).join(ids.withColumn("_there", F.lit(True)), [thread, "_p"], "left")
-    up = own.select(thread, F.col(id_).alias("_id"), F.when(F.col("_there"), F.col("_p")).alias("_up"))
-    up = up.withColumn("_d", F.when(F.col("_up").isNull(), 0).otherwise(1)).withColumn("_up", F.coalesce("_up", "_id"))
-    reach = 1
-    while reach < MOST_DEPTH:
+    up = own.select(thread, F.col(id_).alias("_id"), F.when(F.col("_there"), F.col("_p")).alias("_up")).distinct()
+    up = up.withColumn("_open", F.col("_up").isNotNull()).withColumn("_d", F.col("_open").cast("long")).withColumn("_up", F.coalesce("_up", "_id"))
+    up = staged(up, "replies")
+    for _ in range(up.count().bit_length() + 1):
         above = up.select(thread, F.col("_id").alias("_up"), F.col("_up").alias("_up2"), F.col("_d").alias("_d2"))
-        up = up.join(above, [thread, "_up"]).select(thread, "_id", F.col("_up2").alias("_up"), (F.col("_d") + F.col("_d2")).alias("_d"))
-        reach *= 2
-    return comments.join(up.select(thread, F.col("_id").alias(id_), F.col("_up").alias("root"), F.col("_d").alias("depth")), [thread, id_])
+        up = up.join(above, [thread, "_up"]).select(thread, "_id", F.col("_up2").alias("_up"), (F.col("_d2") > 0).alias("_open"), (F.col("_d") + F.col("_d2")).alias("_d"))
+        up = staged(up, "replies")
+        if up.where("_open").isEmpty():
+            break
+    ended = lambda c: F.when(~F.col("_open"), F.col(c))
+    return comments.join(up.select(thread, F.col("_id").alias(id_), ended("_up").alias("root"), ended("_d").alias("depth")), [thread, id_])

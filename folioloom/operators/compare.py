@@ -46,11 +46,17 @@ def dice(shared: F.Column, n0: F.Column, n1: F.Column) -> F.Column:
 
 
 def document_similarity(docs: DataFrame) -> DataFrame:
-    """``(pair, similarity)`` of each two versions."""
-    lines = sides(doc_lines(docs))
-    n = sides(docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n")))
-    n = n.groupBy("pair").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("n0"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("n1")).where("n0 is not null and n1 is not null")
-    return n.join(bag_overlap(lines, []), "pair", "left").select("pair", F.round(dice(F.col("shared"), F.col("n0"), F.col("n1")), 6).alias("similarity"))
+    """``(pair, similarity)`` of each two versions: counts of both sides by line, then by pair, with no join."""
+    lines = sides(docs.select("doc_id", F.explode_outer(F.split("text", "\n")).alias("text")))
+    on = lambda side: F.col("side") == side
+    there = F.col("text").isNotNull()
+    keys = lines.groupBy("pair", norm_key(F.col("text")).alias("k")).agg(
+        *(F.count_if(on(s) & there).alias(f"c{s}") for s in (0, 1)), *(F.count_if(on(s)).alias(f"e{s}") for s in (0, 1))
+    )
+    n = keys.groupBy("pair").agg(
+        F.sum(F.when(F.col("k") != "", F.least("c0", "c1"))).alias("shared"), F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.sum("e0").alias("e0"), F.sum("e1").alias("e1")
+    )
+    return n.where("e0 > 0 and e1 > 0").select("pair", F.round(dice(F.col("shared"), F.col("n0"), F.col("n1")), 6).alias("similarity"))
 
 
 def page_similarity(docs: DataFrame) -> DataFrame:

@@ -67,3 +67,23 @@ def merged(first: DataFrame, second: DataFrame, order: str) -> DataFrame:
     """``first`` then ``second`` with pos: the place in the whole, counted from 0."""
     both = first.withColumn("_file", F.lit(0)).unionByName(second.withColumn("_file", F.lit(1)))
     return running_numbers(both, "_file", order, start=0).withColumnRenamed("number", "pos").drop("_file")
+
+
+def reordered(pages: DataFrame, file: str, page: str, order: Column) -> DataFrame:
+    """``pages`` with pos (from 0 in a file) after a move: ``order`` is the place each page asks for, ties by page."""
+    return pages.withColumn("pos", F.row_number().over(W.partitionBy(file).orderBy(order, page)) - 1)
+
+
+def with_blanks(pages: DataFrame, file: str, page: str, after: Column) -> DataFrame:
+    """``(file, page, pos)``: a blank page, whose page is null, behind each one where ``after`` holds; pos counts from 0."""
+    parts = F.when(after, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = pages.select(file, page, F.explode(parts).alias("_blank"))
+    pos = F.row_number().over(W.partitionBy(file).orderBy(page, "_blank")) - 1
+    return rows.select(file, F.when(F.col("_blank") == 0, F.col(page)).alias(page), pos.alias("pos"))
+
+
+def chunk_names(chunks: DataFrame, file: str, chunk: str, stem: Column) -> DataFrame:
+    """``chunks`` with name: the stem, and the chunk's number from 1 with as many digits as the file's last one has."""
+    most = F.max(chunk).over(W.partitionBy(file)) + 1
+    number = (F.col(chunk) + 1).cast("string")
+    return chunks.withColumn("name", F.concat(stem, F.lit("-"), F.lpad(number, F.length(most.cast("string")), F.lit("0")), F.lit(".pdf")))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def places(text: Column, query: str) -> Column:
     """Starts (code points, from 0) of ``query`` in ``text`` without regard to case, none inside another."""
     low, needle = F.lower(text), query.lower()
-    parts = F.split(low, "\\Q" + needle + "\\E")
+    quoted = needle.replace("\\E", "\\E\\\\E\\Q")
+    parts = F.split(low, "\\Q" + quoted + "\\E")
     lengths = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
     step = lambda a, n: F.struct((a["at"] + n + len(needle)).alias("at"), F.concat(a["found"], F.array(a["at"] + n)).alias("found"))

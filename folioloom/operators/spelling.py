@@ -16,24 +16,23 @@ _ADDRESSES = (r"(?i)\b(https?://|www\.)\S+", r"\S+@\S+", r"(?i)\b[a-z0-9-]+\.(co
 
 def dictionary(docs: DataFrame, least_docs: int = 3) -> DataFrame:
     """``(word, n_docs)``: lower-case words of two letters or more that stand in ``least_docs`` documents."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))).alias("word"))
-    return words.where(F.length("word") >= 2).groupBy("word").agg(F.countDistinct("doc_id").alias("n_docs")).where(F.col("n_docs") >= least_docs)
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)))).alias("word")).distinct()
+    return words.where(F.length("word") >= 2).groupBy("word").agg(F.count("doc_id").alias("n_docs")).where(F.col("n_docs") >= least_docs)
 
 
 def tokens(lines: DataFrame) -> DataFrame:
-    """``lines`` with token, start, word of every word to check.
+    """``lines`` without text, with token and word of every word to check.
 
-    Addresses are skipped, and so are words under 3 or over 20 letters, words in capitals and capitalised words inside a line.
+    Addresses are skipped, and so are words under 3 or over 20 letters, words in capitals and capitalised words behind a line's first character.
     """
     masked = F.col("text")
     for pattern in _ADDRESSES:
         masked = F.regexp_replace(masked, pattern, "\u0001")
-    # what stands before a token gives its place; the masked text only says which tokens count
-    found = lines.withColumn("_m", masked).withColumn("token", F.explode(F.regexp_extract_all("_m", F.lit("[A-Za-z][A-Za-z']*"), F.lit(0))))
+    found = lines.withColumn("_m", masked).select(*lines.drop("text").columns, F.col("_m").rlike("^[A-Za-z]").alias("_starts"), F.posexplode(F.regexp_extract_all("_m", F.lit("[A-Za-z][A-Za-z']*"), F.lit(0))).alias("_k", "token"))
     word = F.lower(F.regexp_replace("token", "^'+|'+$", ""))
-    first = F.col("_m").startswith(F.col("token"))
+    first = F.col("_starts") & (F.col("_k") == 0)  # at the line's first character
     fine = F.length("word").between(SHORTEST, LONGEST) & ~((F.length("token") > 1) & (F.col("token") == F.upper("token"))) & (~F.col("token").rlike("^[A-Z]") | first)
-    return found.withColumn("word", word).where(fine).drop("_m")
+    return found.withColumn("word", word).where(fine).drop("_starts", "_k")
 
 
 def unknown_words(words: DataFrame, known: DataFrame) -> DataFrame:

@@ -105,8 +105,10 @@ def latest_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def undo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last tenth of the whole log's edits undone."""
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    return edits.latest(log, "user_id", "event_id", upto=500)
+    last = log.agg(F.max("event_id")).first()[0]
+    return edits.latest(log, "user_id", "event_id", upto=None if last is None else last * 9 // 10)
 
 
 def session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +168,7 @@ SELECT file, 'name' AS field, CASE WHEN outcome IN ('filled', 'cleared') THEN CA
     "image_targets": """WITH p AS (SELECT p_partkey, p_size * 40 AS w, p_size * 30 AS h, floor(CAST(p_partkey % 600 + 1 AS DOUBLE) / 72 * 150 + 0.5) AS t FROM part)
 SELECT p_partkey, CAST(greatest(t, 1) AS BIGINT) AS width, CAST(greatest(floor(h * greatest(t, 1) / w + 0.5), 1) AS BIGINT) AS height FROM p WHERE w > greatest(t, 1) * 1.1::DOUBLE""",
     "latest_edits": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
-    "undo_state": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= 500 GROUP BY user_id",
+    "undo_state": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) * 9 // 10 FROM events) GROUP BY user_id",
     "session_debounce": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events),
 s AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL)
 SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id""",

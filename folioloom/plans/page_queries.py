@@ -16,9 +16,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of even quantity are left out, so runs have gaps; two pages a chunk."""
-    kept = _pages(spark, sf_dir).where(F.col("l_quantity") % 5 != 0)
-    return pages.split_chunks(kept.select("l_orderkey", "l_linenumber").distinct(), "l_orderkey", "l_linenumber", 2)
+    """Every page of each order, with a number left out after every third one, so runs have gaps; two pages a chunk."""
+    number = F.col("l_linenumber") + F.floor((F.col("l_linenumber") - 1) / 3).cast("int")
+    kept = _pages(spark, sf_dir).select("l_orderkey", number.alias("l_linenumber")).distinct()
+    return pages.split_chunks(kept, "l_orderkey", "l_linenumber", 2)
 
 
 def parse_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +43,9 @@ def stamp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished orders, then open ones, as one file."""
+    """Finished orders, then all others, as one file."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    done, open_ = (orders.where(F.col("o_orderstatus") == s).select("o_orderkey") for s in ("F", "O"))
+    done, open_ = (orders.where(F.col("o_orderstatus").eqNullSafe("F") == s).select("o_orderkey") for s in (True, False))
     return pages.merged(done, open_, "o_orderkey")
 
 
@@ -72,7 +73,7 @@ QUERIES = {f.__name__: f for f in (split_chunks, parse_range, bates_numbers, sta
 
 _NUMBERED = "n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS number, count(*) OVER (PARTITION BY l_orderkey) AS pages FROM lineitem)"
 SQL = {
-    "split_chunks": """WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity % 5 <> 0),
+    "split_chunks": """WITH p AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber + (l_linenumber - 1) // 3 AS INT) AS l_linenumber FROM lineitem),
 r AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM p),
 c AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY island) - 1 AS run, (row_number() OVER (PARTITION BY l_orderkey, island ORDER BY l_linenumber) - 1) // 2 AS part FROM r)
 SELECT l_orderkey, l_linenumber, CAST(run AS INT) AS run, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY run, part) - 1 AS INT) AS chunk FROM c""",
@@ -82,7 +83,7 @@ p AS (SELECT l_orderkey, p FROM s, range(1, 8) r(p) WHERE p <= n AND CASE l_orde
 SELECT s.l_orderkey, spec, CAST(p AS INT) AS page FROM s LEFT JOIN p USING (l_orderkey)""",
     "bates_numbers": f"WITH {_NUMBERED} SELECT l_orderkey, l_linenumber, number FROM n",
     "stamp_text": f"WITH {_NUMBERED} SELECT l_orderkey, l_linenumber, 'Page ' || l_linenumber || ' of ' || pages || ' - ' || lpad(CAST(number AS VARCHAR), CAST(greatest(6, length(CAST(number AS VARCHAR))) AS INT), '0') AS stamp FROM n",
-    "merge_append": "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END, o_orderkey) - 1 AS pos FROM orders WHERE o_orderstatus IN ('F', 'O')",
+    "merge_append": "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END, o_orderkey) - 1 AS pos FROM orders",
     "extract_pages": "SELECT l_orderkey, CAST(CASE l_linenumber WHEN 3 THEN 0 ELSE 1 END AS INT) AS pos, l_partkey FROM lineitem WHERE l_linenumber IN (1, 3)",
     "rotate_plan": """SELECT l_orderkey, l_linenumber, CAST(((t % 360) + 360) % 360 AS INT) AS rotation
 FROM (SELECT l_orderkey, l_linenumber, sum(CASE WHEN l_partkey % 2 = 0 THEN 90 ELSE -90 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS t FROM lineitem)""",

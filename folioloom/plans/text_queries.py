@@ -37,14 +37,13 @@ def foreign_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def osa_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suggestions for the unknown words of at most seven letters."""
     words = staged(_words(spark, sf_dir), "words")
-    short = staged(unknown_words(spark, sf_dir).where(F.length("word") <= 7), "unknown")
+    short = staged(unknown_words(spark, sf_dir), "unknown")
     return spelling.suggestions(short, words)
 
 
 def run_together(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = staged(_words(spark, sf_dir).where("n_docs >= 20"), "words")
+    words = staged(_words(spark, sf_dir), "words")
     return spelling.run_together(staged(unknown_words(spark, sf_dir), "unknown"), words)
 
 
@@ -86,12 +85,11 @@ def comment_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.authors(_comments(spark, sf_dir))
 
 
-#: osa_suggest, run_together and misspelling_groups are not registered yet: their time over whole tables is not known.
 QUERIES = {
     f.__name__: f
     for f in (
         dict_build, stems, unknown_words, foreign_docs, search_hits, search_step,
-        replace_text, comment_filter, comment_threads, comment_authors,
+        osa_suggest, run_together, misspelling_groups, replace_text, comment_filter, comment_threads, comment_authors,
     )
 }
 
@@ -112,13 +110,15 @@ def _stems_sql(source: str) -> str:
 _LINES = "l AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
 _MASK = "regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\b(https?://|www\\.)\\S+', chr(1), 'g'), '\\S+@\\S+', chr(1), 'g'), '(?i)\\b[a-z0-9-]+\\.(com|org|net|edu|gov|io|uk|de|fr)\\b', chr(1), 'g')"
 _TOKENS = f"""m AS (SELECT doc_id, line_no, {_MASK} AS m FROM l),
-x AS (SELECT doc_id, line_no, m, unnest(regexp_extract_all(m, '[A-Za-z][A-Za-z'']*')) AS token FROM m),
+y AS (SELECT doc_id, line_no, regexp_matches(m, '^[A-Za-z]') AS starts, regexp_extract_all(m, '[A-Za-z][A-Za-z'']*') AS found FROM m),
+x AS (SELECT doc_id, line_no, starts, unnest(found) AS token, unnest(range(len(found))) AS k FROM y),
 t AS (
   SELECT doc_id, line_no, token, lower(regexp_replace(token, '^''+|''+$', '', 'g')) AS word FROM x
-  WHERE length(regexp_replace(token, '^''+|''+$', '', 'g')) BETWEEN 3 AND 20 AND NOT (length(token) > 1 AND token = upper(token)) AND (NOT regexp_matches(token, '^[A-Z]') OR starts_with(m, token))),
+  WHERE length(regexp_replace(token, '^''+|''+$', '', 'g')) BETWEEN 3 AND 20 AND NOT (length(token) > 1 AND token = upper(token)) AND (NOT regexp_matches(token, '^[A-Z]') OR (starts AND k = 0))),
 w AS (SELECT DISTINCT word FROM t),
 f AS (SELECT word, word AS stem FROM w UNION ALL SELECT * FROM ({_stems_sql('w')}) WHERE length(stem) >= 2),
-u AS (SELECT word FROM w WHERE word NOT IN (SELECT f.word FROM f JOIN d ON d.word = f.stem))"""
+g AS (SELECT DISTINCT f.word FROM f JOIN d ON d.word = f.stem),
+u AS (SELECT w.word FROM w ANTI JOIN g ON w.word = g.word)"""
 _HITS = "h AS (SELECT doc_id, line_no, string_split(lower(text), 'the') AS p FROM l WHERE contains(lower(text), 'the'))"
 
 SQL = {
