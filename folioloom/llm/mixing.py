@@ -19,7 +19,7 @@ from .shared import checked, written
 BLOCK_WORDS, SHARDS, SHARD_WORDS, BUCKET_DOCS = 256, 16, 4_000_000, 1024
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Rounds of a block's permutation, and the most steps until a number lies among the blocks: each step misses with a chance of one in their root.
-ROUNDS, STEPS = 3, 40
+ROUNDS, STEPS = 2, 40
 #: Standard deviations around the mean within which a draw is made: beyond, doubles hold no probability.
 REACH = 12
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,27 +65,34 @@ def hypergeometric(total: F.Column, marked: F.Column, drawn: F.Column, u: F.Colu
     spread = REACH * F.sqrt(F.greatest(d * k * (n - k) * (n - d) / F.greatest(n * n * (n - 1), F.lit(1.0)), F.lit(1.0))) + 8
     first, last = F.greatest(low, F.ceil(mode - spread)), F.least(high, F.floor(mode + spread))
     state = lambda x, p, s: F.struct(x.cast("double").alias("x"), p.alias("p"), s.alias("s"))
-    # p(x + 1) / p(x) and its inverse
-    up = lambda x: (k - x) * (d - x) / ((x + 1) * (n - k - d + x + 1))
-    start = state(mode, F.lit(1.0), F.lit(0.0))
-    below = F.aggregate(
-        F.sequence(F.lit(1), F.greatest((mode - first).cast("int"), F.lit(1))),
-        start,
-        lambda a, i: F.when(a["x"] > first, state(a["x"] - 1, a["p"] / up(a["x"] - 1), a["s"] + a["p"] / up(a["x"] - 1))).otherwise(a),
-    )
-    above = F.aggregate(
-        F.sequence(F.lit(1), F.greatest((last - mode).cast("int"), F.lit(1))),
-        start,
-        lambda a, i: F.when(a["x"] < last, state(a["x"] + 1, a["p"] * up(a["x"]), a["s"] + a["p"] * up(a["x"]))).otherwise(a),
-    )
-    total_p = below["s"] + above["s"] + 1
-    # from the lowest count on, while the sum stays under u
-    walk = F.aggregate(
-        F.sequence(F.lit(0), (last - first).cast("int")),
-        state(below["x"], below["p"], below["p"]),
-        lambda a, i: F.when((a["s"] < u * total_p) & (a["x"] < last), state(a["x"] + 1, a["p"] * up(a["x"]), a["s"] + a["p"] * up(a["x"]))).otherwise(a),
-    )
-    return F.when((d <= 0) | (k <= 0), F.lit(0)).when(k >= n, drawn).otherwise(walk["x"]).cast("long")
+    once = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # a value that steps read is made once
+
+    def count(c: F.Column) -> F.Column:
+        # p(x + 1) / p(x)
+        up = lambda x: (c["k"] - x) * (c["d"] - x) / ((x + 1) * (c["n"] - c["k"] - c["d"] + x + 1))
+        start = state(c["mode"], F.lit(1.0), F.lit(0.0))
+        below = F.aggregate(
+            F.sequence(F.lit(1), F.greatest((c["mode"] - c["first"]).cast("int"), F.lit(1))),
+            start,
+            lambda a, i: F.when(a["x"] > c["first"], state(a["x"] - 1, a["p"] / up(a["x"] - 1), a["s"] + a["p"] / up(a["x"] - 1))).otherwise(a),
+        )
+        above = F.aggregate(
+            F.sequence(F.lit(1), F.greatest((c["last"] - c["mode"]).cast("int"), F.lit(1))),
+            start,
+            lambda a, i: F.when(a["x"] < c["last"], state(a["x"] + 1, a["p"] * up(a["x"]), a["s"] + a["p"] * up(a["x"]))).otherwise(a),
+        )
+
+        def walk(t: F.Column) -> F.Column:
+            # from the lowest count on, while the sum stays under the share u of all
+            steps = F.sequence(F.lit(0), (c["last"] - c["first"]).cast("int"))
+            lowest = state(t["below"]["x"], t["below"]["p"], t["below"]["p"])
+            return F.aggregate(steps, lowest, lambda a, i: F.when((a["s"] < t["goal"]) & (a["x"] < c["last"]), state(a["x"] + 1, a["p"] * up(a["x"]), a["s"] + a["p"] * up(a["x"]))).otherwise(a))["x"]
+
+        sums = once(F.struct(below.alias("below"), above.alias("above")), lambda t: F.struct(t["below"].alias("below"), (u * (t["below"]["s"] + t["above"]["s"] + 1)).alias("goal")))
+        return once(sums, walk)
+
+    bounds = F.struct(n.alias("n"), k.alias("k"), d.alias("d"), mode.alias("mode"), first.alias("first"), last.alias("last"))
+    return F.when((d <= 0) | (k <= 0), F.lit(0)).when(k >= n, drawn).otherwise(once(bounds, count)).cast("long")
 
 
 def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -116,6 +123,8 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
         )
         node = node.select(F.explode(both).alias("n")).select("n.shard", "n.own")
         width //= 2
+        if shards // width in (16, 256, 4096):  # so many nodes are not one task's
+            node = node.repartition("shard")
     flat = node.select("shard", F.explode("own").alias("s")).select(F.when(~F.col("s.none"), F.col("s.name")).alias("source"), "shard", F.col("s.quota").alias("quota"))
     before = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return flat.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)))
@@ -170,24 +179,14 @@ def drawn(block: F.Column) -> F.Column:
     hashed = lambda x, k: F.xxhash64(x, F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(k))
 
     def shuffled(x: F.Column) -> F.Column:
-        start = F.struct(F.floor(x / b).cast("long").alias("u"), F.pmod(x, b).alias("v"))
-
-        def turn(at: F.Column, k: F.Column) -> F.Column:
-            u = F.pmod(at["u"] + hashed(at["v"], 0) + k * 7919, a)
-            return F.struct(u.cast("long").alias("u"), at["v"].alias("v"))
-
-        def other(at: F.Column, k: F.Column) -> F.Column:
-            return F.struct(at["u"].alias("u"), F.pmod(at["v"] + hashed(at["u"], 1) + k * 104729, b).cast("long").alias("v"))
-
-        end = start
+        u, v = F.floor(x / b).cast("long"), F.pmod(x, b)
         for k in range(ROUNDS):
-            end = F.get(F.transform(F.transform(F.array(end), lambda at, k=k: turn(at, F.lit(k))), lambda at, k=k: other(at, F.lit(k))), 0)
-        return F.get(F.transform(F.array(end), lambda at: at["u"] * b + at["v"]), 0)
+            u = F.pmod(u + hashed(v, 2 * k), a)
+            v = F.pmod(v + hashed(u, 2 * k + 1), b)
+        return u * b + v
 
-    steps = F.sequence(F.lit(1), F.least(a + 1, F.lit(STEPS)).cast("int"))
-    first = F.struct(block.cast("long").alias("x"), F.lit(False).alias("done"))
-    walk = lambda s, i: F.when(s["done"], s).otherwise(F.get(F.transform(F.array(shuffled(s["x"])), lambda y: F.struct(y.alias("x"), (y < F.col("blocks")).alias("done"))), 0))
-    return F.aggregate(steps, first, walk)["x"]
+    steps = F.sequence(F.lit(1), F.least(a, F.lit(STEPS)).cast("int"))
+    return F.aggregate(steps, shuffled(block.cast("long")), lambda x, i: F.when(x < F.col("blocks"), x).otherwise(shuffled(x)))
 
 
 def pieces(block: int) -> F.Column:
@@ -218,7 +217,7 @@ def draws(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...], share: fl
     rows = plan(rows, sizes, weights, share, most, block)
     quotas = shard_quotas(goals(sizes, weights, share, most, block).select("source", "quota"), shards)
     ends = quotas.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", (F.col("first") + F.col("quota")).alias("end")))).alias("ends"))
-    ends = ends.withColumnRenamed("source", "_source")
+    ends = written(ends.withColumnRenamed("source", "_source"), "ends")  # the tree is drawn once
     rows = rows.join(checked(ends), rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
     copies = F.greatest(F.col("full"), (F.col("size") == 0).cast("long")).cast("int")
     whole = F.transform(F.sequence(F.lit(1), copies), lambda k: F.struct(
