@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BROADCAST_PAIRS, beside_centres, dropped, small_batches, written
+from .shared import BROADCAST_PAIRS, beside_centres, dropped, small_batches, unpacked, written
 from .wordhash import Words, chunks, shingles
 
 #: Values that a sketch retains. Two sets at a similarity of 0.8 share under OVERLAP of the 64 smallest of their union with a chance of 1e-8.
@@ -119,7 +119,7 @@ def compared(pairs: DataFrame, docs: DataFrame, words: int, far: bool) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         last = None
-        for batch in batches:
+        for batch in unpacked(batches):
             for part, data, offsets in chunks(batch):
                 found = Words(data, offsets)
                 grams, bounds = shingles(found.hashes(), found.first, words, short=True)

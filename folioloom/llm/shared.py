@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Most rows of a table that is broadcast; more rows are joined by a shuffle.
 BROADCAST_ROWS = 50_000
@@ -67,8 +70,26 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with each text as zstandard bytes, so that a shuffle of whole texts writes about half."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts = [None if t is None else pack.compress(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+        yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``packed`` made, with each text as its bytes."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts = [None if t is None else unpack.decompress(t) for t in batch.column(at).to_pylist()]
+        yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
+
+
 def beside_centres(pairs: DataFrame, texts: DataFrame, *carried: str, part: int = PART_ROWS) -> DataFrame:
-    """``(centre, salt, member, <carried>, text)`` of ``pairs (a, b, ..)``: in each task a row of the centre b (member null), then its members a.
+    """``(centre, salt, member, <carried>, text)``, text as ``packed`` gives it, of ``pairs (a, b, ..)``: in each task a row of the centre b (member null), then its members a.
 
     So a centre's text is sent once for each ``part`` members, not once a pair, and no task holds a centre's members: they pass by.
     texts: ``(doc_id, text)``.
@@ -83,7 +104,9 @@ def beside_centres(pairs: DataFrame, texts: DataFrame, *carried: str, part: int
     heads = per.select(F.col("b").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     heads = texts.join(small(heads), "doc_id").select(F.col("doc_id").alias("centre"), "salt", F.lit(None).cast("long").alias("member"), *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in carried), "text")
     # unlike a join, this sort by centre needs no row of a group beside another
-    return heads.unionByName(members).repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
+    rows = heads.unionByName(members)
+    rows = rows.mapInArrow(packed, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in rows.schema]))
+    return rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
 
 
 def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
