@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import preferences, rules
+from . import preferences, rules, url_rules
 from .minhash import near_duplicates
 from .mixing import taken_words
 from .passages import repeated_passages
 from .pieces import encoded
+from .prefix_trie import conversation_trie
 from .quality_crf import quality
 from .sstable import token_ids
 from .toxicity import toxicity
+from .turn_repair import repaired_conversations
 from .winnowing import edited_likeness
 
 
@@ -73,6 +75,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_token_id_sstable,
         op10_fingerprints,
+        op11_structure_repair,
+        op12_prefix_trie,
+        op13_url_filters,
     )
 }
 
