@@ -165,6 +165,9 @@ def test_passages_are_cut_but_where_they_stand_first(spark):
     frame = spark.createDataFrame([(i, t, len(t), 1) for i, t in enumerate(rows)] + [(90, rows[0], 1, 2), (91, None, None, 3)], "doc_id long, text string, n_chars long, line_no int")
     kept = {r.doc_id: r for r in passages.without_repeats(frame).collect()}
     assert kept[1].text == rows[1] and kept[2].text == " ".join(rows[2].split()[60:]) and kept[2].n_chars == len(kept[2].text)
+    named = frame.withColumnsRenamed({"line_no": "_id"}).withColumn("_from", frame["n_chars"]).withColumn("_TO", frame["n_chars"])
+    again = passages.without_repeats(named)
+    assert again.columns == named.columns and {(r.doc_id, r.text, r._id) for r in again.collect()} == {(r.doc_id, r.text, r.line_no) for r in kept.values()}
     assert kept[6].text == "End." and 90 not in kept and kept[91].text is None and kept[4].text == rows[4]
 
 
@@ -218,7 +221,7 @@ def test_passages_of_similarities_from_four_fifths():
     assert found > 30
 
 
-def test_members_meet_beside_a_centre_that_holds_a_part(spark, monkeypatch):
+def test_members_meet_beside_a_centre_that_holds_a_part(spark):
     fresh = iter(range(10**6))
     new = lambda n: [f"z{next(fresh)}" for _ in range(n)]
     docs, want = [], set()
@@ -227,7 +230,41 @@ def test_members_meet_beside_a_centre_that_holds_a_part(spark, monkeypatch):
         docs += [new(30) + full[:part], new(8) + full + new(30), new(60) + full + new(9), new(5) + full]
         want |= {(k + 2, k + 1, 60, n), (k + 3, k + 1, 5, n)}
     frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
-    for rounds in (4, 0):
-        monkeypatch.setattr(passages, "ROUNDS", rounds, raising=False)
-        got = {(r.doc_id, r.first_doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(frame).collect()}
-        assert want <= got <= want | {(k + 3, k + 2, 5, n) for k, n in [(d - 2, n) for d, f, _, n in want if d == f + 1]}
+    got = {(r.doc_id, r.first_doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(frame).collect()}
+    assert want <= got <= want | {(k + 3, k + 2, 5, n) for k, n in [(d - 2, n) for d, f, _, n in want if d == f + 1]}
+    # what else stands in the table changes nothing
+    crowd = new(80)
+    more = [(1000 + i, " ".join(new(20) + crowd[: 60 + i % 20] + new(5))) for i in range(60)]
+    wide = spark.createDataFrame([*((i, " ".join(d)) for i, d in enumerate(docs)), *more], "doc_id long, text string")
+    assert {(r.doc_id, r.first_doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(wide).collect() if r.doc_id < 1000} == got
+
+
+def test_spans_of_many_runs_are_those_of_all_pairs():
+    rng = random.Random(3)
+    for n in (0, 1, 5, 31, 33, 60, 200):
+        starts, ends, hits, at = [], [], [], 0
+        for _ in range(n):
+            at += rng.randint(1, 12)
+            size = rng.randint(1, 40)
+            starts.append(at)
+            ends.append(at + size)
+            hits.append(size - rng.randint(0, size // 4))
+            at += size
+        sums = [sum(hits[:k]) for k in range(n + 1)]
+        want = [(x, y) for x in range(n) for y in range(x + 1, n + 1) if ends[y - 1] - starts[x] >= 47 and 5 * (sums[y] - sums[x]) >= 4 * (ends[y - 1] - starts[x])]
+        want.sort(key=lambda s: (starts[s[0]] - ends[s[1] - 1], s))
+        assert list(passages.spans_by_length(starts, ends, hits, 47)) == want
+
+
+def test_passages_of_many_runs_in_one_region():
+    fresh = iter(range(1, 10**9))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    prepared = lambda w: passages.Prepared(np.array(w, np.uint64))
+    for n in (5, 40, 80, 200):
+        a, b = [], []
+        for _ in range(n):  # stretches of 49 tokens, with room between that fits no longer passage
+            own = new(49)
+            a += own + new(12)
+            b += own + new(300)
+        got = passages.common_passages(prepared(a), prepared(b), 47)
+        assert len(got) == n and sum(p[1] for p in got) == 49 * n
