@@ -167,3 +167,19 @@ def trie(rows: DataFrame, lengths: DataFrame) -> DataFrame:
 def conversation_trie(conversations: DataFrame) -> DataFrame:
     """The trie of the rebuilt conversations of ``conversations (conv_id, turn, role, text)``."""
     return trie(*rebuilt(turns_of(conversations)))
+
+
+SQL = r"""
+WITH s AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, count(*) AS n, c - c % 5 AS base, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+  lambda a, d: list_reduce([xor(a, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc FROM s GROUP BY c),
+h AS (SELECT i.*, xor(crc, 4294967295::BIGINT) % 9 AS h, least(xor(crc, 4294967295::BIGINT) % 9, coalesce(b.n, 0)) AS kept FROM ids i LEFT JOIN (SELECT c AS base, n FROM ids) b USING (base)),
+t AS (SELECT h.c, s.k AS d, role, text FROM h JOIN s ON s.c = h.base AND s.k <= h.h UNION ALL SELECT h.c, s.k - h.h + h.kept, role, text FROM h JOIN s ON s.c = h.c AND s.k > h.h),
+p AS (SELECT c, d, text, string_agg(md5(strlen(role) || ':' || role || text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS key FROM t),
+l AS (SELECT h.c, coalesce(max(d), 0) AS len FROM h LEFT JOIN t USING (c) GROUP BY h.c),
+m AS (SELECT c, d, key, strlen(text) AS bytes FROM p UNION ALL SELECT c, 0, '', 0 FROM h),
+g AS (SELECT key, d AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len), '') AS ends FROM m JOIN l USING (c) GROUP BY key, d),
+e AS (SELECT g.*, q.conv_id AS parent, coalesce(kids, 0) AS kids FROM g LEFT JOIN g q ON q.key = left(g.key, (g.depth::INT - 1) * 32) AND q.depth = g.depth - 1 LEFT JOIN (SELECT left(key, (depth::INT - 1) * 32) AS key, count(*) AS kids FROM g WHERE depth > 0 GROUP BY 1) w ON w.key = g.key),
+a AS (SELECT left(key, x::INT * 32) AS key, sum(CAST(kids = 0 AS BIGINT)) AS leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS x FROM e) GROUP BY 1)
+SELECT conv_id, depth, parent AS parent_conv_id, n_convs, kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM e JOIN a USING (key)
+"""

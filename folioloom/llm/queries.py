@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import preferences, rules, url_rules
+from . import preferences, prefix_trie, rules, turn_repair, url_rules
 from .minhash import near_duplicates
 from .mixing import taken_words
 from .passages import repeated_passages
@@ -84,7 +85,8 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judged(table(spark, sf_dir, "pages"))
+    judged = url_rules.judged(table(spark, sf_dir, "pages"))
+    return judged.withColumn("mined", F.array_join("mined", " "))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -106,4 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op6_chat_formatting": preferences.SQL, "op8_quality_rules": rules.SQL}
+SQL: dict[str, str] = {
+    "op6_chat_formatting": preferences.SQL,
+    "op8_quality_rules": rules.SQL,
+    "op11_structure_repair": turn_repair.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_url_filters": url_rules.SQL,
+}

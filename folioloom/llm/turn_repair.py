@@ -290,3 +290,40 @@ def structure(rows: DataFrame) -> DataFrame:
 def repaired_conversations(conversations: DataFrame) -> DataFrame:
     """``structure`` of ``conversations (conv_id, turn, role, text)`` after their damage."""
     return structure(damaged(conversations))
+
+
+#: The four grammar states are carried as strings of a cost of six digits and the labels, so that the least string is the cheapest and then first repair.
+SQL = r"""
+WITH RECURSIVE o AS (SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, conv_id || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda d: ord(d)::BIGINT)),
+  lambda a, d: list_reduce([xor(a, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS kind FROM o),
+d AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy_ FROM z WHERE kind <> 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text), copy_) AS k FROM d),
+w AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY k) AS i0 FROM s),
+n AS (SELECT c, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i0 IS NOT NULL AND i0 || i NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY c),
+v(c, k, v0, v1, v2, v3) AS (SELECT c, n + 1, '000000', '000004II', '000002I', '000000' FROM n
+  UNION ALL
+  SELECT c, k, least(b0, put(2, 'I', b2), put(4, 'II', b3)), least(b1, put(2, 'I', b2), put(4, 'II', b3)), least(b2, put(2, 'I', b3)), least(b3, put(2, 'I', b2)) FROM (
+    SELECT w.c, w.k, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS t,
+      least(put(3, 'D', v0), CASE WHEN fault NOT IN ('b', 'd') THEN least(put(2 + t, 'R', v2), CASE i WHEN 's' THEN put(t, 'K', v1) WHEN 'u' THEN put(t, 'K', v2) END) END) AS b0,
+      least(put(3, 'D', v1), CASE WHEN fault NOT IN ('b', 'd') THEN least(put(2 + t, 'R', v2), CASE i WHEN 'u' THEN put(t, 'K', v2) END) END) AS b1,
+      least(put(3, 'D', v2), CASE WHEN fault NOT IN ('b', 'd') THEN least(put(2 + t, 'R', v3), CASE i WHEN 'a' THEN put(t, 'K', v3) END) END) AS b2,
+      least(put(3, 'D', v3), CASE WHEN fault NOT IN ('b', 'd') THEN least(put(2 + t, 'R', v2), CASE i WHEN 'u' THEN put(t, 'K', v2) END) END) AS b3
+    FROM v JOIN w ON w.c = v.c AND w.k = v.k - 1)),
+a AS (SELECT c, left(v0, 6)::BIGINT AS cost, v0[7:] AS audit FROM v WHERE k = 1),
+x AS (SELECT c, audit[j] AS op, j, len(replace(audit[:j], 'I', '')) AS k, len(replace(audit[:j], 'D', '')) AS out_ FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS j FROM a)),
+y AS (SELECT x.*, w.role, w.text, bool_or(op = 'K' AND i = 's') OVER (PARTITION BY x.c) AS has_s FROM x LEFT JOIN w ON w.c = x.c AND w.k = x.k AND op <> 'I'),
+r AS (SELECT c, string_agg(CASE WHEN op = 'K' THEN role WHEN (out_ + CASE WHEN has_s THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS text FROM y WHERE op <> 'D' GROUP BY c)
+SELECT q.c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c FROM o) q LEFT JOIN n ON n.c = q.c LEFT JOIN a ON a.c = q.c LEFT JOIN r ON r.c = q.c
+"""
+
+
+def _macro(sql: str) -> str:
+    """``put(cost, label, path)`` written out: its cost goes up and the label comes first."""
+    import re
+
+    return re.sub(r"put\(([^,()]*), ('[A-Z]+'), (\w+)\)", r"lpad(CAST(left(\3, 6)::INT + \1 AS VARCHAR), 6, '0') || \2 || \3[7:]", sql)
+
+
+SQL = _macro(SQL)
