@@ -1,65 +1,68 @@
-"""Tokens of content streams and of web pages, edits of character ranges, and text wrapped to a width."""
+"""Tokens of web pages, edits of character ranges, and text wrapped to a width; content streams are read by ``lexer``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Comments; strings, hexadecimal and literal; names; numbers; brackets; operators.
-CONTENT = r"%[^\r\n]*|<[0-9A-Fa-f\s]*>|\((?:\\.|[^\\()])*\)|/[^\s()<>\[\]{}/%]*|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?![^\s()<>\[\]{}/%])|<<|>>|[\[\]{}]|[^\s()<>\[\]{}/%]+"
 HTML = r"<!--[\s\S]*?-->|<[^<>]*>|[^<>]+"
 
 
-def content_tokens(text: Column) -> Column:
-    """Tokens of a page's content in order, comments left out: an array of strings."""
-    return F.filter(F.regexp_extract_all(text, F.lit(CONTENT), F.lit(0)), lambda t: ~t.startswith("%"))
-
-
-def token_kind(token: Column) -> Column:
-    """name, string, hex, number, open or close bracket, else operator."""
-    return (
-        F.when(token.startswith("/"), "name")
-        .when(token.startswith("("), "string")
-        .when(token.isin("<<", "[", "{"), "open")
-        .when(token.isin(">>", "]", "}"), "close")
-        .when(token.startswith("<"), "hex")
-        .when(token.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), "number")
-        .otherwise("operator")
-    )
-
-
 def html_tokens(html: Column) -> Column:
     """Comments, tags and what stands between them, in order, without pieces of white space alone."""
     return F.filter(F.regexp_extract_all(html, F.lit(HTML), F.lit(0)), lambda t: t.rlike(r"\S"))
 
 
 def spliced(text: Column, patches: Column) -> Column:
-    """``text`` with patches (structs start, end, new: code points from 0) put in, all counted in the text as given.
+    """``(text, dropped)``: ``text`` with patches (structs start, end, new: code points from 0) put in, all counted in the text as given, and those left out.
 
-    They are applied from the last to the first, so none moves another; of equal starts the one that ends first goes in
-    before, and a patch that overlaps one behind it is left out.
+    They go in by their starts, equal starts in the order given. One that begins before the end of the last one put in is
+    dropped: the first wins, and what it kept out is told. A null text has no result; null patches are none.
     """
-    ordered = F.reverse(F.array_sort(patches))
-    start = F.struct(F.length(text).alias("at"), F.lit("").alias("tail"))
+    fields = "struct<start:int,end:int,new:string>"
+    given = F.coalesce(patches.cast(f"array<{fields}>"), F.array().cast(f"array<{fields}>"))
+    ordered = F.array_sort(F.transform(given, lambda p, k: F.struct(p["start"].alias("start"), k.alias("k"), p["end"].alias("end"), p["new"].alias("new"))))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.array().cast(f"array<{fields}>").alias("dropped"))
 
     def put(a: Column, p: Column) -> Column:
-        between = F.substring(text, p["end"] + 1, F.greatest(a["at"] - p["end"], F.lit(0)))
-        return F.when(p["end"] > a["at"], a).otherwise(F.struct(p["start"].alias("at"), F.concat(p["new"], between, a["tail"]).alias("tail")))
+        patch = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["new"].alias("new"))
+        before = F.substring(text, a["at"] + 1, p["start"] - a["at"])
+        lost = F.struct(a["at"].alias("at"), a["out"].alias("out"), F.concat(a["dropped"], F.array(patch)).alias("dropped"))
+        return F.when(p["start"] < a["at"], lost).otherwise(F.struct(p["end"].alias("at"), F.concat(a["out"], F.array(before, p["new"])).alias("out"), a["dropped"].alias("dropped")))
 
-    whole = F.aggregate(ordered, start, put, lambda a: F.concat(F.substring(text, F.lit(1), a["at"]), a["tail"]))
-    return whole
+    done = lambda a: F.struct(F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))).alias("text"), a["dropped"].alias("dropped"))
+    return F.when(text.isNotNull(), F.aggregate(ordered, empty, put, done))
+
+
+def merged_ranges(ranges: Column) -> Column:
+    """Ranges (structs start, end) as ones that neither overlap nor touch, in order."""
+    kind = "struct<start:int,end:int>"
+    plain = F.filter(F.transform(ranges, lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"))), lambda r: r["end"] > r["start"])
+
+    def add(a: Column, r: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when(r["start"] <= last["end"], F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(r)))
+
+    return F.aggregate(F.array_sort(plain), F.array().cast(f"array<{kind}>"), add)
 
 
 def erased(text: Column, ranges: Column, mark: str = "█") -> Column:
-    """``text`` with each code point of the ranges (structs start, end) under a mark; ranges may overlap."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    hidden = lambda i: F.exists(ranges, lambda r: (r["start"] <= i) & (i < r["end"]))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(hidden(i), F.lit(mark)).otherwise(c)), "")
+    """``text`` with each code point of the ranges (structs start, end) under a mark; ranges may overlap and run past the end. They are merged first, so a text is read once."""
+    hide = lambda a, r: F.struct(
+        r["end"].alias("at"),
+        F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, r["start"] - a["at"]), F.repeat(F.lit(mark), F.greatest(F.least(r["end"], F.length(text)) - r["start"], F.lit(0))))).alias("out"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(merged_ranges(ranges), start, hide, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
 
 def wrapped(text: Column, width: int) -> Column:
     """``text``'s words in lines of at most ``width`` characters; each goes on the line if it fits, and a longer word has its own."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    last = lambda lines: F.length(F.substring_index(lines, "\n", -1))
-    step = lambda lines, w: F.when(lines == "", w).otherwise(F.concat(lines, F.when(last(lines) + 1 + F.length(w) > width, F.lit("\n")).otherwise(" "), w))
-    return F.aggregate(words, F.lit(""), step)
+    # a 1 for each word that begins a line; the fold carries the length of the last line alone
+    fits = lambda a, w: (a["n"] > 0) & (a["n"] + 1 + F.length(w) <= width)
+    step = lambda a, w: F.struct(F.concat(a["breaks"], F.when(fits(a, w), "0").otherwise("1")).alias("breaks"), F.when(fits(a, w), a["n"] + 1 + F.length(w)).otherwise(F.length(w)).alias("n"))
+    breaks = F.aggregate(words, F.struct(F.lit("").alias("breaks"), F.lit(0).alias("n")), step)["breaks"]
+    apart = F.transform(words, lambda w, k: F.concat(F.when(k == 0, "").when(F.substring(breaks, k + 1, F.lit(1)) == "1", "\n").otherwise(" "), w))
+    return F.array_join(apart, "")

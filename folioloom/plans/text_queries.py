@@ -62,10 +62,16 @@ def search_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").contains(QUERY))
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(search.pattern(QUERY)))
     return docs.select("doc_id", F.md5(search.replaced(F.col("text"), QUERY, NEW)).alias("md5"))
 
 
+def replace_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second hit of each document that has one replaced, the others left."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(search.pattern(QUERY)))
+    return docs.select("doc_id", F.md5(search.replaced(F.col("text"), QUERY, NEW, only=F.lit(1))).alias("md5"))
+
+
 def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return turns.select("conv_id", F.col("turn").alias("id"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("reply_to"), F.col("role").alias("author"), "text")
@@ -89,7 +95,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dict_build, stems, unknown_words, foreign_docs, search_hits, search_step,
-        osa_suggest, run_together, misspelling_groups, replace_text, comment_filter, comment_threads, comment_authors,
+        osa_suggest, run_together, misspelling_groups, replace_text, replace_hit, comment_filter, comment_threads, comment_authors,
     )
 }
 
@@ -119,7 +125,7 @@ w AS (SELECT DISTINCT word FROM t),
 f AS (SELECT word, word AS stem FROM w UNION ALL SELECT * FROM ({_stems_sql('w')}) WHERE length(stem) >= 2),
 g AS (SELECT DISTINCT f.word FROM f JOIN d ON d.word = f.stem),
 u AS (SELECT w.word FROM w ANTI JOIN g ON w.word = g.word)"""
-_HITS = "h AS (SELECT doc_id, line_no, string_split(lower(text), 'the') AS p FROM l WHERE contains(lower(text), 'the'))"
+_HITS = "h AS (SELECT doc_id, line_no, regexp_split_to_array(text, '(?i)the') AS p FROM l WHERE regexp_matches(text, '(?i)the'))"
 
 SQL = {
     "dict_build": f"WITH {_DICT} SELECT * FROM d",
@@ -131,7 +137,9 @@ SELECT doc_id, count(*) AS n, CAST(count(u.word) AS BIGINT) AS unknown, count(u.
 SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + 3 * (k - 1) AS INT) AS start, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + 3 * k AS INT) AS "end"
 FROM (SELECT *, unnest(range(1, len(p))) AS k FROM h)""",
     "search_step": f"WITH {_LINES}, {_HITS} SELECT doc_id, CAST(sum(len(p) - 1) AS BIGINT) AS n, CAST(sum(len(p) - 1) - 1 AS BIGINT) AS before, CAST(0 AS BIGINT) AS after FROM h GROUP BY doc_id",
-    "replace_text": "SELECT doc_id, md5(replace(text, 'the', 'THE')) AS md5 FROM documents WHERE contains(text, 'the')",
+    "replace_text": "SELECT doc_id, md5(regexp_replace(text, '(?i)the', 'THE', 'g')) AS md5 FROM documents WHERE regexp_matches(text, '(?i)the')",
+    "replace_hit": """SELECT doc_id, md5(CASE WHEN len(p) > 2 THEN array_to_string(p[1:1], '') || text[length(p[1]) + 1:length(p[1]) + 3] || p[2] || 'THE' || text[length(p[1]) + length(p[2]) + 7:] ELSE text END) AS md5
+FROM (SELECT doc_id, text, regexp_split_to_array(text, '(?i)the') AS p FROM documents WHERE regexp_matches(text, '(?i)the'))""",
     "comment_filter": "SELECT conv_id, turn AS id FROM conversations WHERE role = 'user' AND contains(lower(text), 'the')",
     "comment_threads": """WITH RECURSIVE c AS (SELECT conv_id, turn AS id, CASE WHEN turn % 3 = 2 THEN -1 WHEN turn > 0 THEN turn - 1 END AS p FROM conversations),
 t AS (

@@ -6,24 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.functions import text
-from folioloom.operators import compare, content, files, forms, geometry, pages
+from folioloom.operators import compare, content, files, forms, geometry, lexer, pages
 from folioloom.sources.tables import is_image, table
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line item as a run of a page's content."""
-    q, run = F.col("l_quantity").cast("int"), table(spark, sf_dir, "lineitem")
-    parts = [F.lit("BT % begin\n/F"), F.col("l_linenumber"), F.lit(" "), q, F.lit(" Tf "), q, F.lit(".5 -"), F.col("l_suppkey"), F.lit(" Td ("), F.col("l_returnflag"), F.lit("\\)) Tj [<4"), F.col("l_linenumber"), F.lit("> .25] TJ ET")]
-    return run.select("l_orderkey", "l_linenumber", F.concat(*parts).alias("content"))
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of each document as a content stream of one of six forms: escaped, nested, hexadecimal, in an array, behind a comment, and as an inline image."""
+    lines = compare.doc_lines(table(spark, sf_dir, "documents"))
+    own = F.regexp_replace("text", r"([\\()])", r"\\$1")
+    forms = (
+        F.concat(F.lit("BT /F#20"), F.col("line_no").cast("string"), F.lit(" 5-3 Tf ("), own, F.lit(") Tj ET")),
+        F.concat(F.lit("(("), own, F.lit("))Tj")),
+        F.concat(F.lit("<"), F.hex("text"), F.lit(">Tj")),
+        F.concat(F.lit("[("), own, F.lit(")-12.5("), own, F.lit(")]TJ")),
+        F.concat(F.lit("% "), F.regexp_replace("text", "\r", ""), F.lit("\n(x)'")),
+        F.concat(F.lit("BI /W 4 ID "), F.hex("text"), F.lit("\nEI Q")),
+    )
+    kind, content = (F.col("doc_id") + F.col("line_no")) % 6, forms[0]
+    for k, form in enumerate(forms[1:], 1):
+        content = F.when(kind == k, form).otherwise(content)
+    return lines.where("text is not null").select("doc_id", "line_no", F.encode(content, "UTF-8").alias("content"))
 
 
 def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stream(spark, sf_dir).select("l_orderkey", "l_linenumber", F.posexplode(content.content_tokens(F.col("content"))).alias("at", "token"))
-    return rows.withColumn("kind", content.token_kind(F.col("token")))
+    """Every token of every stream, with its byte places and its value."""
+    found = lexer.lexed(_streams(spark, sf_dir), "content", "doc_id", "line_no")
+    return found.withColumn("value", F.decode("value", "UTF-8"))
 
 
 def operator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_tokens(spark, sf_dir).groupBy("kind", F.when(F.col("kind") == "operator", F.col("token")).alias("operator")).agg(F.count("*").alias("n"))
+    """How often each kind of token and each operator stands in all streams, and their bytes."""
+    found = content_tokens(spark, sf_dir)
+    return found.groupBy("kind", F.when(F.col("kind") == "operator", F.col("value")).alias("operator")).agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
 
 
 def html_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +45,14 @@ def html_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three patches a document: words put in at the middle, the first characters replaced, one left out near the end."""
+    """Six patches a document: two at one place, some over others, which ones by doc_id; with how many were dropped, and the last of them."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
-    n = F.length("text")
+    n, first = F.length("text"), F.col("doc_id") % 7
     patch = lambda a, b, new: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(new).alias("new"))
-    patches = F.array(patch(F.floor(n / 2), F.floor(n / 2), "[put in]"), patch(F.lit(0), F.lit(5), "[new]"), patch(n - 3, n - 2, ""))
-    return docs.select("doc_id", F.md5(content.spliced(F.col("text"), patches)).alias("md5"))
+    middle = F.floor(n / 2)
+    patches = F.array(patch(first, first + 4, "[d]"), patch(middle, middle, "[z]"), patch(F.lit(0), F.lit(5), "[new]"), patch(middle, middle, "[a]"), patch(F.lit(3), F.lit(8), "[late]"), patch(n - 3, n - 2, ""))
+    rows = docs.select("doc_id", content.spliced(F.col("text"), patches).alias("s"))
+    return rows.select("doc_id", F.md5("s.text").alias("md5"), F.size("s.dropped").cast("long").alias("n_dropped"), F.element_at("s.dropped", -1)["new"].alias("last_dropped"))
 
 
 def redact_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,19 +175,26 @@ _PAGES = "p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"
 _LINES = "l AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS line_no, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
 _WRAPPED = r"""w AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM l),
 r AS (SELECT doc_id, line_no, CASE WHEN len(words) = 0 THEN '' ELSE list_reduce(words, lambda a, x: a || CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(x) > 60 THEN chr(10) ELSE ' ' END || x) END AS t FROM w)"""
-_CONTENT = r"%[^\r\n]*|<[0-9A-Fa-f\s]*>|\((?:\\.|[^\\()])*\)|/[^\s()<>\[\]{}/%]*|[+-]?(?:[0-9]+\.[0-9]*|[0-9]+|\.[0-9]+)|<<|>>|[\[\]{}]|[^\s()<>\[\]{}/%]+"
-_TOKENS = f"""s AS (
-  SELECT l_orderkey, l_linenumber, 'BT % begin' || chr(10) || '/F' || l_linenumber || ' ' || CAST(l_quantity AS INT) || ' Tf ' || CAST(l_quantity AS INT) || '.5 -' || l_suppkey || ' Td (' || l_returnflag || '\\)) Tj [<4' || l_linenumber || '> .25] TJ ET' AS content FROM lineitem),
-f AS (SELECT l_orderkey, l_linenumber, list_filter(regexp_extract_all(content, '{_CONTENT}'), lambda t: NOT starts_with(t, '%')) AS t FROM s),
-u AS (SELECT l_orderkey, l_linenumber, CAST(unnest(range(len(t))) AS INT) AS at, unnest(t) AS token FROM f),
-k AS (SELECT *, CASE WHEN starts_with(token, '/') THEN 'name' WHEN starts_with(token, '(') THEN 'string' WHEN token IN ('<<', '[', '{{') THEN 'open' WHEN token IN ('>>', ']', '}}') THEN 'close'
-  WHEN starts_with(token, '<') THEN 'hex' WHEN regexp_full_match(token, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') THEN 'number' ELSE 'operator' END AS kind FROM u)"""
+_TOKENS = r"""l AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+e AS (SELECT doc_id, line_no, text, (doc_id + line_no) % 6 AS k, regexp_replace(text, '([\\()])', '\\\1', 'g') AS own FROM l),
+p AS (SELECT doc_id, line_no, CASE k
+  WHEN 0 THEN [{k: 'operator', r: 'BT', v: 'BT'}, {k: '', r: ' ', v: ''}, {k: 'name', r: '/F#20' || line_no, v: 'F ' || line_no}, {k: '', r: ' ', v: ''}, {k: 'number', r: '5-3', v: '5-3'}, {k: '', r: ' ', v: ''}, {k: 'operator', r: 'Tf', v: 'Tf'}, {k: '', r: ' ', v: ''}, {k: 'string', r: '(' || own || ')', v: text}, {k: '', r: ' ', v: ''}, {k: 'operator', r: 'Tj', v: 'Tj'}, {k: '', r: ' ', v: ''}, {k: 'operator', r: 'ET', v: 'ET'}]
+  WHEN 1 THEN [{k: 'string', r: '((' || own || '))', v: '(' || text || ')'}, {k: 'operator', r: 'Tj', v: 'Tj'}]
+  WHEN 2 THEN [{k: 'hex', r: '<' || hex(text) || '>', v: text}, {k: 'operator', r: 'Tj', v: 'Tj'}]
+  WHEN 3 THEN [{k: 'open', r: '[', v: '['}, {k: 'string', r: '(' || own || ')', v: text}, {k: 'number', r: '-12.5', v: '-12.5'}, {k: 'string', r: '(' || own || ')', v: text}, {k: 'close', r: ']', v: ']'}, {k: 'operator', r: 'TJ', v: 'TJ'}]
+  WHEN 4 THEN [{k: '', r: '% ' || replace(text, chr(13), '') || chr(10), v: ''}, {k: 'string', r: '(x)', v: 'x'}, {k: 'operator', r: '''', v: ''''}]
+  ELSE [{k: 'image', r: 'BI /W 4 ID ' || hex(text) || chr(10) || 'EI', v: 'BI /W 4 ID ' || hex(text) || chr(10) || 'EI'}, {k: '', r: ' ', v: ''}, {k: 'operator', r: 'Q', v: 'Q'}] END AS parts FROM e),
+u AS (SELECT doc_id, line_no, unnest(parts) AS t, unnest(range(len(parts))) AS i FROM p),
+w AS (SELECT *, coalesce(sum(strlen(t.r)) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
+k AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i) - 1 AS n, t.k AS kind, CAST(start AS BIGINT) AS start, CAST(start + strlen(t.r) AS BIGINT) AS "end", t.v AS value, CASE WHEN t.k = 'number' THEN CASE t.v WHEN '5-3' THEN 5.0::DOUBLE ELSE -12.5::DOUBLE END END AS number FROM w WHERE t.k <> '')"""
 SQL = {
     "content_tokens": f"WITH {_TOKENS} SELECT * FROM k",
-    "operator_counts": f"WITH {_TOKENS} SELECT kind, CASE WHEN kind = 'operator' THEN token END AS operator, count(*) AS n FROM k GROUP BY ALL",
+    "operator_counts": f"""WITH {_TOKENS} SELECT kind, CASE WHEN kind = 'operator' THEN value END AS operator, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS bytes FROM k GROUP BY ALL""",
     "html_tokens": r"""WITH t AS (SELECT page_id, list_filter(regexp_extract_all(html, '<!--[\s\S]*?-->|<[^<>]*>|[^<>]+'), lambda x: regexp_matches(x, '\S')) AS t FROM pages)
 SELECT page_id, CAST(unnest(range(len(t))) AS INT) AS at, unnest(t) AS token FROM t""",
-    "splice_text": """SELECT doc_id, md5('[new]' || text[6:length(text) // 2] || '[put in]' || text[length(text) // 2 + 1:length(text) - 3] || text[length(text) - 1:length(text)]) AS md5 FROM documents WHERE length(text) >= 20""",
+    "splice_text": """WITH s AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS m, doc_id % 7 AS f FROM documents WHERE length(text) >= 20)
+SELECT doc_id, md5(CASE WHEN f = 0 THEN '[d]' || text[5:m] WHEN f < 5 THEN '[new]' || text[6:m] ELSE '[new]' || text[6:f] || '[d]' || text[f + 5:m] END || '[z][a]' || text[m + 1:n - 3] || text[n - 1:n]) AS md5,
+CAST(CASE WHEN f < 5 THEN 2 ELSE 1 END AS BIGINT) AS n_dropped, CASE WHEN f = 4 THEN '[d]' WHEN f = 3 THEN '[late]' ELSE '[late]' END AS last_dropped FROM s""",
     "redact_ranges": f"WITH {_LINES} SELECT doc_id, line_no, text[1:2] || repeat('#', CAST(greatest(least(length(text), 8) - 2, 0) AS BIGINT)) || text[9:] AS text FROM l",
     "reflow_lines": f"WITH {_LINES}, {_WRAPPED} SELECT doc_id, line_no, CAST(unnest(range(len(string_split(t, chr(10))))) AS INT) AS at, unnest(string_split(t, chr(10))) AS line FROM r",
     "overflow_lines": f"WITH {_LINES}, {_WRAPPED} SELECT doc_id, line_no, len(string_split(t, chr(10))) AS n FROM r WHERE len(string_split(t, chr(10))) > 2",

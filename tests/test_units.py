@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioloom.operators import comments, content, files, spelling
+from folioloom.operators import comments, content, files, lexer, search, spelling
 
 
 def test_long_chains_orphans_and_circles(spark):
@@ -16,13 +16,46 @@ def test_long_chains_orphans_and_circles(spark):
     assert comments.threads(frame.where("false"), "t", "id", "up").count() == 0
 
 
-def test_tokens_of_content(spark):
-    text = "q 1 0 0 -1.5 .5 72. cm % a comment\n/F#20a 12 Tf (a \\) b) Tj [<48 65> -3]TJ << /K 1 >> BT1 +4x"
-    rows = spark.createDataFrame([(text,), (None,), ("",)], "c string").select(content.content_tokens(F.col("c")).alias("t")).collect()
-    want = ["q", "1", "0", "0", "-1.5", ".5", "72.", "cm", "/F#20a", "12", "Tf", "(a \\) b)", "Tj", "[", "<48 65>", "-3", "]", "TJ", "<<", "/K", "1", ">>", "BT1", "+4x"]
-    assert rows[0].t == want and not rows[1].t and not rows[2].t
-    kinds = spark.createDataFrame([(t,) for t in want], "t string").select(content.token_kind(F.col("t")).alias("k")).collect()
-    assert [r.k for r in kinds][8:16] == ["name", "number", "operator", "string", "operator", "open", "hex", "number"] and kinds[-1].k == kinds[-2].k == "operator"
+STREAM = rb"q 1 0 0 -1.5 .5 72. cm % a (comment" + b"\r" + rb"/F#20a#zz 12 Tf (a \) b) Tj [<48 6z5> -3]TJ << /K 1 >> BT1 +4x 5-3 - (a(b)c\(\n\101\0\9" + b"\\\n" + rb"d\\) > { ) BI /W 1 ID \x00EI EIx" + b"\x00 EI Q (open"
+
+
+def test_tokens_of_streams(spark):
+    want = [
+        ("operator", b"q"), ("number", b"1"), ("number", b"0"), ("number", b"0"), ("number", b"-1.5"), ("number", b".5"), ("number", b"72."), ("operator", b"cm"), ("name", b"F a#zz"), ("number", b"12"), ("operator", b"Tf"),
+        ("string", b"a ) b"), ("operator", b"Tj"), ("open", b"["), ("hex", b"He"), ("number", b"-3"), ("close", b"]"), ("operator", b"TJ"), ("open", b"<<"), ("name", b"K"), ("number", b"1"), ("close", b">>"), ("operator", b"BT1"), ("number", b"+4x"), ("number", b"5-3"), ("operator", b"-"),
+        ("string", b"a(b)c(\nA\x009d\\"), ("operator", b"{"), ("operator", b")"), ("image", rb"BI /W 1 ID \x00EI EIx" + b"\x00 EI"), ("operator", b"Q"), ("string", b"open"),
+    ]
+    rows = [(1, bytearray(STREAM)), (2, None), (3, bytearray()), (4, bytearray(b"<abc")), (5, bytearray(b"(a\\")), (6, bytearray(b"BI")), (7, bytearray(b"(" * 2000 + b"x" + b")" * 2000))]
+    frame = spark.createDataFrame(rows, "value int, content binary").withColumnRenamed("value", "k")
+    got = lexer.lexed(frame, "content", "k").orderBy("k", "n").collect()
+    first = [r for r in got if r.k == 1]
+    assert [(r.kind, bytes(r.value)) for r in first] == want and [r.n for r in first] == list(range(len(want)))
+    for r in first:
+        raw = STREAM[r.start : r.end]
+        assert r.kind in ("name", "string", "hex") or raw == bytes(r.value)
+    assert [r.number for r in first if r.kind == "number"] == [1, 0, 0, -1.5, 0.5, 72, 12, -3, 1, 4, 5]
+    rest = [(r.k, r.kind, bytes(r.value), r.end) for r in got if r.k > 1]
+    assert rest == [(4, "hex", b"\xab\xc0", 4), (5, "string", b"a", 3), (6, "image", b"BI", 2), (7, "string", b"(" * 1999 + b"x" + b")" * 1999, 4001)]
+
+
+def test_first_patch_wins(spark):
+    rows = [("abcdefghij", [(0, 5, "ONE"), (3, 7, "TWO")]), ("abcdef", [(3, 3, "z"), (3, 3, "a")]), ("abc", None), (None, [(0, 1, "x")]), ("abc", [(5, 9, "end")])]
+    frame = spark.createDataFrame(rows, "text string, p array<struct<start:int,end:int,new:string>>")
+    got = [r.s for r in frame.select(content.spliced(F.col("text"), F.col("p")).alias("s")).collect()]
+    assert got[0].text == "ONEfghij" and [tuple(d) for d in got[0].dropped] == [(3, 7, "TWO")]
+    assert got[1].text == "abczadef" and got[1].dropped == [] and got[2].text == "abc" and got[3] is None and got[4].text == "abcend"
+
+
+def test_places_and_replacing(spark):
+    rows = [("İ the end",), ("aaa The the",), ("a.b A.B axb",), ("xthethe",), (None,), ("",)]
+    frame = spark.createDataFrame(rows, "text string")
+    at = [r.a for r in frame.select(search.places(F.col("text"), "the").alias("a")).collect()]
+    assert at == [[2], [4, 8], [], [1, 4], None, []]
+    say = lambda *a, **b: [r.t for r in frame.select(search.replaced(F.col("text"), *a, **b).alias("t")).collect()]
+    assert say("the", "$1\\")[:2] == ["İ $1\\ end", "aaa $1\\ $1\\"] and say("a.b", "!")[2] == "! ! axb"
+    assert say("the", "THE", only=F.lit(1))[1:4] == ["aaa The THE", "a.b A.B axb", "xtheTHE"]
+    assert say("xthe", "x")[3] == "x" and say("xthe", "x", sweeps=1)[3] == "xthe" and say("the", "athea")[3] == "xatheaathea"
+    assert say("the", "-", regard_case=True)[1] == "aaa The -"
 
 
 def test_patches_marks_and_lines(spark):
@@ -40,7 +73,7 @@ def test_patches_marks_and_lines(spark):
         want = text
         for a, b, new in sorted(patches, reverse=True):
             want = want[:a] + new + want[b:]
-        assert got[k].s == want
+        assert got[k].s.text == want and not got[k].s.dropped
         assert got[k].e == "".join("#" if any(a <= i < b for a, b, _ in patches) else c for i, c in enumerate(text))
         lines = []
         for w in text.split():
