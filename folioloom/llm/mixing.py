@@ -239,15 +239,20 @@ def draws(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...], share: fl
 
 
 def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK_WORDS, shards: int | None = None) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``: words of each document that the mix takes, repeats counted, summed over its shards' draws.
+    """``(doc_id, size, source_size, target, taken, by_shard)``: words of each document that the mix takes, repeats counted, summed over its shards' draws.
+
+    by_shard tells where they went: ``shard:words`` in order of shards, with commas between.
 
     A null text has no words; a null source is one of its own; equal rows are drawn apart only by where they stand; an empty
     table gives an empty result. Reruns agree, as every draw hangs on hashes.
     """
     sizes = slim(docs)
-    rows = draws(sizes, sizes, weights, share, most, block, shards)
-    taken = F.aggregate("taken", F.lit(0).cast("long"), lambda total, p: total + p["n"])
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    rows = draws(sizes, sizes, weights, share, most, block, shards).withColumnRenamed("taken", "_taken")
+    taken = F.aggregate("_taken", F.lit(0).cast("long"), lambda total, p: total + p["n"])
+    shard = F.array_sort(F.array_distinct(F.transform("_taken", lambda p: p["shard"])))
+    words = lambda k: F.aggregate(F.filter("_taken", lambda p: p["shard"] == k), F.lit(0).cast("long"), lambda total, p: total + p["n"])
+    by_shard = F.array_join(F.transform(shard, lambda k: F.concat(k.cast("string"), F.lit(":"), words(k).cast("string"))), ",")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), by_shard.alias("by_shard"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK_WORDS, shards: int | None = None) -> DataFrame:

@@ -61,4 +61,5 @@ def test_each_stage_against_plain_python(spark):
     # encoding: the library's ids
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
     last = corpus_pipeline.STAGES[-1][1](spark, kept[4], DATA)
-    assert last.count() == len(rows[4]) and model.vocab_size() > 0
+    ids = sorted((r.doc_id, list(r.ids)) for r in last.collect())
+    assert ids == sorted((r["doc_id"], model.encode(r["text"] or "")) for r in rows[4])

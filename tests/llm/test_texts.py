@@ -269,6 +269,27 @@ def test_shards_add_up_to_the_quotas(spark):
     assert {sum(r.quota for r in rows if r.shard == s) for s in range(8)} <= {136, 137}
 
 
+def test_words_go_to_the_shards_that_the_tree_gives_them(spark):
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (k % 13)), ("b", "a", "b", None)[k % 4] if k % 9 else "c") for k in range(300)], "doc_id long, text string, source string")
+    rows = mixing.taken_words(docs, block=1, shards=8).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    sizes = mixing.slim(docs)
+    goals = mixing.goals(sizes, mixing.WEIGHTS, mixing.SHARE, mixing.MOST, 1)
+    full = {r.source: r.full for r in goals.collect()}
+    want = {(r.source, r.shard): r.quota for r in mixing.shard_quotas(goals.select("source", "quota"), 8).collect()}
+    got = dict.fromkeys(want, 0)
+    for r in rows:
+        parts = [tuple(map(int, p.split(":"))) for p in r.by_shard.split(",") if p]
+        assert sum(n for _, n in parts) == r.taken and [s for s, _ in parts] == sorted({s for s, _ in parts})
+        for shard, n in parts:
+            got[source[r.doc_id], shard] += n
+    once = [k for k in want if not full[k[0]]]
+    assert once and any(full.values()) and all(got[k] == want[k] for k in once)
+    # a source that goes in whole has its drawn blocks beside its whole passes
+    for s in (s for s in full if full[s]):
+        assert sum(got[s, k] - want[s, k] for k in range(8)) == full[s] * sum(r.size for r in rows if source[r.doc_id] == s)
+
+
 def test_blocks_are_permuted(spark):
     counts = spark.createDataFrame([(b, s) for b in (1, 2, 3, 7, 10, 50, 331) for s in ("a", None)], "blocks long, source string")
     rows = counts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("place", mixing.drawn(F.col("block"))).collect()
