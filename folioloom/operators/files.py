@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,20 +26,6 @@ def zip_offsets(entries: DataFrame, archive: str, order: str, name: str, size: C
     return entries.withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long"))
 
 
-def zipped(entries: DataFrame, archive: str) -> DataFrame:
-    """``(archive, bytes)``: the files (name, content) of each archive, stored; one group is one archive's bytes."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as made:
-            for row in pdf.sort_values("name").itertuples(index=False):
-                made.writestr(zipfile.ZipInfo(row.name, (1980, 1, 1, 0, 0, 0)), row.content)
-        return pd.DataFrame({archive: [pdf[archive].iloc[0]], "bytes": [out.getvalue()]})
-
-    kind = entries.schema[archive].dataType.simpleString()
-    return entries.select(archive, "name", "content").groupBy(archive).applyInPandas(pack, f"{archive} {kind}, bytes binary")
-
-
 def encrypted(content: Column, key: Column, vector: Column) -> Column:
     """AES-CBC with padding; the vector stands before the cipher text."""
     return F.aes_encrypt(content, key, F.lit("CBC"), F.lit("PKCS"), vector)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def filled(fields: DataFrame, values: DataFrame) -> DataFrame:
     """Fields ``(file, field, value, read_only, max_length)`` with the new ``(file, field, new)``: value and outcome.
@@ -20,9 +21,9 @@ def filled(fields: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def unique_names(names: DataFrame, scope: str, order: str, name: str = "name") -> DataFrame:
-    """``names`` with unique: of equal names of a scope the first stays and others get " 2", " 3" and so on."""
-    place = F.row_number().over(W.partitionBy(scope, name).orderBy(order))
-    return names.withColumn("unique", F.when(place == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" "), place.cast("string"))))
+    """``names`` with unique: of equal names of a scope the first stays and others get " 2", " 3" and so on. A name may stand in any number of rows."""
+    placed = ranked(names, [scope, name], [order], "_place")
+    return placed.withColumn("unique", F.when(F.col("_place") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" "), F.col("_place").cast("string")))).drop("_place")
 
 
 def recognised(words: DataFrame, least: int = 40) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def page_range(text: Column, pages: Column) -> Column:
     """Pages named by ``1-3, 5, 8-``: sorted, each once, from 1 to ``pages``. A lone ``-`` is all; pieces that say nothing are skipped."""
@@ -38,7 +40,7 @@ def running_numbers(pages: DataFrame, file: str, page: str, start: int = 1) -> D
     """``pages`` with number: they run on from file to file in order of ``file``, then ``page``.
 
     Pages are counted a file, files a bucket of about the root of their number, and only buckets' sums are added up in one
-    task; so no task holds all pages or all files.
+    task; so no task holds all files. One file's pages stand in one task; ``ranks.ranked`` is for files of any length.
     """
     per_file = pages.groupBy(file).agg(F.count("*").alias("_n"))
     edge = per_file.agg(F.count("*").alias("n"), F.min(file).alias("low"), F.max(file).alias("high")).first()
@@ -64,9 +66,9 @@ def cropped(box: dict[str, Column], media: dict[str, Column]) -> Column:
 
 
 def merged(first: DataFrame, second: DataFrame, order: str) -> DataFrame:
-    """``first`` then ``second`` with pos: the place in the whole, counted from 0."""
+    """``first`` then ``second`` with pos: the place in the whole, counted from 0. Ranges of pages are counted, not whole files."""
     both = first.withColumn("_file", F.lit(0)).unionByName(second.withColumn("_file", F.lit(1)))
-    return running_numbers(both, "_file", order, start=0).withColumnRenamed("number", "pos").drop("_file")
+    return ranked(both, [], ["_file", order], "pos").withColumn("pos", F.col("pos") - 1).drop("_file")
 
 
 def reordered(pages: DataFrame, file: str, page: str, order: Column) -> DataFrame:

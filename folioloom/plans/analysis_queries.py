@@ -169,6 +169,8 @@ SELECT file, 'name' AS field, CASE WHEN outcome IN ('filled', 'cleared') THEN CA
 SELECT p_partkey, CAST(greatest(t, 1) AS BIGINT) AS width, CAST(greatest(floor(h * greatest(t, 1) / w + 0.5), 1) AS BIGINT) AS height FROM p WHERE w > greatest(t, 1) * 1.1::DOUBLE""",
     "latest_edits": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "undo_state": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) * 9 // 10 FROM events) GROUP BY user_id",
+    "number_text": """WITH t AS (SELECT o_orderkey, CAST(floor(o_totalprice * 1000 + 0.5::DOUBLE) AS BIGINT) AS t FROM orders)
+SELECT o_orderkey, regexp_replace(regexp_replace(t // 1000 || '.' || lpad(CAST(t % 1000 AS VARCHAR), 3, '0'), '0+$', ''), '[.]$', '') AS plain FROM t""",
     "session_debounce": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events),
 s AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL)
 SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id""",

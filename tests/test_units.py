@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioloom.operators import comments, content, files, lexer, search, spelling
+from folioloom.functions import text
+from folioloom.operators import comments, content, files, geometry, lexer, ranks, search, spelling
+from folioloom.sources import tables
 
 
 def test_long_chains_orphans_and_circles(spark):
@@ -95,3 +97,38 @@ def test_capitals_count_at_the_first_character_only(spark):
     lines = spark.createDataFrame([(1, 0, "Thre Then Thre wrd"), (1, 1, " Thre wrd"), (1, 2, "ABC ab http://x.y/Wrd"), (1, 3, None)], "doc_id long, line_no int, text string")
     got = sorted((r.line_no, r.token) for r in spelling.tokens(lines).collect())
     assert got == [(0, "Thre"), (0, "wrd"), (1, "wrd")]
+
+
+def test_ranks_of_groups_of_any_size(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), rng.choice([None, *range(40)]), k) for k in range(500)]
+    frame = spark.createDataFrame(rows, "g int, o int, k int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.k: r.place for r in ranks.ranked(frame, ["g"], ["o", "k"], "place").collect()}
+        whole = {r.k: r.place for r in ranks.ranked(frame, [], ["o", "k"], "place").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = lambda o: -1 if o is None else o
+    for g in (None, 1, 2):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (first(r[1]), r[2]))
+        assert [got[k] for _, _, k in own] == list(range(1, len(own) + 1))
+    assert [whole[k] for _, _, k in sorted(rows, key=lambda r: (first(r[1]), r[2]))] == list(range(1, 501))
+    assert ranks.ranked(frame.where("false"), ["g"], ["o"]).count() == 0
+
+
+def test_small_helpers(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("Apple\n\nb\nit's\n it's \nnäh\nab1\n")
+    assert {r.word for r in tables.word_list(spark, str(tmp_path / "words.txt")).collect()} == {"apple", "it's"}
+    rows = [(bytearray(b"\xff\xd8\xff\xe0"), bytearray(b"Key"), 123.456), (bytearray(b"\x89PNG"), bytearray(b""), 12.34), (None, None, 1.234)]
+    frame = spark.createDataFrame(rows, "c binary, k binary, x double")
+    assert [r.j for r in frame.select(tables.is_jpeg(F.col("c")).alias("j")).collect()] == [True, False, False]
+    assert [r.m for r in frame.select(text.measured(F.col("x")).alias("m")).collect()] == ["123", "12.3", "1.23"]
+    plain = spark.createDataFrame([(bytearray(b"Plaintext"), bytearray(b"Key"))], "c binary, k binary")
+    once = files.rc4(plain, "c", "k")
+    assert bytes(once.first().c).hex() == "bbf316e8d940af0ad3" and bytes(files.rc4(once, "c", "k").first().c) == b"Plaintext"
+    assert [r.c and bytes(r.c) for r in files.rc4(frame, "c", "k").collect()][1:] == [b"\x89PNG", None]
+    points = [(0.0, 0.0), (0.1, 0.0), (0.3, 0.0), (0.5, 0.0), (0.61, 0.0), (0.0, 0.0)]
+    path = spark.createDataFrame([(points,), ([],)], "p array<struct<x:double,y:double>>")
+    thin = [[tuple(p) for p in r.t] for r in path.select(geometry.thinned(F.col("p")).alias("t")).collect()]
+    assert thin == [[(0.0, 0.0), (0.3, 0.0), (0.61, 0.0), (0.0, 0.0)], []]
