@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioloom.sources.tables import staged
@@ -35,3 +36,9 @@ def threads(comments: DataFrame, thread: str, id_: str, parent: str) -> DataFram
             break
     ended = lambda c: F.when(~F.col("_open"), F.col(c))
     return comments.join(up.select(thread, F.col("_id").alias(id_), ended("_up").alias("root"), ended("_d").alias("depth")), [thread, id_])
+
+
+def in_display_order(threaded: DataFrame, thread: str, id_: str, written: str) -> DataFrame:
+    """Rows of ``threads`` with place (from 1 in a root's thread): the root, then all that hangs from it, however deep, as it was written; null where there is no root."""
+    order = W.partitionBy(thread, "root").orderBy(F.col("depth") > 0, F.when(F.col("depth") > 0, F.col(written)), "depth", id_)
+    return threaded.withColumn("place", F.when(F.col("root").isNotNull(), F.row_number().over(order)).cast("long"))

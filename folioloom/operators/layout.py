@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from .content import merged_ranges
+
 #: White space; steps of a baseline (points, shares of the size), gaps back and forth, and the gap that reads as a space (shares of the size).
 BLANKS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 BASELINE_STEP, BASELINE_SHARE, BACK, FORTH, WORD_GAP = 1.2, 0.28, 1.5, 2.2, 0.22
@@ -201,3 +203,24 @@ def ranges_in_box(rows: DataFrame, box: Column) -> DataFrame:
     # where it begins to be inside and where it stops take turns
     rows = rows.withColumn("changes", changes).withColumn("range", F.explode(F.transform(F.filter("changes", lambda _, k: k % 2 == 0), lambda c, k: F.struct(c.alias("first"), F.get("changes", 2 * k + 1).alias("last")))))
     return rows.withColumns({"first": F.col("range.first"), "last": F.col("range.last")}).drop("range", "changes", "inside", "places", "across", "box")
+
+
+def redacted(rows: DataFrame, ranges: str, width=lambda text: F.length(text) * 600.0) -> DataFrame:
+    """``rows`` of segments (text, start, end) with pieces: structs (text, gap) of what is drawn when the line's ``ranges`` (structs first, last in the line) are taken out.
+
+    What is taken out leaves a gap as wide as it was, in thousandths of the size (``width`` of its text), and no text, so nothing beside it moves; what stays has
+    no gap. Ranges may overlap and reach beyond the segment; a segment that none touches is one piece.
+    """
+    n = F.length("text")
+    inside = lambda v: F.greatest(F.lit(0), F.least(v - F.col("start"), n)).cast("int")
+    own = F.transform(F.coalesce(F.col(ranges), F.array().cast("array<struct<first:bigint,last:bigint>>")), lambda r: F.struct(inside(r["first"]).alias("start"), inside(r["last"]).alias("end")))
+    rows = rows.withColumn("_cuts", merged_ranges(own))
+    piece = lambda text, gone: F.struct(F.when(gone, "").otherwise(text).alias("text"), F.when(gone, width(text)).otherwise(0.0).alias("gap"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,gap:double>>").alias("out"))
+
+    def cut(a: Column, r: Column) -> Column:
+        kept, gone = F.substring("text", a["at"] + 1, r["start"] - a["at"]), F.substring("text", r["start"] + 1, r["end"] - r["start"])
+        return F.struct(r["end"].alias("at"), F.concat(a["out"], F.array(piece(kept, F.lit(False)), piece(gone, F.lit(True)))).alias("out"))
+
+    rest = lambda a: F.concat(a["out"], F.array(piece(F.substring("text", a["at"] + 1, n), F.lit(False))))
+    return rows.withColumn("pieces", F.filter(F.aggregate("_cuts", start, cut, rest), lambda p: (p["text"] != "") | (p["gap"] > 0))).drop("_cuts")

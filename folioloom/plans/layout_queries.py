@@ -37,15 +37,35 @@ def duplicate_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.passes(_lines(spark, sf_dir), PAGE).select(*PAGE, "line", "pass_of")
 
 
-def box_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a box over the middle of every page's lines holds: ranges of characters of every line that it crosses."""
-    grouped = _grouped(spark, sf_dir)
+def _in_box(grouped: DataFrame) -> DataFrame:
+    """What a box over the middle of every page holds: ranges of characters of the lines that it crosses."""
     parts = layout.segments(grouped, PAGE).groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("start", "end", "u0", "u1"))).alias("parts"))
     rows = layout.lines(grouped, PAGE).join(parts, [*PAGE, "line"])
     box = F.struct(F.lit(100.0).alias("x"), F.lit(-1500.0).alias("y"), F.lit(90.5).alias("width"), F.lit(1510.0).alias("height"))
     return layout.ranges_in_box(rows, box).select(*PAGE, "line", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
+def box_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of characters in a box over the middle of every page."""
+    return _in_box(_grouped(spark, sf_dir))
+
+
+def box_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is drawn of every segment of a line that the box touches when its characters are taken out: texts and gaps, in order."""
+    grouped = _grouped(spark, sf_dir)
+    ranges = _in_box(grouped).groupBy(*PAGE, "line").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    out = layout.redacted(layout.segments(grouped, PAGE).join(ranges, [*PAGE, "line"]), "ranges")
+    return out.select(*PAGE, "line", "segment", F.posexplode("pieces").alias("k", "p")).select(*PAGE, "line", "segment", "k", "p.text", "p.gap")
+
+
+def line_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every line of a page 320 points wide would run over its edge with eleven more characters."""
+    more = F.struct("end_x", "end_y", "dir_x", "dir_y")
+    width = lambda n: n * 600.0 / 1000 * F.col("size")
+    over = paragraphs.overflow(more, width(F.length("text")), width(F.length("text") + 11), F.lit(320.0))
+    return _lines(spark, sf_dir).select(*PAGE, "line", F.round(over, 4).alias("over"))
+
+
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = layout.passes(_lines(spark, sf_dir), PAGE).where("pass_of is null").drop("pass_of")
     return paragraphs.grouped(kept, PAGE)
@@ -66,7 +86,7 @@ def paragraph_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*PAGE, "paragraph", "line", "new_line")
 
 
-QUERIES = {f.__name__: f for f in (line_groups, segment_runs, duplicate_passes, box_ranges, paragraph_groups, paragraph_reflow)}
+QUERIES = {f.__name__: f for f in (line_groups, segment_runs, duplicate_passes, box_ranges, box_redactions, line_overflow, paragraph_groups, paragraph_reflow)}
 
 _WS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 RUNS = r"""ls AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
@@ -116,3 +136,18 @@ pr AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY para) AS
 li AS (SELECT doc_id, page, line, paragraph, place, greatest(coalesce(l, max(l) OVER w, max(end_) OVER w), end_) AS "limit" FROM pr WINDOW w AS (PARTITION BY doc_id, page, para))
 SELECT doc_id, page, CAST(line AS BIGINT) AS line, paragraph, place, round("limit", 4) AS "limit" FROM kept LEFT JOIN li USING (doc_id, page, line)""".replace("##", _WS)
 )
+BOX = """sg AS (SELECT doc_id, page, line, segment, CAST(min(start) AS BIGINT) AS a, CAST(min(start) + length(string_agg(CASE WHEN nseg THEN '' ELSE lead_ END || text || CASE WHEN n_new THEN n_lead ELSE '' END, '' ORDER BY seq)) AS BIGINT) AS b,
+  string_agg(CASE WHEN nseg THEN '' ELSE lead_ END || text || CASE WHEN n_new THEN n_lead ELSE '' END, '' ORDER BY seq) AS text, arg_min(u, seq) AS u0, arg_max(u + advance, seq) AS u1 FROM g GROUP BY doc_id, page, line, segment),
+cr AS (SELECT ln.doc_id, ln.page, ln.line, v, up, CASE WHEN up THEN lo ELSE v END AS base, size, unnest(range(length(ln.text) + 1)) AS i FROM ln),
+pc AS (SELECT cr.doc_id, cr.page, cr.line, cr.i, any_value(up) AS up, any_value(v) AS v, any_value(base + 750.0::DOUBLE / 1000 * size / 2) AS mid_v, arg_min(CASE WHEN i <= a THEN u0 ELSE u0 + (u1 - u0) * (i - a) / greatest(b - a, 1) END, segment) AS at_ FROM cr JOIN sg ON sg.doc_id = cr.doc_id AND sg.page = cr.page AND sg.line = cr.line AND i <= b GROUP BY ALL),
+mm AS (SELECT *, (at_ + lead(at_) OVER (PARTITION BY doc_id, page, line ORDER BY i)) / 2 AS m FROM pc),
+ok AS (SELECT *, CASE WHEN up THEN -v ELSE m END BETWEEN 100 AND 190.5::DOUBLE AND CASE WHEN up THEN m ELSE v END BETWEEN -1501 AND 11 AS inn FROM mm WHERE m IS NOT NULL AND mid_v BETWEEN -1500 AND 10),
+rg AS (SELECT doc_id, page, CAST(line AS BIGINT) AS line, min(i) AS first, max(i) + 1 AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, page, line ORDER BY i) AS isl FROM ok WHERE inn) GROUP BY doc_id, page, line, isl)"""
+SQL["box_ranges"] = f"WITH {RUNS}, {BOX} SELECT * FROM rg"
+SQL["box_redactions"] = f"""WITH {RUNS}, {BOX},
+cc AS (SELECT sg.doc_id, sg.page, sg.line, sg.segment, unnest(range(length(text))) AS i, text, a FROM sg WHERE EXISTS (SELECT 1 FROM rg WHERE rg.doc_id = sg.doc_id AND rg.page = sg.page AND rg.line = sg.line)),
+cg AS (SELECT cc.*, rg.first IS NOT NULL AS gone FROM cc LEFT JOIN rg ON rg.doc_id = cc.doc_id AND rg.page = cc.page AND rg.line = cc.line AND i + a >= first AND i + a < last),
+ch AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, page, line, segment, gone ORDER BY i) AS isl FROM cg),
+ci AS (SELECT doc_id, page, line, segment, gone, min(i) AS i, any_value(text)[min(i) + 1:max(i) + 1] AS text, count(*) AS n FROM ch GROUP BY doc_id, page, line, segment, gone, isl)
+SELECT doc_id, page, CAST(line AS BIGINT) AS line, CAST(segment AS BIGINT) AS segment, CAST(row_number() OVER (PARTITION BY doc_id, page, line, segment ORDER BY i) - 1 AS INT) AS k, CASE WHEN gone THEN '' ELSE text END AS text, CASE WHEN gone THEN n * 600.0::DOUBLE ELSE 0.0::DOUBLE END AS gap FROM ci"""
+SQL["line_overflow"] = f"""WITH {RUNS} SELECT doc_id, page, line, round(CASE WHEN up THEN 0 ELSE greatest(0.0::DOUBLE, hi + ((length(text) + 11) * 600.0::DOUBLE / 1000 * size - length(text) * 600.0::DOUBLE / 1000 * size) - greatest(320.0::DOUBLE, hi)) END, 4) AS "over" FROM ln"""

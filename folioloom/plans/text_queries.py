@@ -87,6 +87,12 @@ def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.threads(rows, "conv_id", "id", "reply_to").select("conv_id", "id", "root", F.col("depth").cast("long").alias("depth"))
 
 
+def comment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same threads as they are shown, with times that do not follow the turns."""
+    rows = _comments(spark, sf_dir).withColumn("reply_to", F.when(F.col("id") % 3 == 2, F.lit(-1)).otherwise(F.col("reply_to"))).withColumn("written", F.col("id") * 7 % 5)
+    return comments.in_display_order(comments.threads(rows, "conv_id", "id", "reply_to"), "conv_id", "id", "written").select("conv_id", "root", "place", "id")
+
+
 def comment_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.authors(_comments(spark, sf_dir))
 
@@ -95,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dict_build, stems, unknown_words, foreign_docs, search_hits, search_step,
-        osa_suggest, run_together, misspelling_groups, replace_text, replace_hit, comment_filter, comment_threads, comment_authors,
+        osa_suggest, run_together, misspelling_groups, replace_text, replace_hit, comment_filter, comment_threads, comment_order, comment_authors,
     )
 }
 
@@ -141,6 +147,11 @@ FROM (SELECT *, unnest(range(1, len(p))) AS k FROM h)""",
     "replace_hit": """SELECT doc_id, md5(CASE WHEN len(p) > 2 THEN array_to_string(p[1:1], '') || text[length(p[1]) + 1:length(p[1]) + 3] || p[2] || 'THE' || text[length(p[1]) + length(p[2]) + 7:] ELSE text END) AS md5
 FROM (SELECT doc_id, text, regexp_split_to_array(text, '(?i)the') AS p FROM documents WHERE regexp_matches(text, '(?i)the'))""",
     "comment_filter": "SELECT conv_id, turn AS id FROM conversations WHERE role = 'user' AND contains(lower(text), 'the')",
+    "comment_order": """WITH RECURSIVE c AS (SELECT conv_id, turn AS id, CASE WHEN turn % 3 = 2 THEN -1 WHEN turn > 0 THEN turn - 1 END AS p FROM conversations),
+t AS (
+  SELECT conv_id, id, id AS root, CAST(0 AS BIGINT) AS depth FROM c WHERE p IS NULL OR NOT EXISTS (SELECT 1 FROM c q WHERE q.conv_id = c.conv_id AND q.id = c.p)
+  UNION ALL SELECT c.conv_id, c.id, t.root, t.depth + 1 FROM c JOIN t ON c.conv_id = t.conv_id AND c.p = t.id)
+SELECT conv_id, root, row_number() OVER (PARTITION BY conv_id, root ORDER BY depth > 0, CASE WHEN depth > 0 THEN id * 7 % 5 END, depth, id) AS place, id FROM t""",
     "comment_threads": """WITH RECURSIVE c AS (SELECT conv_id, turn AS id, CASE WHEN turn % 3 = 2 THEN -1 WHEN turn > 0 THEN turn - 1 END AS p FROM conversations),
 t AS (
   SELECT conv_id, id, id AS root, CAST(0 AS BIGINT) AS depth FROM c WHERE p IS NULL OR NOT EXISTS (SELECT 1 FROM c q WHERE q.conv_id = c.conv_id AND q.id = c.p)

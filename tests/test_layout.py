@@ -119,3 +119,10 @@ def test_broken_text_and_overflow(spark):
     frame = spark.createDataFrame(rows, "end_x double, dir_x double, dir_y double, old double, new double").withColumn("end_y", F.lit(0.0))
     out = frame.select(paragraphs.overflow(F.struct("end_x", "end_y", "dir_x", "dir_y"), F.col("old"), F.col("new"), F.lit(100.0)).alias("o")).collect()
     assert [r.o for r in out] == [10.0, 0.0, 5.0, 0.0, 0.0]
+
+
+def test_what_is_taken_out_leaves_its_width(spark):
+    rows = [("abcdef", 4, [(5, 7), (6, 8), (0, 1)]), ("abc", 0, None), ("abc", 0, [(0, 99)]), ("abc", 10, [(0, 10), (13, 20)])]
+    frame = spark.createDataFrame(rows, "text string, start long, r array<struct<first:bigint,last:bigint>>")
+    got = [[tuple(p) for p in r.pieces] for r in layout.redacted(frame, "r").collect()]
+    assert got == [[("a", 0.0), ("", 1800.0), ("ef", 0.0)], [("abc", 0.0)], [("", 1800.0)], [("abc", 0.0)]]
