@@ -12,8 +12,11 @@ STEPS = [1 << k for k in range(30, -1, -1)]
 
 def alike(a: Column, b: Column, most: Column) -> Column:
     """How many code points at the beginning of both are equal, ``most`` at most, by binary search over their lengths."""
-    longer = lambda n, step: (n + step <= most) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step))
-    return F.aggregate(F.array(*(F.lit(s) for s in STEPS)), F.lit(0), lambda n, step: F.when(longer(n, step), n + step).otherwise(n))
+    # both texts and the bound ride along, so that they are made once and not at each step
+    start = F.struct(F.lit(0).alias("n"), most.cast("int").alias("most"), a.alias("a"), b.alias("b"))
+    longer = lambda s, step: (s["n"] + step <= s["most"]) & (F.substring(s["a"], s["n"] + 1, step) == F.substring(s["b"], s["n"] + 1, step))
+    more = lambda s, step: F.struct((s["n"] + step).alias("n"), s["most"].alias("most"), s["a"].alias("a"), s["b"].alias("b"))
+    return F.aggregate(F.array(*(F.lit(k) for k in STEPS)), start, lambda s, step: F.when(longer(s, step), more(s, step)).otherwise(s), lambda s: s["n"])
 
 
 def mapped(rows: DataFrame, old: str, new: str, segments: str) -> DataFrame:
