@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+SPACE = re.compile("[ \t\n\x0b\f\r]+")
 HTML = r"<!--[\s\S]*?-->|<[^<>]*>|[^<>]+"
 
 
@@ -57,12 +62,33 @@ def erased(text: Column, ranges: Column, mark: str = "█") -> Column:
     return F.aggregate(merged_ranges(ranges), start, hide, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
 
+def _wrapper(width: int):
+    def wrap(text: str) -> list[str]:
+        out, line, used = [], [], 0
+        for word in SPACE.split(text):
+            if not word:
+                continue
+            if line and used + 1 + len(word) > width:
+                out.append(" ".join(line))
+                line, used = [], 0
+            used += len(word) + (1 if line else 0)
+            line.append(word)
+        return [*out, " ".join(line)]
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else wrap(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return run
+
+
+def wrapped_lines(text: Column, width: int) -> Column:
+    """``text``'s words as lines of at most ``width`` characters; each goes on the line if it fits, and a longer word has its own. A blank text is one empty line.
+
+    A line depends on all before it, so a text is read once, word by word, in an Arrow function; its time is in proportion to the text's length.
+    """
+    return F.arrow_udf(_wrapper(width), ArrayType(StringType()))(text)
+
+
 def wrapped(text: Column, width: int) -> Column:
-    """``text``'s words in lines of at most ``width`` characters; each goes on the line if it fits, and a longer word has its own."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    # a 1 for each word that begins a line; the fold carries the length of the last line alone
-    fits = lambda a, w: (a["n"] > 0) & (a["n"] + 1 + F.length(w) <= width)
-    step = lambda a, w: F.struct(F.concat(a["breaks"], F.when(fits(a, w), "0").otherwise("1")).alias("breaks"), F.when(fits(a, w), a["n"] + 1 + F.length(w)).otherwise(F.length(w)).alias("n"))
-    breaks = F.aggregate(words, F.struct(F.lit("").alias("breaks"), F.lit(0).alias("n")), step)["breaks"]
-    apart = F.transform(words, lambda w, k: F.concat(F.when(k == 0, "").when(F.substring(breaks, k + 1, F.lit(1)) == "1", "\n").otherwise(" "), w))
-    return F.array_join(apart, "")
+    """``wrapped_lines`` as one text."""
+    return F.array_join(wrapped_lines(text, width), "\n")

@@ -63,13 +63,13 @@ def redact_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reflow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = compare.doc_lines(table(spark, sf_dir, "documents")).withColumn("_w", content.wrapped(F.col("text"), 60))
-    return lines.select("doc_id", "line_no", F.posexplode(F.split("_w", "\n")).alias("at", "line"))
+    lines = compare.doc_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "line_no", F.posexplode(content.wrapped_lines(F.col("text"), 60)).alias("at", "line"))
 
 
 def overflow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose words need more than two lines of 60 characters, with how many they need."""
-    lines = compare.doc_lines(table(spark, sf_dir, "documents")).withColumn("n", F.size(F.split(content.wrapped(F.col("text"), 60), "\n")))
+    lines = compare.doc_lines(table(spark, sf_dir, "documents")).withColumn("n", F.size(content.wrapped_lines(F.col("text"), 60)))
     return lines.where("n > 2").select("doc_id", "line_no", F.col("n").cast("long").alias("n"))
 
 
