@@ -58,8 +58,8 @@ def measured(x: Column) -> Column:
 
 
 def size_text(n_bytes: Column) -> Column:
-    """Kilobytes, or megabytes with one decimal from 1 MiB on."""
-    return F.when(n_bytes >= 1 << 20, F.format_string("%.1f MB", n_bytes / (1 << 20))).otherwise(F.format_string("%.0f KB", n_bytes / 1024))
+    """Kilobytes, or megabytes with one decimal from 1 MiB on; a megabyte figure that lies in the middle goes to the even decimal."""
+    return F.when(n_bytes >= 1 << 20, F.format_string("%.1f MB", F.bround(n_bytes / (1 << 20), 1))).otherwise(F.format_string("%.0f KB", n_bytes / 1024))
 
 
 def family_key(name: Column) -> Column:
