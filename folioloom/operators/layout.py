@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .content import merged_ranges
-
 #: White space; steps of a baseline (points, shares of the size), gaps back and forth, and the gap that reads as a space (shares of the size).
 BLANKS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 BASELINE_STEP, BASELINE_SHARE, BACK, FORTH, WORD_GAP = 1.2, 0.28, 1.5, 2.2, 0.22
@@ -73,7 +73,7 @@ def grouped_runs(runs: DataFrame, page: list[str]) -> DataFrame:
 
 
 def _in_order(piece: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq"), piece.alias("piece")))), lambda x: x["piece"]), "")
+    return F.array_join(F.sort_array(F.collect_list(F.struct(F.col("seq"), piece.alias("piece"))))["piece"], "")
 
 
 def lines(grouped: DataFrame, page: list[str]) -> DataFrame:
@@ -91,6 +91,11 @@ def lines(grouped: DataFrame, page: list[str]) -> DataFrame:
         F.min(F.coalesce("confident", F.lit(False))).alias("editable"),
         F.count("*").alias("n_runs"),
     )
+    return _placed(rows, page)
+
+
+def _placed(rows: DataFrame, page: list[str], *more: str) -> DataFrame:
+    """Ends and boxes of lines from their first run's struct f, mean size, u_min and u_max."""
     at = lambda u: (F.col(u) * F.col("f.dir_x") - F.col("f.v") * F.col("f.dir_y"), F.col(u) * F.col("f.dir_y") + F.col("f.v") * F.col("f.dir_x"))
     (sx, sy), (ex, ey) = at("u_min"), at("u_max")
     rows = rows.withColumns({"start_x": sx, "start_y": sy, "end_x": ex, "end_y": ey})
@@ -98,14 +103,51 @@ def lines(grouped: DataFrame, page: list[str]) -> DataFrame:
     xs = [F.col(c) - F.col("f.dir_y") * r for c in ("start_x", "end_x") for r in rise]
     ys = [F.col(c) + F.col("f.dir_x") * r for c in ("start_y", "end_y") for r in rise]
     box = {"x0": F.least(*xs), "x1": F.greatest(*xs), "y0": F.least(*ys), "y1": F.greatest(*ys)}
-    return rows.withColumns(box).select(*page, "line", "seq", "f.stream", "text", "f.font", "f.fill", "size", "f.dir_x", "f.dir_y", "f.ascent", "start_x", "start_y", "end_x", "end_y", *box, "uniform", "editable", "n_runs")
+    return rows.withColumns(box).select(*page, "line", "seq", "f.stream", "text", "f.font", "f.fill", "size", "f.dir_x", "f.dir_y", "f.ascent", "start_x", "start_y", "end_x", "end_y", *box, "uniform", "editable", "n_runs", *more)
+
+
+def lines_with_parts(grouped: DataFrame, page: list[str]) -> DataFrame:
+    """``lines`` with parts: their segments in order (structs segment, start, end, u0, u1, text), from one pass over the runs.
+
+    A line's text is that of its segments: the space before a segment is the end of the one before it.
+    """
+    end = F.col("u") + F.col("advance")
+    rows = grouped.groupBy(*page, "line", "segment").agg(
+        _in_order(_piece()).alias("text"),
+        F.min("start").cast("long").alias("start"),
+        F.min_by("u", "seq").alias("u0"),
+        F.max_by(end, "seq").alias("u1"),
+        F.min_by(F.struct("stream", "font", "fill", "dir_x", "dir_y", "v", "ascent", "descent"), "seq").alias("f"),
+        F.min("seq").alias("seq"),
+        F.sum("size").alias("sizes"),
+        F.min(F.least("u", end)).alias("u_min"),
+        F.max(F.greatest("u", end)).alias("u_max"),
+        F.min(F.coalesce("confident", F.lit(False))).alias("editable"),
+        F.count("*").alias("n_runs"),
+    )
+    part = F.struct("segment", "start", (F.col("start") + F.length("text")).alias("end"), "u0", "u1", "text")
+    rows = rows.groupBy(*page, "line").agg(
+        F.sort_array(F.collect_list(part)).alias("parts"),
+        F.min_by("f", "segment").alias("f"),
+        F.min("seq").alias("seq"),
+        (F.sum("sizes") / F.sum("n_runs")).alias("size"),
+        F.min("u_min").alias("u_min"),
+        F.max("u_max").alias("u_max"),
+        (F.max("segment") == 1).alias("uniform"),
+        F.min("editable").alias("editable"),
+        F.sum("n_runs").alias("n_runs"),
+    )
+    return _placed(rows.withColumn("text", F.array_join(F.col("parts")["text"], "")), page, "parts")
+
+
+def _piece() -> Column:
+    return F.concat(F.when(F.col("new_segment"), "").otherwise(F.col("lead")), F.col("text"), F.when(F.col("next_new"), F.col("next_lead")).otherwise(""))
 
 
 def segments(grouped: DataFrame, page: list[str]) -> DataFrame:
     """A row for each styled segment of a line: text with its start and end in the line's, places u0 and u1, space_width (median gap that reads as a space; null without one) and whether its last space was drawn by nothing."""
-    piece = F.concat(F.when(F.col("new_segment"), "").otherwise(F.col("lead")), F.col("text"), F.when(F.col("next_new"), F.col("next_lead")).otherwise(""))
     rows = grouped.groupBy(*page, "line", "segment").agg(
-        _in_order(piece).alias("text"),
+        _in_order(_piece()).alias("text"),
         F.min("start").cast("long").alias("start"),
         F.first("font").alias("font"),
         F.min_by("size", "seq").alias("size"),
@@ -158,8 +200,9 @@ def passes(found: DataFrame, page: list[str]) -> DataFrame:
     """
     keys = [*page, "stream", "text"]
     names = [*keys, *(c for c in found.columns if c not in keys)]
-    rows = found.select(names).repartition(*keys).sortWithinPartitions(*keys, "line")
-    return rows.mapInArrow(_first_pass(len(page), len(page), len(page) + 1), StructType([*rows.schema.fields]).add("pass_of", LongType()))
+    # the window deals and sorts; rows that are dealt by page are not shuffled again
+    rows = found.select(*names, F.row_number().over(W.partitionBy(*keys).orderBy("line")).alias("_n"))
+    return rows.mapInArrow(_first_pass(len(page), len(page), len(page) + 1), StructType([*rows.schema.fields]).add("pass_of", LongType())).drop("_n")
 
 
 def merged_passes(found: DataFrame, page: list[str]) -> DataFrame:
@@ -169,40 +212,86 @@ def merged_passes(found: DataFrame, page: list[str]) -> DataFrame:
     return rows.where("pass_of is null").drop("pass_of", "kept").join(n, [*page, "line"])
 
 
-def char_places(segments: Column) -> Column:
-    """Places of a line's characters, ends included, from its segments in order (structs start, end, u0, u1) where all characters of one are as wide."""
-    last = F.element_at(segments, -1)
-    whole = F.sequence(F.lit(0).cast("long"), last["end"])
-
-    def at(i: Column) -> Column:
-        own = F.element_at(F.filter(segments, lambda s: i <= s["end"]), 1)
-        return F.when(i <= own["start"], own["u0"]).otherwise(own["u0"] + (own["u1"] - own["u0"]) * (i - own["start"]) / F.greatest(own["end"] - own["start"], F.lit(1)))
-
-    return F.when(F.size(segments) > 0, F.transform(whole, at))
+def _box_ranges(parts: pa.Array, dir_x: pa.Array, dir_y: pa.Array, across: pa.Array, box: pa.Array) -> pa.Array:
+    """Of each line, ranges of characters whose middles lie in the box; all characters of a batch at once."""
+    real = lambda a: np.asarray(a.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False), "f8")
+    whole = lambda a: np.asarray(a.fill_null(0).to_numpy(zero_copy_only=False), "i8")
+    n_parts = np.asarray(pa.compute.list_value_length(parts).fill_null(0).to_numpy(zero_copy_only=False), "i8")
+    flat, n = parts.flatten(), len(parts)
+    lo, hi, u0, u1 = whole(flat.field("start")), whole(flat.field("end")), real(flat.field("u0")), real(flat.field("u1"))
+    last = np.cumsum(n_parts) - 1
+    # places of a line: before, between and behind its characters
+    n_places = np.where(n_parts > 0, (hi[np.maximum(last, 0)] if len(hi) else 0) + 1, 0)
+    base = np.cumsum(n_places) - n_places
+    line = np.repeat(np.arange(n), n_places)
+    place = np.arange(len(line))
+    of = np.repeat(np.arange(n), n_parts)
+    ends = np.maximum.accumulate(base[of] + np.minimum(hi, n_places[of] - 1)) if len(of) else hi
+    own = np.searchsorted(ends, place)
+    i = place - base[line]
+    at = np.where(i <= lo[own], u0[own], u0[own] + (u1[own] - u0[own]) * (i - lo[own]) / np.maximum(hi[own] - lo[own], 1))
+    mid = (at[1:] + at[:-1]) / 2
+    of = line[:-1]
+    dx, dy, v = real(dir_x)[of], real(dir_y)[of], real(across)[of]
+    x0, y0, wide, high = (real(box.field(c))[of] for c in ("x", "y", "width", "height"))
+    x, y = mid * dx - v * dy, mid * dy + v * dx
+    inside = (line[1:] == of) & (x >= x0) & (x <= x0 + wide) & (y >= y0 - 1) & (y <= y0 + high + 1)
+    # where it begins to be inside and where it stops take turns; no range goes over the end of a line, whose last place is inside nothing
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype("i1")))
+    begin, stop = edges[::2], edges[1::2]
+    count = np.bincount(line[begin], minlength=n) if len(begin) else np.zeros(n, "i8")
+    ranges = pa.StructArray.from_arrays([pa.array(begin - base[line[begin]], pa.int64()), pa.array(stop - base[line[begin]], pa.int64())], names=["first", "last"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), ranges)
 
 
 def ranges_in_box(rows: DataFrame, box: Column) -> DataFrame:
-    """``rows`` of lines with parts (their segments in order, as for ``char_places``), a row for each range of characters ``first`` to ``last`` (not included) whose middles lie in a box (struct x, y, width, height).
+    """``rows`` of lines with parts (their segments in order: structs start, end, u0, u1, all characters of one as wide), a row for each range of characters ``first`` to ``last`` (not included) whose middles lie in a box (struct x, y, width, height).
 
     The line's middle must lie between the box's lower and upper edge; for its characters a point more counts above and below.
     """
-    middle_v = F.col("start_y") + F.col("ascent") / 1000 * F.col("size") / 2
-    across = -F.col("start_x") * F.col("dir_y") + F.col("start_y") * F.col("dir_x")
-    rows = rows.withColumn("box", box).where(middle_v.between(F.col("box.y"), F.col("box.y") + F.col("box.height")))
-    rows = rows.withColumns({"places": char_places(F.col("parts")), "across": across})
-    mid = F.transform(F.slice("places", F.lit(2), F.size("places")), lambda p, k: (p + F.get("places", k)) / 2)
+    rows = with_box_ranges(rows, box)
+    return rows.withColumn("_r", F.explode("ranges")).withColumns({"first": F.col("_r.first"), "last": F.col("_r.last")}).drop("_r", "ranges")
 
-    def inside(m: Column) -> Column:
-        x, y = m * F.col("dir_x") - F.col("across") * F.col("dir_y"), m * F.col("dir_y") + F.col("across") * F.col("dir_x")
-        return x.between(F.col("box.x"), F.col("box.x") + F.col("box.width")) & y.between(F.col("box.y") - 1, F.col("box.y") + F.col("box.height") + 1)
 
-    rows = rows.withColumn("inside", F.transform(mid, inside))
-    edge = lambda a, k: F.coalesce(F.get(a, k), F.lit(False))
-    both = F.sequence(F.lit(0), F.size("inside"))
-    changes = F.filter(both, lambda k: edge("inside", k) != edge("inside", k - 1))
-    # where it begins to be inside and where it stops take turns
-    rows = rows.withColumn("changes", changes).withColumn("range", F.explode(F.transform(F.filter("changes", lambda _, k: k % 2 == 0), lambda c, k: F.struct(c.alias("first"), F.get("changes", 2 * k + 1).alias("last")))))
-    return rows.withColumns({"first": F.col("range.first"), "last": F.col("range.last")}).drop("range", "changes", "inside", "places", "across", "box")
+def with_box_ranges(rows: DataFrame, box: Column) -> DataFrame:
+    """``rows`` of lines with parts, as for ``ranges_in_box``, whose middle lies in the box's height, with ranges: structs first, last."""
+    middle_v = F.col("start_y") + F.col("ascent") / 1000 * F.col("size") / 2
+    across = -F.col("start_x") * F.col("dir_y") + F.col("start_y") * F.col("dir_x")
+    rows = rows.where(middle_v.between(box["y"], box["y"] + box["height"]))
+    places = F.transform("parts", lambda p: F.struct(p["start"].cast("long").alias("start"), p["end"].cast("long").alias("end"), p["u0"].alias("u0"), p["u1"].alias("u1")))
+    found = F.arrow_udf(_box_ranges, "array<struct<first:bigint,last:bigint>>")(places, F.col("dir_x"), F.col("dir_y"), across, box)
+    return rows.withColumn("ranges", found)
+
+
+def _cuts(text: pa.Array, start: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+    """Of each segment what stays and what goes, in order; what overlaps or touches goes as one."""
+    ends, out, gone = [0], [], []
+    for t, s, f, e in zip(text.to_pylist(), start.to_pylist(), first.to_pylist(), last.to_pylist()):
+        at, n, cut = 0, len(t or ""), None
+        spans = sorted((min(max(x - s, 0), n), min(max(y - s, 0), n)) for x, y in zip(f, e) if x is not None and y is not None) if f and t and s is not None else ()
+        for x, y in spans:
+            if y <= x:
+                continue
+            if cut and x <= cut[1]:
+                cut = (cut[0], max(cut[1], y))
+                continue
+            if cut:
+                out += [t[at : cut[0]], t[cut[0] : cut[1]]]
+                gone += [False, True]
+                at = cut[1]
+            cut = (x, y)
+        if cut:
+            out += [t[at : cut[0]], t[cut[0] : cut[1]]]
+            gone += [False, True]
+            at = cut[1]
+        if t:
+            out.append(t[at:])
+            gone.append(False)
+        ends.append(len(out))
+    kept = np.array([bool(o) for o in out], bool)
+    below = np.concatenate([[0], np.cumsum(kept)])
+    pieces = pa.StructArray.from_arrays([pa.array([o for o in out if o], pa.string()), pa.array(np.array(gone, bool)[kept])], names=["text", "gone"])
+    return pa.ListArray.from_arrays(pa.array(below[ends], pa.int32()), pieces)
 
 
 def redacted(rows: DataFrame, ranges: str, width=lambda text: F.length(text) * 600.0) -> DataFrame:
@@ -211,16 +300,8 @@ def redacted(rows: DataFrame, ranges: str, width=lambda text: F.length(text) * 6
     What is taken out leaves a gap as wide as it was, in thousandths of the size (``width`` of its text), and no text, so nothing beside it moves; what stays has
     no gap. Ranges may overlap and reach beyond the segment; a segment that none touches is one piece.
     """
-    n = F.length("text")
-    inside = lambda v: F.greatest(F.lit(0), F.least(v - F.col("start"), n)).cast("int")
-    own = F.transform(F.coalesce(F.col(ranges), F.array().cast("array<struct<first:bigint,last:bigint>>")), lambda r: F.struct(inside(r["first"]).alias("start"), inside(r["last"]).alias("end")))
-    rows = rows.withColumn("_cuts", merged_ranges(own))
-    piece = lambda text, gone: F.struct(F.when(gone, "").otherwise(text).alias("text"), F.when(gone, width(text)).otherwise(0.0).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,gap:double>>").alias("out"))
-
-    def cut(a: Column, r: Column) -> Column:
-        kept, gone = F.substring("text", a["at"] + 1, r["start"] - a["at"]), F.substring("text", r["start"] + 1, r["end"] - r["start"])
-        return F.struct(r["end"].alias("at"), F.concat(a["out"], F.array(piece(kept, F.lit(False)), piece(gone, F.lit(True)))).alias("out"))
-
-    rest = lambda a: F.concat(a["out"], F.array(piece(F.substring("text", a["at"] + 1, n), F.lit(False))))
-    return rows.withColumn("pieces", F.filter(F.aggregate("_cuts", start, cut, rest), lambda p: (p["text"] != "") | (p["gap"] > 0))).drop("_cuts")
+    of = lambda c: F.transform(F.coalesce(F.col(ranges), F.array().cast("array<struct<first:bigint,last:bigint>>")), lambda r: r[c].cast("long"))
+    cuts = F.arrow_udf(_cuts, "array<struct<text:string,gone:boolean>>")(F.col("text"), F.col("start").cast("long"), of("first"), of("last"))
+    piece = lambda p: F.struct(F.when(p["gone"], "").otherwise(p["text"]).alias("text"), F.when(p["gone"], width(p["text"])).otherwise(0.0).alias("gap"))
+    rows = rows.withColumn("_cuts", cuts)
+    return rows.withColumn("pieces", F.filter(F.transform("_cuts", piece), lambda p: (p["text"] != "") | (p["gap"] > 0))).drop("_cuts")

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Powers of two that a binary search over a line's length goes down, from the largest; a line has fewer code points than twice the first.
-STEPS = [1 << k for k in range(30, -1, -1)]
+
+def _alike(a: str, b: str, most: int) -> int:
+    if a[:most] == b[:most]:
+        return max(0, most)
+    low, high = 0, most
+    # equal so far, and not further than high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def _alike_batch(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None or n is None else _alike(x, y, n) for x, y, n in zip(a.to_pylist(), b.to_pylist(), most.to_pylist())], pa.int32())
 
 
 def alike(a: Column, b: Column, most: Column) -> Column:
-    """How many code points at the beginning of both are equal, ``most`` at most, by binary search over their lengths."""
-    # both texts and the bound ride along, so that they are made once and not at each step
-    start = F.struct(F.lit(0).alias("n"), most.cast("int").alias("most"), a.alias("a"), b.alias("b"))
-    longer = lambda s, step: (s["n"] + step <= s["most"]) & (F.substring(s["a"], s["n"] + 1, step) == F.substring(s["b"], s["n"] + 1, step))
-    more = lambda s, step: F.struct((s["n"] + step).alias("n"), s["most"].alias("most"), s["a"].alias("a"), s["b"].alias("b"))
-    return F.aggregate(F.array(*(F.lit(k) for k in STEPS)), start, lambda s, step: F.when(longer(s, step), more(s, step)).otherwise(s), lambda s: s["n"])
+    """How many code points at the beginning of both are equal, ``most`` at most, by binary search over their lengths, in an Arrow function: what follows from it does not do it again."""
+    return F.arrow_udf(_alike_batch, "int")(a, b, most.cast("int"))
 
 
 def mapped(rows: DataFrame, old: str, new: str, segments: str) -> DataFrame:

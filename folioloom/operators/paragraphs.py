@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
@@ -148,9 +149,10 @@ def grouped(lines: DataFrame, page: list[str], widths: Widths = Widths()) -> Dat
     A limit is just short of what the next line's first word would have needed; the last line has the widest of the others.
     """
     kept = [*page, "line", "text", "font", "size", "dir_x", "dir_y", "start_x", "start_y", "end_x", "end_y", "uniform", "editable"]
-    rows = lines.select(kept).repartition(*page).sortWithinPartitions(*page, "line")
+    # the window deals and sorts; rows that are dealt by page are not shuffled again
+    rows = lines.select(*kept, F.row_number().over(W.partitionBy(*page).orderBy("line")).alias("_n"))
     schema = StructType([*rows.schema.fields]).add("paragraph", LongType()).add("place", LongType()).add("limit", DoubleType())
-    return rows.mapInArrow(_grouper(page, widths), schema)
+    return rows.mapInArrow(_grouper(page, widths), schema).drop("_n")
 
 
 def broken(text: str, lines: list[tuple[float, float]], font: str | None, size: float, widths: Widths = Widths()) -> list[str] | None:
@@ -208,8 +210,8 @@ def _reflower(keys: list[str], widths: Widths):
 def reflowed(rows: DataFrame, page: list[str], widths: Widths = Widths()) -> DataFrame:
     """Lines of ``grouped`` with new_text (the same for a paragraph's lines) to the same with new_line, what each line says then; null if the text does not fit or cannot be measured."""
     keys = [*page, "paragraph"]
-    ordered = rows.where("paragraph is not null").repartition(*keys).sortWithinPartitions(*keys, "place")
-    return ordered.mapInArrow(_reflower(keys, widths), StructType([*ordered.schema.fields]).add("new_line", StringType()))
+    ordered = rows.where("paragraph is not null").withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("place")))
+    return ordered.mapInArrow(_reflower(keys, widths), StructType([*ordered.schema.fields]).add("new_line", StringType())).drop("_n")
 
 
 def overflow(line: Column, old: Column, new: Column, page_width: Column) -> Column:

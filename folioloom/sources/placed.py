@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 
 #: Text lines of a page, words of a row, and width of a character in points.
 PAGE_LINES, ROW_WORDS, CHAR = 40, 8, 6.0
+#: Shuffle partitions for each split of the table that is read. A run takes twenty times the room of its word, so sizes of shuffled text would say too few.
+PARTS = 16
+
+
+def parts_of(documents: DataFrame) -> int:
+    """Shuffle partitions for the runs of a table: in proportion to its splits."""
+    return PARTS * max(1, documents.rdd.getNumPartitions())
 
 
 def runs_of(documents: DataFrame) -> DataFrame:
@@ -16,16 +23,19 @@ def runs_of(documents: DataFrame) -> DataFrame:
     By arithmetic on places: some words touch, some stand a column away, some are hidden, some have a space of their own; font, size and
     fill change; every thirteenth text line is drawn twice, every 29th upright. Null and blank texts have no runs.
     """
-    line = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    word = line.select("doc_id", "l", F.posexplode(F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w", "word"))
-    word = word.withColumns({"page": F.floor(F.col("l") / PAGE_LINES), "row": F.floor(F.col("w") / ROW_WORDS), "k": F.col("doc_id") + 7 * F.col("l") + F.col("w")})
+    line = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line")).withColumn("page", F.floor(F.col("l") / PAGE_LINES))
+    # dealt by page while a page is text alone: windows and groups over pages, lines and segments need no shuffle of runs behind this
+    line = line.repartition(parts_of(documents), "doc_id", "page")
+    word = line.select("doc_id", "page", "l", F.posexplode(F.array_remove(F.split("line", r"[\x20\x09-\x0D]+"), "")).alias("w", "word"))
+    word = word.withColumns({"row": F.floor(F.col("w") / ROW_WORDS), "k": F.col("doc_id") + 7 * F.col("l") + F.col("w")})
     twice = word.withColumn("pass", F.explode(F.when(F.col("l") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     size = F.when(F.col("l") % 5 == 0, 12.0).otherwise(10.0)
     kind = F.col("k") % 11
     gap = F.when(kind == 0, 0.0).when(kind == 1, 30.0).otherwise(4.0)
     advance = F.length("word") * CHAR
     so_far = W.partitionBy("doc_id", "page", "l", "pass", "row").orderBy("w").rowsBetween(W.unboundedPreceding, -1)
-    order = W.partitionBy("doc_id", "page").orderBy("l", "pass", "w")
+    # a row's words are in order with its line's, so both windows share one sort
+    order = W.partitionBy("doc_id", "page").orderBy("l", "pass", "row", "w")
     upright = F.col("l") % 29 == 3
     return twice.select(
         "doc_id",
