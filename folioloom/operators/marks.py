@@ -1,10 +1,13 @@
 """What is drawn onto pages: shapes and strokes as points and as content, filled boxes, and moves by a matrix and its inverse.
 
-All are columns over arrays of points (structs x, y), so they stay in the executor's own code and follow their rows. Nulls give null.
+All are columns over arrays of points (structs x, y) and follow their rows; clouds and the text of paths, which are long, are written by Arrow functions. Nulls give null.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,33 +40,62 @@ def is_closed(kind: Column) -> Column:
 
 def cloud_points(corners: Column, scallop: Column) -> Column:
     """Bumps of about ``scallop`` (6 at least) along the sides of a polygon, on the side away from the mean of its corners; sides without length have none, and fewer than two corners stay as they are."""
-    n = F.size(corners)
-    total = lambda c: F.aggregate(corners, F.lit(0.0), lambda s, p: s + p[c]) / n
-    radius = F.greatest(F.lit(3.0), scallop.cast("double")) / 2
-
-    def side(a: Column, k: Column) -> Column:
-        b = F.get(corners, (k + 1) % n)
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        long = F.hypot(dx, dy)
-        bumps = F.greatest(F.lit(1), F.floor(long / (radius * 2) + 0.5).cast("int"))
-        step, ux, uy = long / bumps, dx / long, dy / long
-        out = ((a["x"] + b["x"]) / 2 - total("x")) * -uy + ((a["y"] + b["y"]) / 2 - total("y")) * ux
-        turn = F.when(out < 0, -1.0).otherwise(1.0)
-        r = step / 2
-
-        def bump(j: Column) -> Column:
-            middle = step * j + r
-
-            def on(t: Column) -> Column:
-                angle = F.pi() - t / ARC * F.pi()
-                along, away = middle + F.cos(angle) * r, F.sin(angle) * r * turn
-                return point(a["x"] + ux * along - uy * away, a["y"] + uy * along + ux * away)
-
-            return F.transform(F.sequence(F.lit(0), F.lit(ARC)), on)
-
-        return F.when(long >= 1e-6, F.flatten(F.transform(F.sequence(F.lit(0), bumps - 1), bump))).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
-
-    return F.when(n < 2, corners).otherwise(F.flatten(F.transform(corners, side)))
+    out = F.arrow_udf(_clouds, "array<struct<x: double, y: double>>")(corners, scallop.cast("double"))
+    return F.when(F.size(corners) < 2, corners).otherwise(out)
+
+
+def _clouds(corners: pa.Array, scallop: pa.Array) -> pa.Array:
+    def cloud(points: list[dict], size: float | None) -> list[tuple[float, float]] | None:
+        if len(points) < 2 or any(p is None or p["x"] is None or p["y"] is None for p in points):
+            return None
+        n, radius, out = len(points), max(3.0, 3.0 if size is None else size) / 2, []
+        mx, my = sum(p["x"] for p in points) / n, sum(p["y"] for p in points) / n
+        for k, a in enumerate(points):
+            b = points[(k + 1) % n]
+            dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+            long = math.hypot(dx, dy)
+            if not 1e-6 <= long < math.inf:
+                continue
+            bumps = max(1, math.floor(long / (radius * 2) + 0.5))
+            step, ux, uy = long / bumps, dx / long, dy / long
+            turn = -1.0 if ((a["x"] + b["x"]) / 2 - mx) * -uy + ((a["y"] + b["y"]) / 2 - my) * ux < 0 else 1.0
+            r = step / 2
+            angles = [math.pi - t / ARC * math.pi for t in range(ARC + 1)]
+            bump = [(r + math.cos(g) * r, math.sin(g) * r * turn) for g in angles]
+            out += [(a["x"] + ux * (step * j + along) - uy * away, a["y"] + uy * (step * j + along) + ux * away) for j in range(bumps) for along, away in bump]
+        return out
+
+    found = [None if c is None else cloud(c, s) for c, s in zip(corners.to_pylist(), scallop.to_pylist())]
+    return pa.array([None if f is None else [{"x": x, "y": y} for x, y in f] for f in found], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+
+def _paths(points: pa.Array, closed: pa.Array) -> pa.Array:
+    """Of each stroke how many points it has, where it begins, and what follows."""
+
+    def number(x: float | None) -> str:
+        if x is None:
+            raise TypeError
+        n = math.floor(x * 1000 + 0.5) if math.isfinite(x) and math.isfinite(x * 1000) else 0
+        whole, rest = divmod(abs(n), 1000)
+        return ("-" if n < 0 else "") + (f"{whole}.{rest:03d}".rstrip("0") if rest else str(whole))
+
+    def path(x: list[float], y: list[float], shut: bool) -> str:
+        if shut:
+            return "".join(f"{number(a)} {number(b)} l " for a, b in zip(x[1:], y[1:])) + "h "
+        inner = (f"{number(x[k])} {number(y[k])} {number((x[k] + x[k + 1]) / 2)} {number((y[k] + y[k + 1]) / 2)} v " for k in range(1, len(x) - 1))
+        return "".join(inner) + f"{number(x[-1])} {number(y[-1])} l "
+
+    def whole(own: list[dict] | None, shut: bool) -> dict | None:
+        if own is None:
+            return None
+        try:
+            x, y = [p["x"] for p in own], [p["y"] for p in own]
+            return {"n": len(own), "first": f"{number(x[0])} {number(y[0])}" if own else "", "rest": path(x, y, shut) if len(own) > 1 else ""}
+        except TypeError:  # a place that is not known
+            return {"n": len(own), "first": None, "rest": None}
+
+    kind = pa.struct([("n", pa.int32()), ("first", pa.string()), ("rest", pa.string())])
+    return pa.array([whole(*v) for v in zip(points.to_pylist(), closed.to_pylist())], kind)
 
 
 def _numbers(*values: Column) -> Column:
@@ -75,16 +107,13 @@ def stroke(points: Column, width: Column, colour: tuple[Column, Column, Column],
 
     ``state``: name of a graphics state to set first, such as one of an opacity.
     """
-    n, first, last = F.size(points), F.get(points, 0), F.element_at(points, -1)
-    place = lambda p: _numbers(p["x"], p["y"])
-    inner = F.slice(points, F.lit(2), F.greatest(n - 2, F.lit(0)))
-    straight = F.array_join(F.transform(F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda p: F.concat(place(p), F.lit(" l "))), "")
-    curve = lambda p, k: F.concat(place(p), F.lit(" "), _numbers((p["x"] + F.get(points, k + 2)["x"]) / 2, (p["y"] + F.get(points, k + 2)["y"]) / 2), F.lit(" v "))
-    curved = F.concat(F.array_join(F.transform(inner, curve), ""), place(last), F.lit(" l "))
-    path = F.when((n < 2) | (width <= 0), F.concat(place(first), F.lit(" l "))).when(closed, F.concat(straight, F.lit("h "))).otherwise(curved)
+    # points are met once, so they are made once
+    own = F.arrow_udf(_paths, "struct<n:int,first:string,rest:string>")(points, F.coalesce(closed, F.lit(False)))
+    n, first = own["n"], own["first"]
+    path = F.when((n < 2) | (width <= 0), F.concat(first, F.lit(" l "))).otherwise(own["rest"])
     set_ = F.lit("") if state is None else F.coalesce(F.concat(F.lit("/"), state, F.lit(" gs ")), F.lit(""))
     head = F.concat(F.lit("\nq "), set_, F.lit("1 J 1 j "), plain_number(width), F.lit(" w "), _numbers(*colour), F.lit(" RG "))
-    whole = F.concat(head, place(first), F.lit(" m "), path, F.lit("S Q\n"))
+    whole = F.concat(head, first, F.lit(" m "), path, F.lit("S Q\n"))
     return F.when((n == 0) | ((n > 1) & (width <= 0)), "").otherwise(whole)
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from ..sources.tables import staged
+from . import lexer
 
 Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -201,6 +203,49 @@ def operations(tokens: DataFrame, stream: list[str]) -> DataFrame:
     return rows.where("op is not null")
 
 
+def operated(streams: DataFrame, content: str, *stream: str) -> DataFrame:
+    """``operations`` of the tokens of each row's ``content``, a row a stream: put together as they are read, so that tokens are no rows and are neither dealt nor sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                out, begin, name, parts = [], None, None, []
+                for kind, start, end, value, number in lexer.tokens(batch.column(len(stream))[row].as_py() or b""):
+                    begin = start if begin is None else begin
+                    if kind in ("operator", "image"):
+                        out.append((len(out), "BI" if kind == "image" else value.decode("iso-8859-1"), begin, end, name, parts))
+                        begin, name, parts = None, None, []
+                    elif kind == "name" and name is None:
+                        name = value.decode("utf-8", "replace")
+                    elif kind in ("string", "hex"):
+                        parts.append({"value": value, "number": None})
+                    elif number is not None:
+                        parts.append({"value": None, "number": number})
+                if out:
+                    own = [pa.array([batch.column(k)[row].as_py()] * len(out), batch.schema.field(k).type) for k in range(len(stream))]
+                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("value", pa.binary()), ("number", pa.float64())])))
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=[*stream, "k", "op", "start", "end", "name", "parts"])
+
+    rows = streams.select(*stream, streams[content].cast("binary"))
+    schema = StructType(rows.schema.fields[:-1])
+    for field in StructType.fromDDL("k long, op string, start long, end long, name string, parts array<struct<value: binary, number: double>>"):
+        schema = schema.add(field)
+    return rows.mapInArrow(run, schema)
+
+
+def _records(table: pa.Table) -> Iterator[dict]:
+    """Rows of operations as dicts; their parts are taken from flat columns, which is faster than row by row."""
+    names = [c for c in table.column_names if c != "parts"]
+    parts = table["parts"].combine_chunks()
+    parts = pa.concat_arrays(parts.chunks) if isinstance(parts, pa.ChunkedArray) else parts
+    flat = parts.flatten()
+    made = [{"value": v, "number": x} for v, x in zip(flat.field("value").to_pylist(), flat.field("number").to_pylist())]
+    at = 0
+    for n, *row in zip(pa.compute.list_value_length(parts).fill_null(0).to_pylist(), *(table[c].to_pylist() for c in names)):
+        yield dict(zip(names, row), parts=made[at : at + n])
+        at += n
+
+
 def events(operations: DataFrame, objects: DataFrame | None, page: list[str]) -> DataFrame:
     """What each page's stream ``page`` does, in order: text, path and image (numbered by seq from 0), and open, close, matrix, clip and form without a seq.
 
@@ -217,7 +262,7 @@ def events(operations: DataFrame, objects: DataFrame | None, page: list[str]) ->
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         streams, held = {}, {}
-        for row in group.sort_by("k").to_pylist():
+        for row in _records(group.sort_by("k")):
             if row["k"] < 0:
                 held[row["stream"], row["name"]] = {"kind": row["op"], "target": row["target"], "matrix": row["matrix"]}
             else:

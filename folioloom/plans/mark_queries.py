@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lexer, marks, replay
+from ..operators import marks, replay
 from ..sources.tables import table
 
 KINDS = ("line", "arrow", "rect", "ellipse", "cloud", "dot", "fill")
@@ -37,7 +37,7 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mark_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every line item's mark, and the stroke behind it, lie on the page."""
     found = _marks(spark, sf_dir)
-    ops = replay.operations(lexer.lexed(found, "content", "sheet", "stream"), ["sheet", "stream"])
+    ops = replay.operated(found, "content", "sheet", "stream")
     rows = replay.events(ops, None, SHEET).where("kind = 'path'")
     boxes = [F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")]
     return rows.select(*SHEET, "seq", "op", "width", F.get("stroke", 1).alias("stroke_green"), F.get("fill", 1).alias("fill_green"), *boxes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, lexer, replay
+from ..operators import compare, replay
 from ..sources.tables import table
 
 PAGE, PAGE_LINES = ["doc_id", "page"], 40
@@ -40,7 +40,7 @@ def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _content(spark, sf_dir)
-    found = replay.operations(lexer.lexed(content, "content", *PAGE, "stream"), [*PAGE, "stream"])
+    found = replay.operated(content, "content", *PAGE, "stream")
     form = F.struct(F.lit("Fm").alias("name"), F.lit("form").alias("kind"), F.lit("form").alias("target"), F.array(*(F.lit(float(x)) for x in (1, 0, 0, 1, 1, 2))).alias("matrix"))
     image = F.struct(F.lit("Im").alias("name"), F.lit("image").alias("kind"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("array<double>").alias("matrix"))
     objects = content.where("stream = 'page'").select(*PAGE, "stream", F.explode(F.array(form, image)).alias("o")).select(*PAGE, "stream", "o.*")
