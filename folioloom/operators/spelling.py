@@ -84,7 +84,8 @@ def suggestions(unknown: DataFrame, known: DataFrame, limit: int = SUGGESTIONS)
     one = unknown.select("word", F.explode(F.array_distinct(left)).alias("key"))
     two = known.select(other.alias("suggestion"), F.explode(F.array_distinct(right)).alias("key"))
     letter = lambda k: F.substring("word", k, 1) == F.substring("suggestion", k, 1)
-    near = one.join(two, "key").where(letter(1) | letter(2)).select("word", "suggestion").distinct()
+    # a word has some forty keys, which a planner that knows the size of the words alone would gather at the driver
+    near = one.join(two.hint("merge"), "key").where(letter(1) | letter(2)).select("word", "suggestion").distinct()
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     order = W.partitionBy("word").orderBy((letters("suggestion") != letters("word")).cast("int"), F.abs(F.length("suggestion") - F.length("word")), "suggestion")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
