@@ -1,15 +1,21 @@
 """Fonts as tables: codes and what they stand for from CMap streams, widths from arrays, and text written in the codes of a font.
 
 A CMap's sections are read in one pass over its tokens and leave as ranges, which columns spread out, as they do for widths. Text is
-encoded by the longest piece that a font knows. Each page asks for the pieces of its own texts, salted, so neither a font that a
-third of all texts use nor a large font stands in one task.
+encoded by the longest piece that a font knows. Texts are dealt by font and salt and pass behind their font's glyphs, so a font that
+a third of all texts use stands in many tasks, and a task holds one font, of whose codes there are 65,536 at most.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,6 +26,8 @@ from .replay import SALTS
 
 #: The most codes of one range, the longest piece that one code stands for, and the width of a space that a font does not have.
 MOST_CODES, LONGEST, SPACE = 65_536, 4, 250.0
+#: Characters whose codes leave a task at once.
+MOST_CHARS = 1 << 20
 
 
 def _ranges(data: bytes) -> Iterator[tuple[int, int, bytes | None, str | None]]:
@@ -111,80 +119,129 @@ def code_widths(rows: DataFrame, key: list[str]) -> DataFrame:
     return found.groupBy(*key, (F.col("first") + F.col("k")).cast("long").alias("code")).agg(F.max_by("width", "n").cast("double").alias("width"))
 
 
-def _encode(text: str, font: dict, known: dict[str, tuple[int, float | None]]) -> tuple[list[dict] | None, float | None, int, list[str], list[dict]]:
+class _Face:
+    """A font with its glyphs, as a task holds it while the font's texts pass."""
+
+    def __init__(self, two_byte: bool, missing_width: float | None, space_width: float):
+        self.two_byte, self.missing_width, self.space_width = two_byte, missing_width, space_width
+        self.codes: dict[str, bytes] = {}
+        self.widths: dict[str, float | None] = {}
+        self.longer, self.pattern = [], None
+
+    def add(self, piece: str, code: int, width: float | None) -> None:
+        self.codes[piece] = (code & (0xFFFF if self.two_byte else 0xFF)).to_bytes(2 if self.two_byte else 1, "big")
+        self.widths[piece] = width if width is not None else self.missing_width
+        if len(piece) > 1:
+            self.longer.append(piece)
+            self.pattern = None
+
+    def pieces(self, text: str) -> list[str]:
+        """The longest known piece at each place, else its character."""
+        if not self.longer:
+            return list(text)
+        if self.pattern is None:
+            # pieces that begin alike stand together, so a place tries those of its own character alone
+            of: dict[str, list[str]] = {}
+            for piece in sorted(self.longer, key=lambda p: (-len(p), p)):
+                of.setdefault(piece[0], []).append(re.escape(piece[1:]))
+            self.rest = {head: re.compile("(?:" + "|".join(tails) + ")?", re.S) for head, tails in of.items()}
+            self.pattern = re.compile("[" + "".join(map(re.escape, of)) + "]")
+        out, at = [], 0
+        while found := self.pattern.search(text, at):
+            out += text[at : found.start()]
+            at = self.rest[found[0]].match(text, found.end()).end()
+            out.append(text[found.start() : at])
+        out += text[at:]
+        return out
+
+
+def _encode(text: str, font: _Face) -> tuple[list[tuple[bytes | None, float | None]] | None, float | None, int, list[str], list[tuple[str, bool]]]:
     """Parts, width, glyphs, what is missing (in order, once) and spans of what is there and what is not."""
-    parts, codes, width, n, missing, spans, at = [], [], 0.0, 0, {}, [], 0
-
-    def flush() -> None:
-        if codes:
-            parts.append({"value": b"".join(c.to_bytes(2 if font["two_byte"] else 1, "big") for c in codes), "number": None})
-            codes.clear()
-
-    def span(piece: str, there: bool) -> None:
-        if spans and spans[-1]["there"] == there:
-            spans[-1]["text"] += piece
-        else:
-            spans.append({"text": piece, "there": there})
-
-    while at < len(text):
-        piece = next((text[at : at + k] for k in range(min(font["longest"], len(text) - at), 0, -1) if text[at : at + k] in known), None)
-        there = piece is not None
-        piece = piece or text[at]
-        # a space is never missing, and belongs to what stands before it
-        span(piece, (spans[-1]["there"] if spans else True) if text[at] == " " and len(piece) == 1 else there)
-        if there:
-            code, wide = known[piece]
-            codes.append(code & (0xFFFF if font["two_byte"] else 0xFF))
-            width += wide if wide is not None else font["missing_width"]
-            n += 1
-        elif piece == " ":
-            flush()
-            parts.append({"value": None, "number": -font["space_width"]})
-            width += font["space_width"]
-        else:
-            missing[piece] = None
-        at += len(piece)
-    flush()
-    return (None, None, n, list(missing), spans) if missing else (parts, width, n, [], spans)
-
-
-def encoded(texts: DataFrame, fonts: DataFrame, glyphs: DataFrame, page: list[str]) -> DataFrame:
+    codes, widths = font.codes, font.widths
+    pieces = font.pieces(text)
+    times = Counter(pieces)
+    n = sum(c for p, c in times.items() if p in codes)
+    missing = [p for p in times if p not in codes and p != " "]
+    if missing:
+        spans, so_far, held = [], None, []
+        for p in pieces:
+            # a space is never missing, and belongs to what stands before it
+            there = so_far is not False if p == " " else p in codes
+            if there is not so_far and held:
+                spans.append(("".join(held), so_far))
+                held = []
+            so_far = there
+            held.append(p)
+        spans.append(("".join(held), so_far))
+        return None, None, n, missing, spans
+    gap = " " not in codes
+    wide = {p: font.space_width if gap and p == " " else widths[p] for p in times}
+    width = reduce(add, map(wide.__getitem__, pieces), 0.0)
+    parts, start = [], 0
+    for k in [*((k for k, p in enumerate(pieces) if p == " ") if gap and " " in times else ()), len(pieces)]:
+        if k > start:
+            parts.append((b"".join(map(codes.__getitem__, pieces[start:k])), None))
+        if k < len(pieces):
+            parts.append((None, -font.space_width))
+        start = k + 1
+    return parts, width, n, [], [(text, True)] if text else []
+
+
+def _listed(lists: list[list[tuple] | None], kind: pa.ListType) -> pa.Array:
+    """Lists of tuples as an array of lists of structs, null where there is no list."""
+    ends = np.concatenate([[0], np.cumsum([len(x or ()) for x in lists])])
+    offsets = pa.array(ends, pa.int32(), mask=np.array([x is None for x in lists] + [False]))
+    columns = list(zip(*(t for x in lists for t in x or ()))) or [()] * kind.value_type.num_fields
+    fields = [kind.value_type.field(k) for k in range(kind.value_type.num_fields)]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)).cast(kind)
+
+
+def encoded(texts: DataFrame, fonts: DataFrame, glyphs: DataFrame, page: list[str], salts: int = SALTS) -> DataFrame:
     """Rows of ``texts`` ``(<page>, id, font, text)`` with parts as a TJ array takes them, width (thousandths of the size), n_glyphs, missing and spans ``(text, there)``.
 
     ``fonts``: ``(font, two_byte, missing_width, space_width)``; ``glyphs``: ``(font, code, glyph, width)``; of codes for one glyph the lowest counts. A space that the font lacks is a gap of
     ``space_width`` (null: 250). If anything is missing, parts and width are null. Null texts count as empty; texts of fonts that are not there, or with a null in ``page``, are left out.
+    ``salts``: into how many parts each font's texts are dealt; its glyphs go to each part, where they pass before the texts, so what a task holds is one font.
     """
-    salt, salts = F.pmod(F.xxhash64(*page), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     by_text = glyphs.where(f"length(glyph) between 1 and {LONGEST}").groupBy("font", "glyph").agg(F.min_by(F.struct(F.col("code").cast("long").alias("code"), F.col("width").cast("double").alias("width")), "code").alias("g"))
-    longest = by_text.groupBy("font").agg(F.max(F.length("glyph")).alias("longest"))
-    face = F.struct("two_byte", "missing_width", F.coalesce("space_width", F.lit(SPACE)).alias("space_width"), F.coalesce("longest", F.lit(1)).alias("longest"))
-    faces = fonts.join(longest, "font", "left").select("font", face.alias("face"), salts)
-    of_page = texts.select(*page, "font").distinct().select("*", salt).join(faces, ["font", "salt"]).groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("font", "face"))).alias("faces"))
-    rows = texts.select(*page, "id", "font", F.coalesce("text", F.lit("")).alias("text")).join(of_page, page).withColumn("face", F.try_element_at("faces", "font")).where("face is not null").select(*page, "id", "font", "text", "face.*")
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, out = [], []
-            for k, (text, most) in enumerate(zip(batch["text"].to_pylist(), batch["longest"].to_pylist())):
-                own = {text[a : a + n] for n in range(1, most + 1) for a in range(len(text) - n + 1)}
-                at += [k] * len(own)
-                out += own
-            keys = batch.select([*page, "font"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(out, pa.string())], names=[*page, "font", "glyph"])
-
-    asked = rows.select(*page, "font", "text", "longest").mapInArrow(pieces, StructType([rows.schema[c] for c in (*page, "font")]).add("glyph", "string")).distinct()
-    known = asked.select("*", salt).join(by_text.select("font", "glyph", "g", salts), ["font", "glyph", "salt"]).select(*page, "font", "glyph", "g.code", "g.width")
-    schema = StructType([rows.schema[c] for c in (*page, "id", "font", "text")])
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+    texts = texts.select(*page, "id", "font", F.coalesce("text", F.lit("")).alias("text"))
+    own = [*page, "id"]
+    none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in own]
+    face = fonts.where("font is not null").select(*none, "font", F.lit(None).cast("string").alias("text"), every, F.lit(0).alias("kind"), "two_byte", F.col("missing_width").cast("double").alias("wide"), F.coalesce(F.col("space_width").cast("double"), F.lit(SPACE)).alias("space"), F.lit(None).cast("long").alias("code"))
+    known = by_text.select(*none, "font", F.col("glyph").alias("text"), every, F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("two_byte"), F.col("g.width").alias("wide"), F.lit(None).cast("double").alias("space"), F.col("g.code").alias("code"))
+    there = texts.where(" and ".join(f"`{c}` is not null" for c in [*page, "font"]))
+    asked = there.select(*own, "font", "text", F.pmod(F.xxhash64(*own), F.lit(salts)).alias("salt"), F.lit(2).alias("kind"), F.lit(None).cast("boolean").alias("two_byte"), *(F.lit(None).cast(t).alias(c) for c, t in (("wide", "double"), ("space", "double"), ("code", "long"))))
+    rows = asked.unionByName(known).unionByName(face).repartition("font", "salt").sortWithinPartitions("font", "salt", "kind")
+    schema = StructType([texts.schema[c] for c in (*own, "font", "text")])
     for field in StructType.fromDDL("parts array<struct<value: binary, number: double>>, width double, n_glyphs long, missing array<string>, spans array<struct<text: string, there: boolean>>"):
         schema = schema.add(field)
     arrow = to_arrow_schema(schema)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of: dict[str, dict] = {}
-        for g in right.to_pylist():
-            of.setdefault(g["font"], {})[g["glyph"]] = (g["code"], g["width"])
-        out = [_encode(r["text"], r, of.get(r["font"], {})) for r in left.select(["font", "text", "two_byte", "missing_width", "space_width", "longest"]).to_pylist()]
-        columns = list(zip(*out)) or [()] * 5
-        return pa.Table.from_arrays([*left.select([*page, "id", "font", "text"]).columns, *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[-5:]))], schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, font = None, None
+        for batch in batches:
+            start, held = 0, 0
+            # a long text more or less: what leaves at once is bounded by its characters
+            for stop, n in enumerate(pc.utf8_length(batch["text"]).to_pylist(), 1):
+                held += n or 0
+                if held < MOST_CHARS and stop < batch.num_rows:
+                    continue
+                part, at, out = batch.slice(start, stop - start), [], []
+                for k, r in enumerate(part.select(["font", "salt", "kind", "text", "two_byte", "wide", "space", "code"]).to_pylist()):
+                    if (r["font"], r["salt"]) != place:
+                        place, font = (r["font"], r["salt"]), None
+                    if r["kind"] == 0:
+                        font = _Face(r["two_byte"], r["wide"], r["space"])
+                    elif font and r["kind"] == 1:
+                        font.add(r["text"], r["code"], r["wide"])
+                    elif font:
+                        at.append(k)
+                        out.append(_encode(r["text"], font))
+                if at:
+                    kept = part.select([*own, "font", "text"]).take(pa.array(at))
+                    found = [(_listed if f.name in ("parts", "spans") else pa.array)(list(c), f.type) for c, f in zip(zip(*out), list(arrow)[-5:])]
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *found], schema=arrow)
+                start, held = stop, 0
 
-    return rows.groupBy(*page).cogroup(known.groupBy(*page)).applyInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -35,7 +35,7 @@ def line_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = compare.doc_lines(table(spark, sf_dir, "documents"))
     font = F.when((F.col("doc_id") + F.col("line_no")) % 2 == 0, "A").otherwise("B")
     texts = lines.select("doc_id", F.floor(F.col("line_no") / PAGE_LINES).alias("page"), F.col("line_no").cast("long").alias("id"), font.alias("font"), "text")
-    found = glyphs.encoded(texts, fonts.withColumn("space_width", F.lit(None).cast("double")), known, PAGE)
+    found = glyphs.encoded(texts, fonts.withColumn("space_width", F.lit(None).cast("double")), known, PAGE, salts=glyphs.SALTS * table(spark, sf_dir, "documents").rdd.getNumPartitions())
     digest = F.md5(F.array_join(F.transform("parts", lambda p: F.when(p["value"].isNull(), "_").otherwise(F.hex(p["value"]))), ""))
     return found.select("doc_id", F.col("id").alias("line_no"), "font", "n_glyphs", "width", F.array_join(F.array_sort("missing"), "").alias("missing"), F.size("spans").cast("long").alias("n_spans"), digest.alias("codes_md5"))
 
