@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +14,8 @@ from folioloom.sources.tables import staged
 
 #: Letters of a word that is checked, of one that may be several run together, of such a piece; suggestions; share of unknown words of a foreign text.
 SHORTEST, LONGEST, RUN_TOGETHER, PIECE, SUGGESTIONS, FOREIGN = 3, 20, 11, (2, 14), 5, 0.25
-_ADDRESSES = (r"(?i)\b(https?://|www\.)\S+", r"\S+@\S+", r"(?i)\b[a-z0-9-]+\.(com|org|net|edu|gov|io|uk|de|fr)\b")
+#: Addresses, with a sign that each must hold. One with an @ begins where its word does, so a long word is not tried from all its places.
+_ADDRESSES = ((r"(?i)\b(https?://|www\.)\S+", "://", "."), (r"(?<!\S)\S+@\S+", "@"), (r"(?i)\b[a-z0-9-]+\.(com|org|net|edu|gov|io|uk|de|fr)\b", "."))
 
 
 def dictionary(docs: DataFrame, least_docs: int = 3) -> DataFrame:
@@ -25,22 +29,26 @@ def tokens(lines: DataFrame) -> DataFrame:
 
     Addresses are skipped, and so are words under 3 or over 20 letters, words in capitals and capitalised words behind a line's first character.
     """
-    masked = F.col("text")
-    for pattern in _ADDRESSES:
-        masked = F.regexp_replace(masked, pattern, "\u0001")
-    found = lines.withColumn("_m", masked).select(*lines.drop("text").columns, F.col("_m").rlike("^[A-Za-z]").alias("_starts"), F.posexplode(F.regexp_extract_all("_m", F.lit("[A-Za-z][A-Za-z']*"), F.lit(0))).alias("_k", "token"))
-    word = F.lower(F.regexp_replace("token", "^'+|'+$", ""))
+    rows = lines.withColumn("_m", F.col("text"))
+    for pattern, *signs in _ADDRESSES:
+        may = reduce(or_, (F.contains(F.col("_m"), F.lit(sign)) for sign in signs))
+        rows = rows.withColumn("_m", F.when(may, F.regexp_replace("_m", pattern, "\u0001")).otherwise(F.col("_m")))
+    found = rows.select(*lines.drop("text").columns, F.col("_m").rlike("^[A-Za-z]").alias("_starts"), F.posexplode(F.regexp_extract_all("_m", F.lit("[A-Za-z][A-Za-z']*"), F.lit(0))).alias("_k", "token"))
+    word = F.lower(F.when(F.col("token").endswith("'"), F.regexp_replace("token", "'+$", "")).otherwise(F.col("token")))  # none begins with one
     first = F.col("_starts") & (F.col("_k") == 0)  # at the line's first character
     fine = F.length("word").between(SHORTEST, LONGEST) & ~((F.length("token") > 1) & (F.col("token") == F.upper("token"))) & (~F.col("token").rlike("^[A-Z]") | first)
     return found.withColumn("word", word).where(fine).drop("_starts", "_k")
 
 
+def known_words(words: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct ``(word)`` of ``words`` that the list has itself or as a stem of two letters or more."""
+    forms = words.select("word").distinct().withColumn("form", F.explode(F.concat(F.array("word"), F.filter(stems(F.col("word")), lambda s: F.length(s) >= 2))))
+    return forms.join(known.select(F.col("word").alias("form")), "form", "left_semi").select("word").distinct()
+
+
 def unknown_words(words: DataFrame, known: DataFrame) -> DataFrame:
     """Distinct ``(word)`` of ``words`` that the list has neither itself nor as a stem of two letters or more."""
-    distinct = words.select("word").distinct()
-    forms = distinct.withColumn("form", F.explode(F.concat(F.array("word"), F.filter(stems(F.col("word")), lambda s: F.length(s) >= 2))))
-    good = forms.join(known.select(F.col("word").alias("form")), "form", "left_semi").select("word").distinct()
-    return distinct.join(good, "word", "left_anti")
+    return words.select("word").distinct().join(known_words(words, known), "word", "left_anti")
 
 
 def run_together(unknown: DataFrame, known: DataFrame) -> DataFrame:
@@ -53,8 +61,8 @@ def run_together(unknown: DataFrame, known: DataFrame) -> DataFrame:
     for depth in range(1, 6):
         ends = start.withColumn("end", F.explode(F.sequence(F.col("at") + PIECE[0], F.col("at") + PIECE[1]))).where(F.col("end") <= F.length("word"))
         pieces = ends.withColumn("piece", F.substring("word", F.col("at") + 1, F.col("end") - F.col("at")))
-        strange = unknown_words(pieces.select(F.col("piece").alias("word")), known)
-        start = staged(pieces.join(strange.withColumnRenamed("word", "piece"), "piece", "left_anti").select("word", F.col("end").alias("at")).distinct(), "run-together")
+        good = known_words(pieces.select(F.col("piece").alias("word")), known)
+        start = staged(pieces.join(good.withColumnRenamed("word", "piece"), "piece", "left_semi").select("word", F.col("end").alias("at")).distinct(), "run-together")
         if depth >= 2:
             whole = start.where(F.col("at") == F.length("word")).select("word")
             done = whole if done is None else done.union(whole)
@@ -105,7 +113,9 @@ def misspellings(lines: DataFrame, known: DataFrame) -> DataFrame:
 
 def foreign(lines: DataFrame, known: DataFrame) -> DataFrame:
     """``(doc_id, n, unknown, foreign)``: over a quarter of a document's words unknown."""
-    found = tokens(lines)
-    strange = unknown_words(found, known).withColumn("_u", F.lit(1))
-    per = found.join(strange, "word", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("_u"), F.lit(0)).alias("unknown"))
+    # a document's words are found once and stand once with their number; frequent words are known, so only counts of the others meet documents
+    found = staged(tokens(lines).groupBy("doc_id", "word").agg(F.count("*").alias("c")), "doc-words")
+    strange = found.join(unknown_words(found, known), "word", "left_semi")
+    both = found.select("doc_id", F.col("c").alias("n"), F.lit(0).cast("long").alias("unknown")).unionByName(strange.select("doc_id", F.lit(0).cast("long").alias("n"), F.col("c").alias("unknown")))
+    per = both.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("unknown").alias("unknown"))
     return per.withColumn("foreign", F.col("unknown") / F.col("n") > FOREIGN)

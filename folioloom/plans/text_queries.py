@@ -44,7 +44,7 @@ def osa_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = staged(_words(spark, sf_dir), "words")
-    return spelling.run_together(staged(unknown_words(spark, sf_dir), "unknown"), words)
+    return spelling.run_together(staged(spelling.unknown_words(spelling.tokens(_lines(spark, sf_dir)), words), "unknown"), words)
 
 
 def misspelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
