@@ -268,3 +268,31 @@ def test_passages_of_many_runs_in_one_region():
             b += own + new(300)
         got = passages.common_passages(prepared(a), prepared(b), 47)
         assert len(got) == n and sum(p[1] for p in got) == 49 * n
+
+
+def test_members_pair_where_what_they_share_is_dense_round_the_key(spark):
+    line, passage = ([f"{kind}{k}" for k in range(n)] for kind, n in (("line", 13), ("passage", 60)))
+
+    def pairs(gap):
+        texts = [(d, " ".join([*line, *(f"own{d}_{k}" for k in range(gap)), *passage])) for d in range(12)]
+        now = [(d, 1, 2, 3, 0, 13 + gap + 60 - 5) for d in range(12)]
+        held = passages.held_tokens(spark.createDataFrame(now, "doc long, key long, at long, other long, low long, high long"), spark.createDataFrame(texts, "doc_id long, text string"))
+        return {tuple(r) for r in passages.sharing(held, 47).collect()}
+
+    assert pairs(40) == set()  # a passage far from the common line makes no pairs of it
+    assert pairs(2) == {(a, b) for a in range(12) for b in range(a)}
+
+
+def test_dense_stretches_are_those_of_all_stretches():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        width, n = int(rng.integers(3, 12)), int(rng.integers(1, 40))
+        place = np.flatnonzero(rng.random(n) < rng.choice([0.5, 0.8, 0.95]))
+        own = rng.choice([0, 0, 0, 1, 2, 3], len(place))
+        want = np.zeros(len(place), bool)
+        for i in range(len(place)):
+            for j in range(i, len(place)):
+                size = place[j] - place[i] + 1
+                if size >= width and 5 * (j - i + 1) >= 4 * size and (own[i : j + 1] & 1).any() and (own[i : j + 1] & 2).any():
+                    want[i : j + 1] = True
+        assert (passages.dense(place, own, width) == want).all()
