@@ -10,13 +10,14 @@ from folioloom.llm.mixing import mixed
 from folioloom.llm.passages import without_repeats
 from folioloom.llm.pieces import encoded
 from folioloom.llm.queries import table, tokenizer
-from folioloom.llm.shared import written
+from folioloom.llm.shared import small_batches, written
 from folioloom.llm.toxicity import toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that compression distance does not call toxic."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    with small_batches(spark):  # these hold when the stage runs, so it is written here
+        return written(toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns), "not-toxic")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

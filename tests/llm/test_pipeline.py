@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 from folioloom.llm.mixing import taken_words
 from folioloom.llm.queries import tokenizer
 from folioloom.llm.toxicity import toxicity
@@ -63,3 +64,17 @@ def test_each_stage_against_plain_python(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, kept[4], DATA)
     ids = sorted((r.doc_id, list(r.ids)) for r in last.collect())
     assert ids == sorted((r["doc_id"], model.encode(r["text"] or "")) for r in rows[4])
+
+
+def test_texts_reach_the_first_stage_in_small_batches(spark, monkeypatch):
+    def sized(docs, labels):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(batch)] * len(batch), pa.int64()), pa.array([0] * len(batch), pa.int32())], names=["doc_id", "text", "n", "predicted"])
+
+        return docs.mapInArrow(run, "doc_id long, text string, n long, predicted int")
+
+    monkeypatch.setattr(corpus_pipeline, "toxicity", sized)
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "'a text' AS text", "0L AS n")
+    out = corpus_pipeline.drop_toxic(spark, docs, DATA)
+    assert out.count() == 3000 and out.agg({"n": "max"}).first()[0] <= 1000
