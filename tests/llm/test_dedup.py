@@ -296,3 +296,17 @@ def test_dense_stretches_are_those_of_all_stretches():
                 if size >= width and 5 * (j - i + 1) >= 4 * size and (own[i : j + 1] & 1).any() and (own[i : j + 1] & 2).any():
                     want[i : j + 1] = True
         assert (passages.dense(place, own, width) == want).all()
+
+
+def test_members_of_a_key_are_paired_by_what_two_have_in_common(spark, monkeypatch):
+    """Lists of rare tokens made a row for each two members and token; common tokens are counted now, also across blocks of members."""
+    begins = [a for a in range(0, 41, 4) for _ in range(3)]
+    rows = [(1, doc, 1000 - place, place, 3 if place == 45 else 0) for doc, a in enumerate(begins) for place in range(a, a + 50)]
+    held = spark.createDataFrame(rows, "key long, doc long, token long, place long, own byte")
+    for block in (256, 7):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = [tuple(r) for r in passages.sharing(held, 47).collect()]
+        assert sorted(got) == [(x, y) for x in range(33) for y in range(x) if abs(begins[x] - begins[y]) <= 12]  # 38 of 50
+    monkeypatch.setattr(passages, "COLUMNS", 16)
+    sets = [np.unique(np.random.default_rng(k).integers(0, 90, 60)) for k in range(9)] + [np.zeros(0, np.int64)]
+    assert passages.in_common(sets).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets]
