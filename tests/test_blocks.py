@@ -141,3 +141,12 @@ def test_drawings(spark):
             want.add((page, n, start, end, *b, rank))
     assert got == want and len(want) > 20
     assert drawings.drawings(drawings.breaks(p.where("false"), f, m, BY), BY, area).count() == 0
+
+
+def test_path_drawings_read_and_deal_line_items_once(spark):
+    """Paths, what is drawn between and marks each read all line items, and counts between dealt them anew."""
+    from folioloom.plans import block_queries
+
+    plan = block_queries.path_drawings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Union" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 4
