@@ -49,7 +49,8 @@ def plain_number(x: Column) -> Column:
     finite = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
     thousandths = F.floor(finite * 1000 + 0.5).cast("decimal(38,0)")
     text = (thousandths / F.lit(1000).cast("decimal(10,0)")).cast("decimal(38,3)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    # there are always three decimals, so no zero of the whole number is trimmed
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def measured(x: Column) -> Column:

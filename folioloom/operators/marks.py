@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,58 +46,94 @@ def cloud_points(corners: Column, scallop: Column) -> Column:
     return F.when(F.size(corners) < 2, corners).otherwise(out)
 
 
+def _flat(points: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of points: how many each has, all x and y (nan where there is none), and whether each is known."""
+    count = np.asarray(pc.list_value_length(points).fill_null(0).to_numpy(zero_copy_only=False), "i8")
+    flat = points.flatten()
+    x, y = (pc.struct_field(flat, c).cast(pa.float64()) for c in ("x", "y"))
+    known = pc.and_(x.is_valid(), y.is_valid()).to_numpy(zero_copy_only=False)
+    return count, *(c.fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in (x, y)), known
+
+
 def _clouds(corners: pa.Array, scallop: pa.Array) -> pa.Array:
-    def cloud(points: list[dict], size: float | None) -> list[tuple[float, float]] | None:
-        if len(points) < 2 or any(p is None or p["x"] is None or p["y"] is None for p in points):
-            return None
-        n, radius, out = len(points), max(3.0, 3.0 if size is None else size) / 2, []
-        mx, my = sum(p["x"] for p in points) / n, sum(p["y"] for p in points) / n
-        for k, a in enumerate(points):
-            b = points[(k + 1) % n]
-            dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-            long = math.hypot(dx, dy)
-            if not 1e-6 <= long < math.inf:
-                continue
-            bumps = max(1, math.floor(long / (radius * 2) + 0.5))
-            step, ux, uy = long / bumps, dx / long, dy / long
-            turn = -1.0 if ((a["x"] + b["x"]) / 2 - mx) * -uy + ((a["y"] + b["y"]) / 2 - my) * ux < 0 else 1.0
-            r = step / 2
-            angles = [math.pi - t / ARC * math.pi for t in range(ARC + 1)]
-            bump = [(r + math.cos(g) * r, math.sin(g) * r * turn) for g in angles]
-            out += [(a["x"] + ux * (step * j + along) - uy * away, a["y"] + uy * (step * j + along) + ux * away) for j in range(bumps) for along, away in bump]
-        return out
-
-    found = [None if c is None else cloud(c, s) for c, s in zip(corners.to_pylist(), scallop.to_pylist())]
-    return pa.array([None if f is None else [{"x": x, "y": y} for x, y in f] for f in found], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    """Sides of all polygons at once, then their bumps, then the points of these."""
+    count, x, y, known = _flat(corners)
+    n, of = len(count), np.repeat(np.arange(len(count)), count)
+    start = np.cumsum(count) - count
+    whole = (count >= 2) & (np.bincount(of, ~known, n) == 0)
+    wide = np.asarray(scallop.fill_null(3.0).to_numpy(zero_copy_only=False), "f8")
+    radius = np.where(wide > 3.0, wide, 3.0)[of] / 2
+    after = np.arange(len(x)) + 1
+    after = np.where(after == (start + count)[of], start[of], after)
+    with np.errstate(all="ignore"):
+        mx, my = np.bincount(of, x, n)[of] / count[of], np.bincount(of, y, n)[of] / count[of]
+        dx, dy = x[after] - x, y[after] - y
+        long = np.hypot(dx, dy)
+        side = np.flatnonzero(whole[of] & (long >= 1e-6) & (long < math.inf))
+        x, y, bx, by, dx, dy, long, radius, of, mx, my = (c[side] for c in (x, y, x[after], y[after], dx, dy, long, radius, of, mx, my))
+        bumps = np.maximum(1, np.floor(long / (radius * 2) + 0.5)).astype("i8")
+        step, ux, uy = long / bumps, dx / long, dy / long
+        turn = np.where(((x + bx) / 2 - mx) * -uy + ((y + by) / 2 - my) * ux < 0, -1.0, 1.0)
+    bump = np.repeat(np.arange(len(side)), bumps)
+    j = np.arange(len(bump)) - np.repeat(np.cumsum(bumps) - bumps, bumps)
+    angles = [math.pi - t / ARC * math.pi for t in range(ARC + 1)]
+    r, out_at = (step / 2)[bump][:, None], (step[bump] * j)[:, None]
+    along = out_at + (r + np.array([math.cos(g) for g in angles]) * r)
+    away = np.array([math.sin(g) for g in angles]) * r * turn[bump][:, None]
+    ux, uy, x, y = (c[bump][:, None] for c in (ux, uy, x, y))
+    points = pa.StructArray.from_arrays([pa.array((x + ux * along - uy * away).ravel()), pa.array((y + uy * along + ux * away).ravel())], names=["x", "y"])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, bumps, n).astype("i8") * (ARC + 1))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~whole, False)), points)
+
+
+#: What follows the point in a number of so many thousandths.
+DECIMALS = pa.array([f".{k:03d}".rstrip("0").rstrip(".") for k in range(1000)])
+
+
+def _said(x: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Numbers as ``plain_number`` writes them: whole numbers with their sign, and decimals."""
+    with np.errstate(all="ignore"):
+        n = np.floor(x * 1000 + 0.5)
+        n[~np.isfinite(x) | ~np.isfinite(x * 1000)] = 0
+    size = np.abs(n)
+    near = size < 2**53
+    whole = np.floor(np.where(near, size, 0) / 1000)
+    rest = np.where(near, size - whole * 1000, 0).astype("i8")
+    said, decimals = pa.array(np.copysign(whole, n).astype("i8")).cast(pa.string()), DECIMALS.take(pa.array(rest))
+    odd = (n < 0) & ((whole == 0) | ~near) | ~near
+    if odd.any():  # a sign before nought, and what is too large for its thousandths
+        exact = [divmod(abs(int(v)), 1000) for v in n[odd].tolist()]
+        sign = ["-" if v < 0 else "" for v in n[odd].tolist()]
+        said = pc.replace_with_mask(said, pa.array(odd), pa.array([f"{s}{w}" for s, (w, _) in zip(sign, exact)]))
+        decimals = pc.replace_with_mask(decimals, pa.array(odd), DECIMALS.take(pa.array([r for _, r in exact])))
+    return said, decimals
 
 
 def _paths(points: pa.Array, closed: pa.Array) -> pa.Array:
     """Of each stroke how many points it has, where it begins, and what follows."""
-
-    def number(x: float | None) -> str:
-        if x is None:
-            raise TypeError
-        n = math.floor(x * 1000 + 0.5) if math.isfinite(x) and math.isfinite(x * 1000) else 0
-        whole, rest = divmod(abs(n), 1000)
-        return ("-" if n < 0 else "") + (f"{whole}.{rest:03d}".rstrip("0") if rest else str(whole))
-
-    def path(x: list[float], y: list[float], shut: bool) -> str:
-        if shut:
-            return "".join(f"{number(a)} {number(b)} l " for a, b in zip(x[1:], y[1:])) + "h "
-        inner = (f"{number(x[k])} {number(y[k])} {number((x[k] + x[k + 1]) / 2)} {number((y[k] + y[k + 1]) / 2)} v " for k in range(1, len(x) - 1))
-        return "".join(inner) + f"{number(x[-1])} {number(y[-1])} l "
-
-    def whole(own: list[dict] | None, shut: bool) -> dict | None:
-        if own is None:
-            return None
-        try:
-            x, y = [p["x"] for p in own], [p["y"] for p in own]
-            return {"n": len(own), "first": f"{number(x[0])} {number(y[0])}" if own else "", "rest": path(x, y, shut) if len(own) > 1 else ""}
-        except TypeError:  # a place that is not known
-            return {"n": len(own), "first": None, "rest": None}
-
-    kind = pa.struct([("n", pa.int32()), ("first", pa.string()), ("rest", pa.string())])
-    return pa.array([whole(*v) for v in zip(points.to_pylist(), closed.to_pylist())], kind)
+    count, x, y, known = _flat(points)
+    n, of = len(count), np.repeat(np.arange(len(count)), count)
+    start, shut = np.cumsum(count) - count, closed.fill_null(False).to_numpy(zero_copy_only=False)
+    lost = np.bincount(of, ~known, n) > 0
+    at = np.arange(len(x)) - start[of]
+    says_x, says_y = _said(x), _said(y)
+    steps = pc.binary_join_element_wise(*says_x, " ", *says_y, " l ", "")
+    first = pc.if_else(pa.array(count > 0), pc.utf8_slice_codeunits(steps.take(pa.array(np.minimum(start, max(len(x) - 1, 0)))), 0, -3) if len(x) else pa.nulls(n, pa.string()), "")
+    # inner points of open strokes are met half-way to the next
+    curved = ~shut[of] & (at > 0) & (at < count[of] - 1)
+    if curved.any():
+        inner = np.flatnonzero(curved)
+        own = pa.array(inner)
+        half = [_said((c[inner] + c[inner + 1]) / 2) for c in (x, y)]
+        text = pc.binary_join_element_wise(*(c.take(own) for c in says_x), " ", *(c.take(own) for c in says_y), " ", *half[0], " ", *half[1], " v ", "")
+        steps = pc.replace_with_mask(steps, pa.array(curved), text)
+    ends = np.concatenate([[0], np.cumsum(np.maximum(count - 1, 0))])
+    rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps.filter(pa.array(at > 0))), "")
+    rest = pc.binary_join_element_wise(rest, pc.if_else(pa.array(shut & (count > 1)), "h ", ""), "")
+    known_all, there = pa.array(~lost), points.is_valid()
+    none = pa.scalar(None, pa.string())
+    fields = [pa.array(count, pa.int32()), pc.if_else(known_all, first, none), pc.if_else(known_all, rest, none)]
+    return pa.StructArray.from_arrays(fields, names=["n", "first", "rest"], mask=pc.invert(there))
 
 
 def _numbers(*values: Column) -> Column:

@@ -1,7 +1,7 @@
 """Pages replayed from their content streams: what is shown, drawn and placed where, in the page's space.
 
-Tokens become operations by a window, and one pass over a page's operations follows the graphics state: a stack, a matrix, colours,
-a clip, and streams within streams. All else is columns. Text moves only its own matrix, which starts anew with each line, so the
+A page's streams are read into operations where they stand, and one pass over these follows the graphics state: a stack, a matrix, colours,
+a clip, and streams within streams. Points of a path that follow each other are moved at once. All else is columns. Text moves only its own matrix, which starts anew with each line, so the
 pass needs no widths: a run's place is its line's matrix and the running sum of what was shown since. Characters and widths come
 from a table of glyphs; each page asks once for each code it shows, salted, so a font that all pages use is no hot key.
 A page's operations stand in one task, as a page is what has a state; documents and corpora do not.
@@ -9,8 +9,9 @@ A page's operations stand in one task, as a page is what has a state; documents
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+import re
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 #: How deep streams may lie in each other, and the gap (in sizes) that reads as a space.
 MOST_DEPTH, WORD_GAP = 8, 0.22
+#: Events that leave a task at once, or a few more.
+MOST_EVENTS = 10_000
 #: Parts that the rows of one code of one font are dealt to.
 SALTS = 16
 ROOT = "page"
@@ -38,8 +41,7 @@ EVENT = (
 )
 
 
-@dataclass(frozen=True)
-class State:
+class State(NamedTuple):
     """What q keeps and Q brings back."""
 
     ctm: Matrix
@@ -79,22 +81,30 @@ COLOURS = {
     "g": ("fill", (1,)), "rg": ("fill", (3,)), "k": ("fill", (4,)), "sc": ("fill", (1, 3, 4)), "scn": ("fill", (1, 3, 4)),
     "G": ("stroke", (1,)), "RG": ("stroke", (3,)), "K": ("stroke", (4,)), "SC": ("stroke", (1, 3, 4)), "SCN": ("stroke", (1, 3, 4)),
 }
+#: Operators that add points to a path, and the numbers of one such step.
+STEPS = {b"m": 2, b"l": 2, b"c": 6, b"v": 4, b"y": 4}
+#: From so many numbers on, points are moved by numpy.
+MANY = 32
 PAINT = frozenset(("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n"))
 SHOW = frozenset(("Tj", "TJ", "'", '"'))
 LINE = frozenset(("BT", "Td", "TD", "Tm", "T*", "'", '"'))
+#: All that a page plays.
+PLAYED = frozenset(o.encode() for o in (*SETTERS, *COLOURS, *PAINT, *SHOW, *LINE, *"qQmlcvyhW", "cm", "Tf", "Tr", "gs", "re", "W*", "Do"))
 
 
 class Page:
-    """The events of one page: ``streams`` by name as lists of operations, ``objects`` by (stream, name)."""
+    """The events of one page: ``streams`` by name as lists of operations, ``objects`` by (stream, name); of ``kinds`` alone, if there are any."""
 
-    def __init__(self, streams: dict[str, list[dict]], objects: dict[tuple[str, str], dict]):
-        self.streams, self.objects = streams, objects
+    def __init__(self, streams: dict[str, list[dict]], objects: dict[tuple[str, str], dict], kinds: Iterable[str] = ()):
+        self.streams, self.objects, self.kinds = streams, objects, kinds
         self.seq = self.lines = 0
 
-    def event(self, stream: str, kind: str, op: dict, s: State, depth: int, **more) -> dict:
+    def event(self, stream: str, kind: str, op: dict, s: State, depth: int, **more) -> dict | None:
         seen = kind in ("text", "path", "image")
         seq = self.seq if seen else None
         self.seq += seen
+        if self.kinds and kind not in self.kinds:
+            return None
         row = {"seq": seq, "stream": stream, "kind": kind, "op": op["op"], "start": op["start"], "end": op["end"], "depth": depth, "scale": s.scale / 100, "ctm": list(s.ctm)}
         for c in ("font", "size", "char_space", "word_space", "rise", "mode", "width", "ext", "clip_complex"):
             row[c] = getattr(s, c)
@@ -107,30 +117,35 @@ class Page:
         line = self.lines
         points, path_start, rects, steps, clips = [], None, 0, 0, False
         for op in self.streams.get(source, ()):
-            do, n = op["op"], [p["number"] for p in op["parts"] if p["number"] is not None]
-            if do == "q":
+            do = op["op"]
+            n = op["numbers"] if "numbers" in op else [p["number"] for p in op["parts"] if p["number"] is not None]
+            if do is None:
+                path_start = op["start"] if path_start is None else path_start
+                points += _corners(n, s.ctm)
+                steps += op["steps"]
+            elif do == "q":
                 yield self.event(stream, "open", op | {"start": op["end"] - 1}, s, len(stack))
                 stack.append(s)
             elif do == "Q":
                 s = stack.pop() if stack else s
                 yield self.event(stream, "close", op | {"start": op["end"] - 1}, s, len(stack))
             elif do == "cm":
-                s = replace(s, ctm=times(tuple(n[-6:]), s.ctm)) if len(n) >= 6 else s
+                s = s._replace(ctm=times(tuple(n[-6:]), s.ctm)) if len(n) >= 6 else s
                 yield self.event(stream, "matrix", op, s, len(stack))
             elif do == "Tf":
-                s = replace(s, font=op["name"] if op["name"] is not None else s.font, size=n[-1] if n else s.size)
+                s = s._replace(font=op["name"] if op["name"] is not None else s.font, size=n[-1] if n else s.size)
             elif do in SETTERS and n:
                 field, at = SETTERS[do]
-                s = replace(s, **{field: n[at]})
+                s = s._replace(**{field: n[at]})
             elif do == "Tr" and n:
-                s = replace(s, mode=int(n[0]))
+                s = s._replace(mode=int(n[0]))
             elif do in COLOURS:
                 field, kinds = COLOURS[do]
                 # sc and scn take exactly one, three or four numbers, the others at least their own count
                 found = colour(n, kinds) if len(kinds) == 1 or len(n) in kinds else None
-                s = replace(s, **{field: found}) if found else s
+                s = s._replace(**{field: found}) if found else s
             elif do == "gs":
-                s = replace(s, ext=op["name"] if op["name"] is not None else s.ext)
+                s = s._replace(ext=op["name"] if op["name"] is not None else s.ext)
             elif do in SHOW or do in LINE:
                 if do in LINE:
                     moved = None
@@ -140,9 +155,9 @@ class Page:
                         moved = tuple(n[-6:]) if len(n) >= 6 else None
                     elif do in ("Td", "TD"):
                         moved = times((1, 0, 0, 1, n[0], n[1]), matrix) if len(n) >= 2 else None
-                        s = replace(s, leading=-n[1]) if do == "TD" and moved else s
+                        s = s._replace(leading=-n[1]) if do == "TD" and moved else s
                     else:
-                        s = replace(s, word_space=n[0], char_space=n[1]) if do == '"' and len(n) >= 2 else s
+                        s = s._replace(word_space=n[0], char_space=n[1]) if do == '"' and len(n) >= 2 else s
                         moved = times((1, 0, 0, 1, 0, -s.leading), matrix)
                     if moved:
                         self.lines += 1
@@ -168,9 +183,9 @@ class Page:
                 if clips:
                     if rects == steps == 1 and box:
                         was = s.clip or box
-                        s = replace(s, clip=(max(was[0], box[0]), max(was[1], box[1]), min(was[2], box[2]), min(was[3], box[3])))
+                        s = s._replace(clip=(max(was[0], box[0]), max(was[1], box[1]), min(was[2], box[2]), min(was[3], box[3])))
                     else:
-                        s = replace(s, clip_complex=True)
+                        s = s._replace(clip_complex=True)
                     yield self.event(stream, "clip", at, s, len(stack))
                 elif do != "n" and box:
                     yield self.event(stream, "path", at, s, len(stack), **dict(zip(("x0", "y0", "x1", "y1"), box)))
@@ -186,6 +201,18 @@ class Page:
                     yield from self.play(held["target"], f"{stream}>{op['name']}", State(times(inner, s.ctm), s.clip, s.clip_complex), depth + 1)
 
 
+def _corners(n: np.ndarray, ctm: Matrix) -> list[tuple[float, float]]:
+    """Points (pairs of numbers) in the space of the page; of many, two that span the same box."""
+    if len(n) >= MANY:
+        x, y = n[::2], n[1::2]
+        x, y = x * ctm[0] + y * ctm[2] + ctm[4], x * ctm[1] + y * ctm[3] + ctm[5]
+        box = [(float(x.min()), float(y.min())), (float(x.max()), float(y.max()))]
+        if np.isfinite(box).all():
+            return box
+    n = n.tolist()
+    return [times((1, 0, 0, 1, *p), ctm)[4:] for p in zip(n[::2], n[1::2])]
+
+
 def operations(tokens: DataFrame, stream: list[str]) -> DataFrame:
     """``(<stream>, k, op, start, end, name, parts)``: the operators of each stream of ``lexer.lexed`` with their operands; operands that no operator follows are left out."""
     ends = F.col("kind").isin("operator", "image")
@@ -203,24 +230,73 @@ def operations(tokens: DataFrame, stream: list[str]) -> DataFrame:
     return rows.where("op is not null")
 
 
+def _read(data: bytes) -> Iterator[tuple[str, int, int, str | None, list[dict]]]:
+    """``(op, start, end, name, parts)`` of each operation of a stream."""
+    begin, name, parts = None, None, []
+    for kind, start, end, value, number in lexer.tokens(data):
+        begin = start if begin is None else begin
+        if kind in ("operator", "image"):
+            yield "BI" if kind == "image" else value.decode("iso-8859-1"), begin, end, name, parts
+            begin, name, parts = None, None, []
+        elif kind == "name" and name is None:
+            name = value.decode("utf-8", "replace")
+        elif kind in ("string", "hex"):
+            parts.append({"value": value, "number": None})
+        elif number is not None:
+            parts.append({"value": None, "number": number})
+
+
+#: Bytes that make a stream more than words, and for each byte whether it is white space, and whether it can stand in a plain number.
+NOT_WORDS = re.compile(rb"[()<>\[\]{}/%\x00\x0b]")
+WHITE, DIGIT = (np.isin(np.arange(256), list(c)) for c in (b"\t\n\x0c\r ", b"+-.0123456789"))
+
+
+def _read_words(data: bytes) -> Iterator[dict] | None:
+    """Operations of a stream that is of plain numbers and operators alone, as ``Page`` plays them, steps of a path as one of op None, without those that it does not know; else None."""
+    if not data or NOT_WORDS.search(data):
+        return None
+    byte = np.frombuffer(data, np.uint8)
+    white = WHITE[byte]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    is_number = DIGIT[byte[starts]]
+    if not len(starts) or (is_number & np.logical_or.reduceat(~(DIGIT | WHITE)[byte], starts)).any():
+        return None
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(byte[~white])])
+    try:
+        numbers = words.filter(pa.array(is_number)).cast(pa.string()).cast(pa.float64()).to_numpy()
+    except pa.ArrowInvalid:  # only its beginning is a number, or nothing is
+        return None
+    at = np.flatnonzero(~is_number)
+    found = words.take(pa.array(at)).dictionary_encode()
+    names, which = found.dictionary.to_pylist(), found.indices.to_numpy()
+    if b"BI" in names or not names:
+        return None
+    before = np.concatenate([[-1], at[:-1]])
+    n, stops = at - before - 1, np.cumsum(is_number)[at]
+    step = n == np.array([STEPS.get(w, -1) for w in names])[which]
+    # steps in a row are one
+    first = np.flatnonzero(~(step & np.concatenate([[False], step[:-1]])))
+    last = np.append(first[1:], len(at)) - 1
+    met = step[first] | np.array([w in PLAYED for w in names])[which[first]]
+    first, last = first[met], last[met]
+    names = [w.decode("iso-8859-1") for w in names]
+    rows = (step[first], which[first], starts[before[first] + 1], ends[at[last]], stops[first] - n[first], stops[last], last - first + 1)
+    listed = numbers.tolist()
+    return (
+        {"op": None, "start": a, "end": b, "numbers": numbers[i:j], "steps": k} if path else {"op": names[w], "start": a, "end": b, "name": None, "parts": (), "numbers": listed[i:j]}
+        for path, w, a, b, i, j, k in zip(*(r.tolist() for r in rows))
+    )
+
+
 def operated(streams: DataFrame, content: str, *stream: str) -> DataFrame:
     """``operations`` of the tokens of each row's ``content``, a row a stream: put together as they are read, so that tokens are no rows and are neither dealt nor sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                out, begin, name, parts = [], None, None, []
-                for kind, start, end, value, number in lexer.tokens(batch.column(len(stream))[row].as_py() or b""):
-                    begin = start if begin is None else begin
-                    if kind in ("operator", "image"):
-                        out.append((len(out), "BI" if kind == "image" else value.decode("iso-8859-1"), begin, end, name, parts))
-                        begin, name, parts = None, None, []
-                    elif kind == "name" and name is None:
-                        name = value.decode("utf-8", "replace")
-                    elif kind in ("string", "hex"):
-                        parts.append({"value": value, "number": None})
-                    elif number is not None:
-                        parts.append({"value": None, "number": number})
+                out = [(k, *found) for k, found in enumerate(_read(batch.column(len(stream))[row].as_py() or b""))]
                 if out:
                     own = [pa.array([batch.column(k)[row].as_py()] * len(out), batch.schema.field(k).type) for k in range(len(stream))]
                     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("value", pa.binary()), ("number", pa.float64())])))
@@ -275,6 +351,93 @@ def events(operations: DataFrame, objects: DataFrame | None, page: list[str]) ->
     return rows.groupBy(*page).applyInArrow(run, schema)
 
 
+def replayed(streams: DataFrame, content: str, objects: DataFrame | None, page: list[str], kinds: Iterable[str] = (), fields: Iterable[str] = ()) -> DataFrame:
+    """``events`` of streams ``(<page>, stream, <content>)``, binary, a row a stream: only streams are dealt, as operations are read where their page is played.
+
+    kinds, fields: which events, and which of their columns, are made; none: all.
+    """
+    rows = streams.select(*page, F.struct("stream", streams[content].cast("binary").alias("content")).alias("_s"))
+    if objects is not None:
+        rows = rows.unionByName(objects.select(*page, F.struct("stream", "name", "kind", "target", "matrix").alias("_o")), allowMissingColumns=True)
+    held = F.collect_list("_o") if objects is not None else F.lit(None)
+    return pages_replayed(rows.groupBy(*page).agg(F.collect_list("_s").alias("streams"), held.alias("objects")), page, kinds, fields)
+
+
+def pages_replayed(rows: DataFrame, page: list[str], kinds: Iterable[str] = (), fields: Iterable[str] = ()) -> DataFrame:
+    """``replayed`` of pages that hold their own streams (structs stream, content) and objects (structs stream, name, kind, target, matrix; null: none), a row a page."""
+    rows = rows.select(*page, "streams", "objects")
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for *key, streams, objects in zip(*batch.columns):
+                own: dict[str, bytes] = {}
+                for s in streams.as_py() or ():
+                    own[s["stream"]] = own.get(s["stream"], b"") + (s["content"] or b"")
+                yield [k.as_py() for k in key], own, objects.as_py() or ()
+
+    return _replayed(rows, page, pages, kinds, fields)
+
+
+def pieces_replayed(rows: DataFrame, page: list[str], kinds: Iterable[str] = (), fields: Iterable[str] = ()) -> DataFrame:
+    """``replayed`` of pages without objects whose stream ``page`` comes in pieces: rows ``(<page>, content)``, of which each page's stand together in one task, in order. They are neither dealt nor sorted here."""
+    rows = rows.select(*page, F.col("content").cast("binary").alias("content"))
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        own, held = None, []
+        for batch in batches:
+            *keys, content = (c.to_pylist() for c in batch.columns)
+            for key, piece in zip(zip(*keys), content):
+                if key != own:
+                    if held:
+                        yield own, {ROOT: b"".join(held)}, ()
+                    own, held = key, []
+                held.append(piece or b"")
+        if held:
+            yield own, {ROOT: b"".join(held)}, ()
+
+    return _replayed(rows, page, pages, kinds, fields)
+
+
+def _replayed(rows: DataFrame, page: list[str], pages: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], kinds: Iterable[str], fields: Iterable[str]) -> DataFrame:
+    """Events of the ``(key, streams, objects)`` that ``pages`` makes of a task's batches."""
+    schema = StructType([rows.schema[c] for c in page] + [f for f in StructType.fromDDL(EVENT) if not fields or f.name in fields])
+    arrow, kinds = to_arrow_schema(schema), frozenset(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, out = [], []
+
+        def whole() -> pa.RecordBatch:
+            columns = [*(list(zip(*keys))), *([e.get(f.name) for e in out] for f in list(arrow)[len(page) :])]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for key, streams, objects in pages(batches):
+            held = {(o["stream"], o["name"]): o for o in objects}
+            found = [e for e in Page(_Streams(streams), held, kinds).play(ROOT, ROOT, State(IDENTITY)) if e]
+            keys += [key] * len(found)
+            out += found
+            if len(out) >= MOST_EVENTS:
+                yield whole()
+                keys, out = [], []
+        if out:
+            yield whole()
+
+    return rows.mapInArrow(run, schema)
+
+
+class _Streams:
+    """A page's streams by name, read when they are asked for."""
+
+    def __init__(self, content: dict[str, bytes]):
+        self.content = content
+
+    def get(self, name: str, none: tuple = ()) -> Iterable[dict]:
+        data = self.content.get(name)
+        if data is None:
+            return none
+        names = ("op", "start", "end", "name", "parts")
+        return _read_words(data) or (dict(zip(names, found)) for found in _read(data))
+
+
 def _codes(value: bytes, two_byte: bool) -> np.ndarray:
     """The codes of a string: each byte, or each whole pair of bytes."""
     return np.frombuffer(value, ">u2", len(value) // 2) if two_byte else np.frombuffer(value, np.uint8)

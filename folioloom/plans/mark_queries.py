@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import marks, replay
+from ..sources.placed import parts_of
 from ..sources.tables import table
 
 KINDS = ("line", "arrow", "rect", "ellipse", "cloud", "dot", "fill")
@@ -13,8 +14,10 @@ SHEET, ORDER = ["sheet"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(sheet, stream, content)``: the line items of twenty orders, each a mark behind a matrix, moved by (5.5, -2.25) of the page, with a stroke after it that must not move."""
-    rows = table(spark, sf_dir, "lineitem")
+    """``(sheet, content)``: the line items of twenty orders, in order, each a mark behind a matrix, moved by (5.5, -2.25) of the page, with a stroke after it that must not move."""
+    items = table(spark, sf_dir, "lineitem")
+    # dealt by sheet while a mark is a line item alone: its content is a hundred times longer
+    rows = items.withColumn("sheet", F.floor(F.col("l_orderkey") / 20)).repartition(parts_of(items), "sheet").sortWithinPartitions("sheet", *ORDER)
     kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("l_partkey") % 7).cast("int"))
     x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 10).cast("double")
     width = (F.col("l_linenumber") / 2).cast("double")
@@ -30,15 +33,12 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctm = F.when(scaled, F.array(*map(F.lit, (2.0, 0.0, 0.0, 0.5, 3.0, 4.0)))).otherwise(F.array(*map(F.lit, (0.0, 1.0, -1.0, 0.0, 100.0, 0.0))))
     after = F.lit("0 0 m 1 1 l S Q\n")
     content = F.concat(F.when(scaled, "q 2 0 0 .5 3 4 cm ").otherwise("q 0 1 -1 0 100 0 cm "), marks.moved(F.col("own"), ctm, F.lit(5.5), F.lit(-2.25)), after)
-    rows = rows.select(F.floor(F.col("l_orderkey") / 20).alias("sheet"), F.struct(*ORDER, content.alias("content")).alias("c"))
-    return rows.groupBy("sheet").agg(F.array_join(F.array_sort(F.collect_list("c"))["content"], "").alias("content")).withColumn("stream", F.lit("page"))
+    return rows.select("sheet", content.alias("content"))
 
 
 def mark_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every line item's mark, and the stroke behind it, lie on the page."""
-    found = _marks(spark, sf_dir)
-    ops = replay.operated(found, "content", "sheet", "stream")
-    rows = replay.events(ops, None, SHEET).where("kind = 'path'")
+    rows = replay.pieces_replayed(_marks(spark, sf_dir), SHEET, ["path"], ["seq", "op", "width", "stroke", "fill", "x0", "y0", "x1", "y1"])
     boxes = [F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")]
     return rows.select(*SHEET, "seq", "op", "width", F.get("stroke", 1).alias("stroke_green"), F.get("fill", 1).alias("fill_green"), *boxes)
 
