@@ -3,7 +3,7 @@
 A page's streams are read into operations where they stand, and one pass over these follows the graphics state: a stack, a matrix, colours,
 a clip, and streams within streams. Points of a path that follow each other are moved at once. All else is columns. Text moves only its own matrix, which starts anew with each line, so the
 pass needs no widths: a run's place is its line's matrix and the running sum of what was shown since. Characters and widths come
-from a table of glyphs; each page asks once for each code it shows, salted, so a font that all pages use is no hot key.
+from a table of glyphs, behind which a font's texts pass; both are dealt with a salt, so a font that all pages use is no hot key.
 A page's operations stand in one task, as a page is what has a state; documents and corpora do not.
 """
 
@@ -15,14 +15,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from ..sources.tables import staged
 from . import lexer
 
 Matrix = tuple[float, float, float, float, float, float]
@@ -317,7 +316,7 @@ def _records(table: pa.Table) -> Iterator[dict]:
     flat = parts.flatten()
     made = [{"value": v, "number": x} for v, x in zip(flat.field("value").to_pylist(), flat.field("number").to_pylist())]
     at = 0
-    for n, *row in zip(pa.compute.list_value_length(parts).fill_null(0).to_pylist(), *(table[c].to_pylist() for c in names)):
+    for n, *row in zip(pc.list_value_length(parts).fill_null(0).to_pylist(), *(table[c].to_pylist() for c in names)):
         yield dict(zip(names, row), parts=made[at : at + n])
         at += n
 
@@ -443,23 +442,58 @@ def _codes(value: bytes, two_byte: bool) -> np.ndarray:
     return np.frombuffer(value, ">u2", len(value) // 2) if two_byte else np.frombuffer(value, np.uint8)
 
 
-def _codes_used(rows: DataFrame, page: list[str]) -> DataFrame:
-    """``(<page>, font, code)``: the codes that rows of ``(<page>, font, two_byte, parts)`` show, each row's own ones once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, codes = [], []
-            for k, (wide, parts) in enumerate(zip(batch["two_byte"].to_pylist(), batch["parts"].to_pylist())):
-                own = [_codes(p["value"], wide) for p in parts if p["value"]]
-                found = np.unique(np.concatenate(own)) if own else np.empty(0, np.int64)
-                at.append(np.full(len(found), k, np.int64))
-                codes.append(found.astype(np.int64))
-            if at:
-                keys = batch.select([*page, "font"]).take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.concatenate(codes), pa.int64())], names=[*page, "font", "code"])
-
-    schema = StructType([rows.schema[c] for c in (*page, "font")]).add("code", LongType())
-    return rows.select(*page, "font", "two_byte", "parts").mapInArrow(run, schema).distinct()
+class _Face:
+    """A font with its glyphs, as a task holds it while the font's texts pass: widths and texts of its codes."""
+
+    def __init__(self, two_byte: bool, missing_width: float | None):
+        n = 1 << 16 if two_byte else 1 << 8
+        self.two_byte, self.widths, self.glyphs = two_byte, np.full(n, np.nan if missing_width is None else missing_width), np.full(n, "", object)
+        self.texts = None
+
+    def add(self, codes: np.ndarray, glyphs: pa.Array, widths: pa.Array) -> None:
+        mine = (codes >= 0) & (codes < len(self.widths))
+        codes, wide = codes[mine], widths.fill_null(float("nan")).to_numpy(zero_copy_only=False)[mine]
+        self.glyphs[codes] = glyphs.fill_null("").to_numpy(zero_copy_only=False)[mine]
+        known = widths.is_valid().to_numpy(zero_copy_only=False)[mine]
+        self.widths[codes[known]], self.texts = wide[known], None
+
+    def measured(self, rows: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+        """Text of each row's parts and how far they move, in the space of its text matrix; all codes of all rows at once."""
+        if self.texts is None:
+            self.texts = pa.array(self.glyphs, pa.string())
+        parts = rows["parts"]
+        n_parts = np.asarray(pc.list_value_length(parts).fill_null(0).to_numpy(zero_copy_only=False), "i8")
+        row, flat = np.repeat(np.arange(rows.num_rows), n_parts), parts.flatten()
+        values, numbers = pc.struct_field(flat, "value"), pc.struct_field(flat, "number")
+        is_number = numbers.is_valid().to_numpy(zero_copy_only=False)
+        width = 2 if self.two_byte else 1
+        values = pc.if_else(pa.array(is_number), b"", values.fill_null(b""))
+        long = np.asarray(pc.binary_length(values).to_numpy(zero_copy_only=False), "i8") // width
+        data = b"".join(v[: k * width] for v, k in zip(values.to_pylist(), long.tolist()))
+        codes = np.frombuffer(data, ">u2" if self.two_byte else np.uint8).astype(np.int32)
+        part = np.repeat(np.arange(len(flat)), long)
+        size, scale, char_space, word_space = (rows[c].to_numpy(zero_copy_only=False)[row] for c in ("size", "scale", "char_space", "word_space"))
+        wide = np.bincount(part, self.widths[codes], len(flat)) / 1000 * size + long * char_space
+        if not self.two_byte:
+            wide += np.bincount(part, codes == 32, len(flat)) * word_space
+        back = -numbers.fill_null(0.0).to_numpy(zero_copy_only=False) / 1000 * scale
+        by = np.bincount(row, np.where(is_number, back * size, wide * scale), rows.num_rows)
+        said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]), pa.int32()), self.texts.take(pa.array(codes))), "")
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_parts)]), pa.int32()), said), "")
+        # a wide gap reads as a space behind what does not end in one; what shows nothing ends no text
+        gapped = np.unique(row[is_number & (back > WORD_GAP)])
+        if len(gapped):
+            start, texts = np.cumsum(n_parts) - n_parts, []
+            for k in gapped.tolist():
+                own = slice(start[k], start[k] + n_parts[k])
+                text = ""
+                for piece, gap in zip(said[own].to_pylist(), (is_number & (back > WORD_GAP))[own].tolist()):
+                    text += " " if gap and text and not text.endswith(" ") else piece
+                texts.append(text)
+            marked = np.zeros(rows.num_rows, bool)
+            marked[gapped] = True
+            whole = pc.replace_with_mask(whole, pa.array(marked), pa.array(texts, pa.string()))
+        return whole, pa.array(by)
 
 
 def _set(row: dict, shapes: dict[int, tuple[str, float | None]]) -> tuple[str, float]:
@@ -483,33 +517,50 @@ def _set(row: dict, shapes: dict[int, tuple[str, float | None]]) -> tuple[str, f
     return "".join(text), by
 
 
-def runs(events: DataFrame, fonts: DataFrame, glyphs: DataFrame, page: list[str]) -> DataFrame:
+def _measured(rows: DataFrame, page: list[str], state: list[str]) -> DataFrame:
+    """Texts among ``rows`` (kind 2), behind their font's face (kind 0) and glyphs (kind 1), with text and by."""
+    out = [*page, *state, "ascent", "descent", "confident"]
+    schema = StructType([rows.schema[c] for c in out]).add("text", StringType()).add("by", DoubleType())
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, face, own = None, None, ()
+        for batch in batches:
+            keys = list(zip(batch["font"].to_pylist(), batch["salt"].to_pylist(), batch["kind"].to_pylist()))
+            starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            for start, stop in zip(starts, [*starts[1:], len(keys)]):
+                part, (font, salt, kind) = batch.slice(start, stop - start), keys[start]
+                if (font, salt) != place:
+                    place, face = (font, salt), None
+                if kind == 0:
+                    own = [part[c].slice(0, 1) for c in ("ascent", "descent", "confident")]
+                    face = _Face(part["two_byte"][0].as_py(), part["missing_width"][0].as_py())
+                elif face and kind == 1:
+                    face.add(part["code"].to_numpy(zero_copy_only=False), part["glyph"], part["width"])
+                elif face:
+                    same = [c.take(pa.array(np.zeros(part.num_rows, np.int64))) for c in own]
+                    yield pa.RecordBatch.from_arrays([*part.select([*page, *state]).columns, *same, *face.measured(part)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def runs(events: DataFrame, fonts: DataFrame, glyphs: DataFrame, page: list[str], salts: int = SALTS) -> DataFrame:
     """Placed runs, as ``layout.grouped_runs`` takes them, of the texts among ``events``, with op, start, end, x and y beside.
 
     ``fonts``: ``(font, two_byte, missing_width, ascent, descent, confident)``, a row each; ``glyphs``: ``(font, code, glyph, width)``, a row a code, widths in thousandths of the size.
     Texts of a font that is not there are left out and move nothing, as they cannot be measured. Codes without a glyph are no text; without a width, they have the font's missing width.
-    Rows with a null in ``page`` are left out. Shown texts are written once, as they are read three times.
+    Rows with a null in ``page`` are left out. Texts are dealt by font and one of ``salts`` parts, where they pass behind the font's glyphs, and then once by page.
     """
-    rows = staged(events.where("kind = 'text'"), "shown")
-    face = F.struct("two_byte", "missing_width", "ascent", "descent", "confident")
-    salt, salts = F.pmod(F.xxhash64(*page), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    faces = rows.select(*page, "font").distinct().select("*", salt).join(fonts.select("font", face.alias("face"), salts), ["font", "salt"])
-    faces = faces.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("font", "face"))).alias("faces"))
-    rows = rows.join(faces, page).withColumn("face", F.try_element_at("faces", "font")).where("face is not null")
-    state = ["seq", "stream", "op", "start", "end", "font", "size", "char_space", "word_space", "scale", "rise", "mode", "fill", "ctm", "line_matrix", "line_id"]
-    rows = rows.select(*page, *state, "face.*", "parts")
-    shapes = _codes_used(rows, page).select("*", salt).join(glyphs.select("font", F.col("code").cast("long").alias("code"), "glyph", F.col("width").cast("double").alias("width"), salts), ["font", "code", "salt"])
-    schema = StructType(rows.schema.fields[:-1]).add("text", StringType()).add("by", DoubleType())
-
-    def measured(shown: pa.Table, known: pa.Table) -> pa.Table:
-        of: dict[str, dict] = {}
-        for g in known.to_pylist():
-            of.setdefault(g["font"], {})[g["code"]] = (g["glyph"] or "", g["width"])
-        found = [_set(row, of.get(row["font"], {})) for row in shown.select(["font", "size", "scale", "char_space", "word_space", "two_byte", "missing_width", "parts"]).to_pylist()]
-        out = shown.drop_columns(["parts"])
-        return out.append_column("text", pa.array([t for t, _ in found], pa.string())).append_column("by", pa.array([b for _, b in found], pa.float64()))
-
-    rows = rows.groupBy(*page).cogroup(shapes.select(*page, "font", "code", "glyph", "width").groupBy(*page)).applyInArrow(measured, schema)
+    state = ["seq", "stream", "op", "start", "end", "font", "size", "scale", "rise", "mode", "fill", "ctm", "line_matrix", "line_id"]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+    texts = events.where("kind = 'text'").where(" and ".join(f"`{c}` is not null" for c in page))
+    texts = texts.select(*page, *state, "char_space", "word_space", "parts", F.pmod(F.xxhash64(*page), F.lit(salts)).alias("salt"), F.lit(2).alias("kind"))
+    face = fonts.where("font is not null").select("font", "two_byte", *(F.col(c).cast("double").alias(c) for c in ("missing_width", "ascent", "descent")), "confident", every, F.lit(0).alias("kind"))
+    known = glyphs.where("font is not null and code is not null").select("font", F.col("code").cast("long").alias("code"), "glyph", F.col("width").cast("double").alias("width"), every, F.lit(1).alias("kind"))
+    rows = texts.unionByName(known, allowMissingColumns=True).unionByName(face, allowMissingColumns=True)
+    rows = _measured(rows.repartition("font", "salt").sortWithinPartitions("font", "salt", "kind"), page, state)
+    # lines' running sums and whatever groups a page's runs need no other shuffle
+    rows = rows.repartition(*page)
     size, scale = F.col("size"), F.col("scale")
     before = W.partitionBy(*page, "line_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_shift", F.coalesce(F.sum("by").over(before), F.lit(0.0)))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, replay
+from ..sources.placed import parts_of
 from ..sources.tables import table
 
 PAGE, PAGE_LINES = ["doc_id", "page"], 40
 
 
-def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, page, stream, content)``: a stream for each 40 lines, each line shown in one of six ways, and a form that each page draws."""
-    lines = compare.doc_lines(table(spark, sf_dir, "documents")).where("text is not null")
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, page, streams, objects)``: a stream for each 40 lines, each line shown in one of six ways, a form that each page draws, and a picture."""
+    documents = table(spark, sf_dir, "documents")
+    lines = compare.doc_lines(documents).where("text is not null")
     escaped = lambda c: F.concat(F.lit("("), F.regexp_replace(c, r"([\\()])", r"\\$1"), F.lit(")"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -30,42 +33,46 @@ def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, way in enumerate(ways[1:], 1):
         shown = F.when(kind == k, way).otherwise(shown)
     rows = lines.select("doc_id", F.floor(F.col("line_no") / PAGE_LINES).alias("page"), "line_no", shown.alias("shown"))
-    rows = rows.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "shown"))), lambda r: r["shown"]), "\n").alias("body"), F.count("*").alias("n"))
+    rows = rows.repartition(parts_of(documents), *PAGE).groupBy(*PAGE).agg(F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "shown")))["shown"], "\n").alias("body"), F.count("*").alias("n"))
     head = F.concat(F.lit("q .5 0 0 .5 10 20 cm BT /A 12 Tf 14 TL "), F.when(F.col("doc_id") % 3 == 0, "80 Tz ").otherwise(""), F.lit("1 0 0 1 72 700 Tm\n"))
     tail = F.concat(F.lit("\nET Q q 0 0 300 400 re W n 2 0 0 2 5 5 cm /Fm Do Q 0.25 0.5 0 0.5 k 10 "), F.col("n").cast("string"), F.lit(" 20 30 re f q 40 0 0 50 7 8 cm /Im Do Q"))
     form = F.lit("BT /A 10 Tf 5 7 Td (form) Tj ET 1 w 0 0 m 30 20 l 10 -4 5 6 7 8 c S")
-    streams = F.explode(F.array(F.struct(F.lit("page").alias("stream"), F.concat(head, "body", tail).alias("content")), F.struct(F.lit("form").alias("stream"), form.alias("content")))).alias("s")
-    return rows.select(*PAGE, streams).select(*PAGE, "s.stream", F.encode("s.content", "UTF-8").alias("content"))
+    streams = F.array(*(F.struct(F.lit(n).alias("stream"), F.encode(c, "UTF-8").alias("content")) for n, c in (("page", F.concat(head, "body", tail)), ("form", form))))
+    drawn = F.struct(F.lit("page").alias("stream"), F.lit("Fm").alias("name"), F.lit("form").alias("kind"), F.lit("form").alias("target"), F.array(*(F.lit(float(x)) for x in (1, 0, 0, 1, 1, 2))).alias("matrix"))
+    image = F.struct(F.lit("page").alias("stream"), F.lit("Im").alias("name"), F.lit("image").alias("kind"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("array<double>").alias("matrix"))
+    return rows.select(*PAGE, streams.alias("streams"), F.array(drawn, image).alias("objects"))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = _content(spark, sf_dir)
-    found = replay.operated(content, "content", *PAGE, "stream")
-    form = F.struct(F.lit("Fm").alias("name"), F.lit("form").alias("kind"), F.lit("form").alias("target"), F.array(*(F.lit(float(x)) for x in (1, 0, 0, 1, 1, 2))).alias("matrix"))
-    image = F.struct(F.lit("Im").alias("name"), F.lit("image").alias("kind"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("array<double>").alias("matrix"))
-    objects = content.where("stream = 'page'").select(*PAGE, "stream", F.explode(F.array(form, image)).alias("o")).select(*PAGE, "stream", "o.*")
-    return replay.events(found, objects, PAGE)
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    salts = replay.SALTS * table(spark, sf_dir, "documents").rdd.getNumPartitions()
+    return replay.runs(replay.pages_replayed(_pages(spark, sf_dir), PAGE, ["text"]), *_fonts(spark, sf_dir), PAGE, salts)
+
+
+def _characters(texts: pa.Array) -> pa.Array:
+    """Each text's characters, once."""
+    return pa.array([None if t is None else sorted(set(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
 def _fonts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A font of one byte that knows ASCII, and one of two bytes that knows every character of all documents but those beyond two bytes."""
     fonts = spark.createDataFrame([("A", False, 250.0, 750.0, -250.0, True), ("B", True, 300.0, 800.0, -200.0, False)], "font string, two_byte boolean, missing_width double, ascent double, descent double, confident boolean")
     one = spark.range(32, 127).select(F.lit("A").alias("font"), F.col("id").alias("code"), F.char("id").alias("glyph"), (500.0 + F.col("id") % 5 * 40).alias("width"))
-    glyph = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("glyph")).distinct()
+    glyph = table(spark, sf_dir, "documents").select(F.explode(F.arrow_udf(_characters, "array<string>")("text")).alias("glyph")).distinct()
     two = glyph.where("length(encode(glyph, 'UTF-16BE')) = 2").withColumn("code", F.conv(F.hex(F.encode("glyph", "UTF-16BE")), 16, 10).cast("long"))
     return fonts, one.unionByName(two.select(F.lit("B").alias("font"), "code", "glyph", (1000.0 - F.col("code") % 3 * 100).alias("width")))
 
 
 def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text that every page shows, with its place, size, colour and width."""
-    found = replay.runs(_events(spark, sf_dir), *_fonts(spark, sf_dir), PAGE)
+    found = _runs(spark, sf_dir)
     places = [F.round(c, 4).alias(c) for c in ("size", "x", "y", "u", "v", "advance")]
     return found.select(*PAGE, "seq", "stream", "op", "text", "font", "mode", F.array_join(F.transform("fill", lambda c: c.cast("string")), " ").alias("fill"), *places)
 
 
 def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every path and picture of every page, with its box, colour, clip and depth."""
-    found = _events(spark, sf_dir).where("kind in ('path', 'image')")
+    fields = ["seq", "stream", "kind", "op", "depth", "fill", "clip", "clip_complex", "x0", "y0", "x1", "y1"]
+    found = replay.pages_replayed(_pages(spark, sf_dir), PAGE, ["path", "image"], fields)
     shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
     return found.select(*PAGE, "seq", "stream", "kind", "op", "depth", shown("fill"), shown("clip"), "clip_complex", "x0", "y0", "x1", "y1")
 
@@ -74,7 +81,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every page, grouped from the runs that its stream shows, with how many runs they hold."""
     from ..operators import layout
 
-    found = replay.runs(_events(spark, sf_dir), *_fonts(spark, sf_dir), PAGE)
+    found = _runs(spark, sf_dir)
     lines = layout.lines(layout.grouped_runs(found, PAGE), PAGE)
     return lines.select(*PAGE, "line", "seq", "stream", "text", "font", "editable", "n_runs")
 
