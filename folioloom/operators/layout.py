@@ -4,6 +4,7 @@ A run is a row ``(<page columns>, seq, stream, text, font, size, fill, mode, dir
 confident)``: u along its writing direction, v across it, seq its place in the page's order, mode its rendering mode (3 and 7
 draw nothing), ascent and descent in thousandths of its size. All work is window functions over a page's runs, which are the
 largest group; a break compares a run with the one before it, since a page's first blank runs are all that a line ever leaves out.
+``whole_lines`` does the same for all runs of a batch at once where only lines are asked for, so runs are no rows behind it.
 Lengths and offsets are code points. Runs with a null text, place or size are not drawn. Other columns are ignored.
 """
 
@@ -13,14 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
+
+from .pages_in_order import codes, whole_pages
 
 #: White space; steps of a baseline (points, shares of the size), gaps back and forth, and the gap that reads as a space (shares of the size).
 BLANKS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+BLANK_LETTERS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 BASELINE_STEP, BASELINE_SHARE, BACK, FORTH, WORD_GAP = 1.2, 0.28, 1.5, 2.2, 0.22
 DIRECTION_STEP, SIZE_STEP = 0.01, 0.01
 #: How far two passes over one text may lie apart (points), and differ in size.
@@ -140,6 +145,102 @@ def lines_with_parts(grouped: DataFrame, page: list[str]) -> DataFrame:
     return _placed(rows.withColumn("text", F.array_join(F.col("parts")["text"], "")), page, "parts")
 
 
+def _texts(pieces: pa.Array, first: np.ndarray) -> pa.Array:
+    """Pieces joined from each place of ``first`` to the next."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(pieces)), pa.int32()), pieces), "")
+
+
+def _line_maker(page: list[str], arrow: pa.Schema):
+    """Drawn runs of whole pages, in order, to their lines; the same breaks as in ``grouped_runs``."""
+    n_keys, parts = len(page), "parts" in arrow.names
+
+    def lines_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+        text = rows["text"]
+        left, right = (trim(text, characters=BLANK_LETTERS) for trim in (pc.utf8_ltrim, pc.utf8_rtrim))
+        shows = pc.not_equal(left, "").to_numpy(zero_copy_only=False)
+        begins, ends = (pc.not_equal(t, text).to_numpy(zero_copy_only=False) for t in (left, right))
+        new_page = np.any([np.diff(codes(c), prepend=-2) != 0 for c in rows.columns[:n_keys]], axis=0)
+        seq = rows["seq"].to_numpy()
+        if np.any((np.diff(seq) <= 0) & ~new_page[1:]):
+            raise ValueError("runs of a page are not in order")
+        start = np.flatnonzero(new_page)[np.cumsum(new_page) - 1]
+        seen = np.cumsum(shows)
+        keep = seen - (seen - shows)[start] > 0
+        if not keep.all():  # blank runs at a page's beginning
+            new_page = np.diff(np.cumsum(new_page)[keep], prepend=0) != 0
+            rows, text, shows, begins, ends = rows.filter(pa.array(keep)), text.filter(pa.array(keep)), shows[keep], begins[keep], ends[keep]
+        n = rows.num_rows
+        if not n:
+            return pa.RecordBatch.from_pylist([], schema=arrow)
+        real = lambda c: np.asarray(rows[c].cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False), "f8")
+        u, v, size, advance, dir_x, dir_y = map(real, ("u", "v", "size", "advance", "dir_x", "dir_y"))
+        same = lambda c: np.diff(codes(rows[c]), prepend=-2) == 0
+        step = lambda x: np.abs(np.diff(x, prepend=np.nan))
+        was = lambda x: np.concatenate([[np.nan], x[:-1]])
+        with np.errstate(invalid="ignore"):
+            apart, p_size = u - was(u + advance), was(size)
+            goes_on = ~new_page & same("stream") & (step(dir_x) < DIRECTION_STEP) & (step(dir_y) < DIRECTION_STEP)
+            goes_on &= (step(v) <= np.maximum(BASELINE_STEP, p_size * BASELINE_SHARE)) & (apart > -p_size * BACK) & (apart < p_size * FORTH)
+            new_segment = ~(goes_on & same("font") & (step(size) < SIZE_STEP) & same("_fill"))
+            spaced = goes_on & (apart > size * WORD_GAP) & ~np.concatenate([[False], ends[:-1]]) & ~begins
+        line = np.flatnonzero(~goes_on)
+        of = np.cumsum(~goes_on) - 1
+        after = np.append(line[1:], n)
+        number = np.arange(len(line)) - np.searchsorted(line, np.flatnonzero(new_page))[np.cumsum(new_page)[line] - 1] + 1
+        # a space that no run drew belongs to the segment before it
+        behind = np.append(spaced[1:] & new_segment[1:], False)
+        space = pa.array(["", " "])
+        pieces = pc.binary_join_element_wise(space.take(pa.array((spaced & ~new_segment).astype("i1"))), text, space.take(pa.array(behind.astype("i1"))), "")
+        told = np.logical_or.reduceat(shows, line)
+        end = u + advance
+        first = pa.array(line)
+        columns = {"line": pa.array(number), "text": _texts(pieces, line), "u_min": pa.array(np.minimum.reduceat(np.minimum(u, end), line)), "u_max": pa.array(np.maximum.reduceat(np.maximum(u, end), line))}
+        columns |= {c: rows[c].take(first) for c in (*page, "seq", "stream", "font", "fill", "dir_x", "dir_y", "v", "ascent", "descent")}
+        columns |= {"size": pa.array(np.bincount(of, size) / (after - line)), "uniform": pa.array(np.add.reduceat(new_segment.astype("i8"), line) == 1), "n_runs": pa.array(after - line)}
+        columns["editable"] = pa.array(np.logical_and.reduceat(rows["confident"].fill_null(False).to_numpy(zero_copy_only=False), line))
+        if parts:
+            own = np.flatnonzero(new_segment)
+            begin = np.searchsorted(own, line)
+            long = np.cumsum(spaced + pc.utf8_length(text).to_numpy(zero_copy_only=False).astype("i8"))
+            # a line's text begins with its first run, which has no space before it
+            origin = np.concatenate([[0], long[line[1:] - 1]])
+            at = long[own] - pc.utf8_length(text).to_numpy(zero_copy_only=False).astype("i8")[own] - origin[of[own]]
+            texts = _texts(pieces, own)
+            stop = at + pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+            last = np.append(own[1:], n) - 1
+            found = (np.arange(len(own)) - begin[of[own]] + 1, at, stop, u[own], end[last])
+            whole = pa.StructArray.from_arrays([*map(pa.array, found), texts], names=["segment", "start", "end", "u0", "u1", "text"])
+            columns["parts"] = pa.ListArray.from_arrays(pa.array(np.append(begin, len(own)), pa.int32()), whole)
+        out = pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+        return out if told.all() else out.filter(pa.array(told))
+
+    return lines_of
+
+
+def whole_lines(runs: DataFrame, page: list[str], parts: bool = False, in_order: bool = False) -> DataFrame:
+    """``lines`` of ``grouped_runs``, or ``lines_with_parts``, from one pass over the runs of each page, all of a batch at once; a page's runs stand in one task.
+
+    in_order: each page's runs already stand together in one task, in order of seq (which is looked after), so they are neither dealt nor sorted.
+    """
+    rows = drawn(runs)
+    fill = F.transform("fill", lambda c: c + 0).cast("string") if isinstance(runs.schema["fill"].dataType, ArrayType) else F.col("fill")
+    used = ["seq", "stream", "text", "font", "size", "fill", "dir_x", "dir_y", "u", "v", "advance", "ascent", "descent", "confident"]
+    rows = rows.select(*page, *used, fill.alias("_fill"))
+    if not in_order:
+        # the window deals and sorts; rows that are dealt by page are not shuffled again
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(*page).orderBy("seq")))
+    schema = StructType([rows.schema[c] for c in page])
+    for field in StructType.fromDDL("line long, seq long, text string, u_min double, u_max double, size double, uniform boolean, editable boolean, n_runs long"):
+        schema = schema.add(field)
+    for c in ("stream", "font", "fill", "dir_x", "dir_y", "v", "ascent", "descent"):
+        schema = schema.add(rows.schema[c])
+    if parts:
+        schema = schema.add(StructType.fromDDL("parts array<struct<segment: bigint, start: bigint, end: bigint, u0: double, u1: double, text: string>>")[0])
+    found = rows.mapInArrow(whole_pages(len(page), _line_maker(page, to_arrow_schema(schema))), schema)
+    first = F.struct("stream", "font", "fill", "dir_x", "dir_y", "v", "ascent", "descent")
+    return _placed(found.withColumn("f", first), page, *(["parts"] if parts else []))
+
+
 def _piece() -> Column:
     return F.concat(F.when(F.col("new_segment"), "").otherwise(F.col("lead")), F.col("text"), F.when(F.col("next_new"), F.col("next_lead")).otherwise(""))
 
@@ -161,48 +262,49 @@ def segments(grouped: DataFrame, page: list[str]) -> DataFrame:
     return rows.withColumns({"end": F.col("start") + F.length("text"), "space_width": median}).drop("gaps")
 
 
-def _first_pass(n_keys: int, key: int, text: int):
-    """Lines in order of (page, stream, text, line) to the same with the line that they repeat; a group's kept lines stand in cells as wide as the tolerance."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, cells = None, {}
-        for batch in batches:
-            cols, out = [c.to_pylist() for c in batch.columns], []
-            names = batch.schema.names
-            at = {c: cols[names.index(c)] for c in ("line", "start_x", "start_y", "x1", "size")}
-            for k in range(batch.num_rows):
-                own = tuple(c[k] for c in cols[:n_keys]) + (cols[key][k], cols[text][k])
-                if own != group:
-                    group, cells = own, {}
-                line, x, y, right, size = (at[c][k] for c in at)
-                cx, cy = int(x // PASS_STEP), int(y // PASS_STEP)
-                near = [
-                    c
-                    for i in (-1, 0, 1)
-                    for j in (-1, 0, 1)
-                    for c in cells.get((cx + i, cy + j), ())
-                    if abs(c[1] - x) < PASS_STEP and abs(c[2] - y) < PASS_STEP and abs(c[3] - right) < PASS_STEP and abs(c[4] - size) < PASS_SIZE
-                ]
-                if near:
-                    out.append(min(near)[0])
-                else:
-                    out.append(None)
-                    cells.setdefault((cx, cy), []).append((line, x, y, right, size))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*names, "pass_of"])
-
-    return run
-
-
-def passes(found: DataFrame, page: list[str]) -> DataFrame:
+def _pass_finder(n_keys: int):
+    """Lines of whole pages, in order within each text, with the line that they repeat; a text's kept lines stand in cells as wide as the tolerance."""
+
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch:
+        keys = np.stack([codes(c) for c in [*rows.columns[:n_keys], rows["stream"], rows["text"]]])
+        _, of, times = np.unique(np.ascontiguousarray(keys.T).view([("", keys.dtype)] * len(keys)).ravel(), return_inverse=True, return_counts=True)
+        # a text that its page holds once repeats nothing
+        at = np.flatnonzero(times[of] > 1)
+        out, cells = np.full(rows.num_rows, -1, np.int64), {}
+        several = rows.select(["line", "start_x", "start_y", "x1", "size"]).take(pa.array(at))
+        for k, own, line, x, y, right, size in zip(at.tolist(), of[at].tolist(), *(c.to_pylist() for c in several.columns)):
+            if None in (x, y, right, size):  # a line without a place repeats nothing
+                continue
+            cx, cy = int(x // PASS_STEP), int(y // PASS_STEP)
+            near = [
+                c
+                for i in (-1, 0, 1)
+                for j in (-1, 0, 1)
+                for c in cells.get((own, cx + i, cy + j), ())
+                if abs(c[1] - x) < PASS_STEP and abs(c[2] - y) < PASS_STEP and abs(c[3] - right) < PASS_STEP and abs(c[4] - size) < PASS_SIZE
+            ]
+            if near:
+                out[k] = min(near)[0]
+            else:
+                cells.setdefault((own, cx, cy), []).append((line, x, y, right, size))
+        repeats = np.zeros(rows.num_rows, bool)
+        repeats[at] = True
+        none = ~repeats | (out == -1)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, mask=none)], names=[*rows.schema.names, "pass_of"])
+
+    return found
+
+
+def passes(found: DataFrame, page: list[str], in_order: bool = False) -> DataFrame:
     """``lines`` with pass_of: the first kept line of the same stream and text that starts and ends within 0.6 points of it and differs by under 0.1 in size; null for a kept line.
 
-    Lines of one page, stream and text pass a task in order; each looks in its own and the neighbouring cells of a grid, so no pairs are made.
+    Lines of one page pass a task in order; each whose text its page holds more than once looks in its own and the neighbouring cells of a grid, so no pairs are made.
+    in_order: each page's lines already stand together in one task in order, as ``whole_lines`` leaves them.
     """
-    keys = [*page, "stream", "text"]
-    names = [*keys, *(c for c in found.columns if c not in keys)]
+    names = [*page, *(c for c in found.columns if c not in page)]
     # the window deals and sorts; rows that are dealt by page are not shuffled again
-    rows = found.select(*names, F.row_number().over(W.partitionBy(*keys).orderBy("line")).alias("_n"))
-    return rows.mapInArrow(_first_pass(len(page), len(page), len(page) + 1), StructType([*rows.schema.fields]).add("pass_of", LongType())).drop("_n")
+    rows = found.select(*names) if in_order else found.select(*names, F.row_number().over(W.partitionBy(*page).orderBy("line")).alias("_n"))
+    return rows.mapInArrow(whole_pages(len(page), _pass_finder(len(page))), StructType([*rows.schema.fields]).add("pass_of", LongType())).drop("_n")
 
 
 def merged_passes(found: DataFrame, page: list[str]) -> DataFrame:
@@ -216,7 +318,7 @@ def _box_ranges(parts: pa.Array, dir_x: pa.Array, dir_y: pa.Array, across: pa.Ar
     """Of each line, ranges of characters whose middles lie in the box; all characters of a batch at once."""
     real = lambda a: np.asarray(a.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False), "f8")
     whole = lambda a: np.asarray(a.fill_null(0).to_numpy(zero_copy_only=False), "i8")
-    n_parts = np.asarray(pa.compute.list_value_length(parts).fill_null(0).to_numpy(zero_copy_only=False), "i8")
+    n_parts = np.asarray(pc.list_value_length(parts).fill_null(0).to_numpy(zero_copy_only=False), "i8")
     flat, n = parts.flatten(), len(parts)
     lo, hi, u0, u1 = whole(flat.field("start")), whole(flat.field("end")), real(flat.field("u0")), real(flat.field("u1"))
     last = np.cumsum(n_parts) - 1

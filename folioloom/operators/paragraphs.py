@@ -9,14 +9,16 @@ cannot measure has no width. Lines without text, of several styles or not writab
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
+from .pages_in_order import codes, whole_pages
+
 #: Steps that are no new line, leadings and edges that count as equal, the narrowest column (ems) and fewest words a line of wrapped text, and slack of a fit.
 SAME_LINE, LEADING, EDGE, COLUMN_EMS, LINE_WORDS, SLACK, SHORT = 0.6, 0.18, 1.5, 12, 3, 0.01, 0.02
 SIZE_STEP, DIRECTION_STEP, LEADING_MOST = 0.01, 0.001, 3
@@ -31,6 +33,8 @@ class Widths:
 
     def of(self, font: str | None, text: str, size: float) -> float | None:
         rest, own = self.fonts.get(font, self.default)
+        if not own and rest is not None and rest == int(rest):
+            return rest * len(text) / 1000 * size  # whole numbers add up to their product
         total = 0.0
         for c in text:
             w = own.get(c, rest)
@@ -45,12 +49,14 @@ def words(text: str) -> list[str]:
 
 
 class _Line:
-    def __init__(self, row: dict, widths: Widths) -> None:
-        self.row, self.font, self.size = row, row["font"], row["size"]
-        self.dir, self.words = (row["dir_x"], row["dir_y"]), words(row["text"])
-        self.left = row["start_x"] * self.dir[0] + row["start_y"] * self.dir[1]
-        self.right = row["end_x"] * self.dir[0] + row["end_y"] * self.dir[1]
-        self.across = -row["start_x"] * self.dir[1] + row["start_y"] * self.dir[0]
+    """``at``: its place among the rows."""
+
+    def __init__(self, at: int, said: list[str], font: str | None, size: float, dir_x: float, dir_y: float, start_x: float, start_y: float, end_x: float, end_y: float, widths: Widths) -> None:
+        self.at, self.font, self.size = at, font, size
+        self.dir, self.words = (dir_x, dir_y), said
+        self.left = start_x * dir_x + start_y * dir_y
+        self.right = end_x * dir_x + end_y * dir_y
+        self.across = -start_x * dir_y + start_y * dir_x
         own = widths.of(self.font, " ".join(self.words), self.size)
         self.end = self.left + (own if own is not None else self.right - self.left)
 
@@ -97,48 +103,38 @@ class _Paragraph:
         return [max(rest if x is None else x, line.end) for x, line in zip([*found, None], self.lines)]
 
 
-def _grouper(page: list[str], widths: Widths):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, open_, n, out = None, None, 0, []
+def _grouper(n_keys: int, widths: Widths):
+    """Lines of whole pages, in order, with their paragraphs."""
+
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch:
+        new_page = np.any([np.diff(codes(c), prepend=-2) != 0 for c in rows.columns[:n_keys]], axis=0).tolist()
+        paragraph, place, limit = ([None] * rows.num_rows for _ in range(3))
+        open_, n = None, 0
 
         def close() -> None:
             nonlocal open_, n
-            if open_:
-                prose = open_.is_prose()
-                n += prose
-                limits = open_.limits(widths) if prose else [None] * len(open_.lines)
-                for k, (line, limit) in enumerate(zip(open_.lines, limits), 1):
-                    out.append((line.row, n if prose else None, k if prose else None, limit))
+            if open_ and open_.is_prose():
+                n += 1
+                for k, (line, most) in enumerate(zip(open_.lines, open_.limits(widths)), 1):
+                    paragraph[line.at], place[line.at], limit[line.at] = n, k, most
             open_ = None
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                key = tuple(row[c] for c in page)
-                if key != own:
-                    close()
-                    own, n = key, 0
-                if not (row["editable"] and row["uniform"] and row["text"] and words(row["text"])):
-                    out.append((row, None, None, None))
-                    continue
-                line = _Line(row, widths)
+        of = [rows[c].to_pylist() for c in ("editable", "uniform", "text", "font", "size", "dir_x", "dir_y", "start_x", "start_y", "end_x", "end_y")]
+        for at, (first, editable, uniform, text, *more) in enumerate(zip(new_page, *of)):
+            if first:
+                close()
+                n = 0
+            said = words(text) if editable and uniform and text else None
+            if said:
+                line = _Line(at, said, *more, widths)
                 if not open_ or not open_.takes(line, widths):
                     close()
                     open_ = _Paragraph(line)
-            if len(out) > 5_000:
-                yield _rows(out, batch.schema)
-                out = []
-            schema = batch.schema
         close()
-        if out:
-            yield _rows(out, schema)
-
-    return run
+        more = [pa.array(c, t) for c, t in ((paragraph, pa.int64()), (place, pa.int64()), (limit, pa.float64()))]
+        return pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, "paragraph", "place", "limit"])
 
-
-def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    whole = pa.RecordBatch.from_pylist([r for r, *_ in out], schema=schema)
-    more = [pa.array([o[k] for o in out], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
-    return pa.RecordBatch.from_arrays([*whole.columns, *more], names=[*schema.names, "paragraph", "place", "limit"])
+    return found
 
 
 def grouped(lines: DataFrame, page: list[str], widths: Widths = Widths()) -> DataFrame:
@@ -152,7 +148,7 @@ def grouped(lines: DataFrame, page: list[str], widths: Widths = Widths()) -> Dat
     # the window deals and sorts; rows that are dealt by page are not shuffled again
     rows = lines.select(*kept, F.row_number().over(W.partitionBy(*page).orderBy("line")).alias("_n"))
     schema = StructType([*rows.schema.fields]).add("paragraph", LongType()).add("place", LongType()).add("limit", DoubleType())
-    return rows.mapInArrow(_grouper(page, widths), schema).drop("_n")
+    return rows.mapInArrow(whole_pages(len(page), _grouper(len(page), widths)), schema).drop("_n")
 
 
 def broken(text: str, lines: list[tuple[float, float]], font: str | None, size: float, widths: Widths = Widths()) -> list[str] | None:
@@ -174,44 +170,29 @@ def broken(text: str, lines: list[tuple[float, float]], font: str | None, size:
     return out
 
 
-def _reflower(keys: list[str], widths: Widths):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, out, schema = None, [], [], None
+def _reflower(n_keys: int, widths: Widths):
+    """Lines of whole paragraphs, in order, with what each says then."""
 
-        def close() -> None:
-            if held:
-                at = [(r["start_x"] * r["dir_x"] + r["start_y"] * r["dir_y"], r["limit"]) for r in held]
-                new = None if held[0]["new_text"] is None else broken(held[0]["new_text"], at, held[0]["font"], held[0]["size"], widths)
-                out.extend(zip(held, new or [None] * len(held)))
-                held.clear()
-
-        def flush() -> pa.RecordBatch:
-            whole = pa.RecordBatch.from_pylist([r for r, _ in out], schema=schema)
-            return pa.RecordBatch.from_arrays([*whole.columns, pa.array([x for _, x in out], pa.string())], names=[*schema.names, "new_line"])
-
-        for batch in batches:
-            schema = batch.schema
-            for row in batch.to_pylist():
-                key = tuple(row[c] for c in keys)
-                if key != own:
-                    close()
-                    own = key
-                held.append(row)
-            if len(out) > 5_000:
-                yield flush()
-                out = []
-        close()
-        if out:
-            yield flush()
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch:
+        new = np.any([np.diff(codes(c), prepend=-2) != 0 for c in rows.columns[:n_keys]], axis=0)
+        starts = np.flatnonzero(new).tolist()
+        left = [x * dx + y * dy for x, y, dx, dy in zip(*(rows[c].to_pylist() for c in ("start_x", "start_y", "dir_x", "dir_y")))]
+        at, out = list(zip(left, rows["limit"].to_pylist())), []
+        own = rows.select(["new_text", "font", "size"]).take(pa.array(starts, pa.int64()))
+        for start, stop, text, font, size in zip(starts, [*starts[1:], rows.num_rows], *(c.to_pylist() for c in own.columns)):
+            said = None if text is None else broken(text, at[start:stop], font, size, widths)
+            out += said or [None] * (stop - start)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], names=[*rows.schema.names, "new_line"])
 
-    return run
+    return found
 
 
 def reflowed(rows: DataFrame, page: list[str], widths: Widths = Widths()) -> DataFrame:
     """Lines of ``grouped`` with new_text (the same for a paragraph's lines) to the same with new_line, what each line says then; null if the text does not fit or cannot be measured."""
     keys = [*page, "paragraph"]
-    ordered = rows.where("paragraph is not null").withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("place")))
-    return ordered.mapInArrow(_reflower(keys, widths), StructType([*ordered.schema.fields]).add("new_line", StringType())).drop("_n")
+    names = [*keys, *(c for c in rows.columns if c not in keys)]
+    ordered = rows.where("paragraph is not null").select(*names, F.row_number().over(W.partitionBy(*keys).orderBy("place")).alias("_n"))
+    return ordered.mapInArrow(whole_pages(len(keys), _reflower(len(keys), widths)), StructType([*ordered.schema.fields]).add("new_line", StringType())).drop("_n")
 
 
 def overflow(line: Column, old: Column, new: Column, page_width: Column) -> Column:

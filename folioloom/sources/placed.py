@@ -22,6 +22,7 @@ def runs_of(documents: DataFrame) -> DataFrame:
 
     By arithmetic on places: some words touch, some stand a column away, some are hidden, some have a space of their own; font, size and
     fill change; every thirteenth text line is drawn twice, every 29th upright. Null and blank texts have no runs.
+    The windows sort each task by page, line and word, so a page's runs leave together and in order of seq.
     """
     line = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line")).withColumn("page", F.floor(F.col("l") / PAGE_LINES))
     # dealt by page while a page is text alone: windows and groups over pages, lines and segments need no shuffle of runs behind this
